@@ -7,7 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NULL_D = F.lit(None).cast("double")
+def null_d() -> Column:
+    return F.lit(None).cast("double")
 
 
 def col(c: Column | str) -> Column:
@@ -17,7 +18,7 @@ def col(c: Column | str) -> Column:
 def num(c: Column | str) -> Column:
     """Numeric coercion: text or number to double, unparsable to null, NaN to null."""
     x = F.expr(f"try_cast({c} AS DOUBLE)") if isinstance(c, str) else c.try_cast("double")
-    return F.nanvl(x, NULL_D)
+    return F.nanvl(x, null_d())
 
 
 def div(a: Column, b: Column) -> Column:
@@ -40,13 +41,19 @@ def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
         out = F.when(out < F.lit(lo), F.lit(lo)).otherwise(out)
     if hi is not None:
         out = F.when(out > F.lit(hi), F.lit(hi)).otherwise(out)
-    return F.when(c.isNull(), NULL_D).otherwise(out.cast("double"))
+    return F.when(c.isNull(), null_d()).otherwise(out.cast("double"))
 
 
 def round_to(c: Column, digits: int = 2) -> Column:
     return F.round(c, digits)
 
 
+def round2(c: Column) -> Column:
+    """2-dp rounding computed identically in Spark and in the SQL oracle:
+    half up on the binary value, ``floor(x * 100 + 0.5) / 100`` (SURVEY T6)."""
+    return F.floor(c * 100 + 0.5) / 100
+
+
 def is_finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 

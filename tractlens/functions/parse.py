@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tractlens.functions.columns import NULL_D, div
+from tractlens.functions.columns import null_d, div, round2
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference (HMDA code semantics).
@@ -28,7 +28,7 @@ NA_TEXTS = ["nan", "NA", "", "Exempt"]
 
 
 def _dbl(c: Column) -> Column:
-    return F.nanvl(c.try_cast("double"), NULL_D)
+    return F.nanvl(c.try_cast("double"), null_d())
 
 
 def tract_key(c: Column) -> Column:
@@ -80,7 +80,7 @@ def model_target(action: Column) -> Column:
 def dti_v1(c: Column) -> Column:
     """C6 (tract pipeline): exact labels, else the number, else null."""
     s = c.cast("string")
-    out = F.when(s.isNull() | (s == "Exempt"), NULL_D)
+    out = F.when(s.isNull() | (s == "Exempt"), null_d())
     for label, value in DTI_LABELS_V1.items():
         out = out.when(s == label, F.lit(value))
     return out.otherwise(_dbl(s))
@@ -97,11 +97,11 @@ def dti_v2(c: Column) -> Column:
     p_dash = F.split(s, "-")
     mid_lt = (_dbl(p_lt.getItem(0)) + _dbl(p_lt.getItem(1))) / 2
     mid_dash = (_dbl(p_dash.getItem(0)) + _dbl(p_dash.getItem(1))) / 2
-    return (F.when(c.isNull() | t.isin("nan", "NA", "", "Exempt") | (F.lower(t) == "exempt"), NULL_D)
+    return (F.when(c.isNull() | t.isin("nan", "NA", "", "Exempt") | (F.lower(t) == "exempt"), null_d())
              .when(s.startswith(">"), lt_val + 5)
              .when(s.startswith("<"), F.when(lt_val.isNotNull(), F.greatest(F.lit(0.0), lt_val - 5)))
              .when(s.contains("-<") & (F.size(p_lt) == 2), mid_lt)
-             .when(s.contains("-<"), NULL_D)
+             .when(s.contains("-<"), null_d())
              .when(s.contains("-") & ~s.startswith("-") & (F.size(p_dash) == 2)
                    & mid_dash.isNotNull(), mid_dash)
              .otherwise(_dbl(s)))
@@ -111,10 +111,10 @@ def dti_v3(c: Column) -> Column:
     """C8 (temporal scorer): labels matched by substring; numeric *text* is
     ignored (null), as in the reference."""
     s = c.cast("string")
-    out = F.when(s.isNull() | (s == "Exempt"), NULL_D)
+    out = F.when(s.isNull() | (s == "Exempt"), null_d())
     for label, value in DTI_LABELS_V1.items():
         out = out.when(s.contains(label), F.lit(value))
-    return out.otherwise(NULL_D)
+    return out.otherwise(null_d())
 
 
 def dti_v3_numeric(c: Column) -> Column:
@@ -131,14 +131,14 @@ def dti_v4(c: Column) -> Column:
 def ltv_v1(c: Column) -> Column:
     """C10 v1: number or null (percent)."""
     s = c.cast("string")
-    return F.when(s.isNull() | (s == "Exempt"), NULL_D).otherwise(_dbl(s))
+    return F.when(s.isNull() | (s == "Exempt"), null_d()).otherwise(_dbl(s))
 
 
 def ltv_v2(c: Column) -> Column:
     """C10 v2: strip '%'; values above 1 are percents and divided by 100 (fraction)."""
     s = c.cast("string")
     v = _dbl(F.regexp_replace(s, "%", ""))
-    return (F.when(s.isNull() | s.isin(*NA_TEXTS), NULL_D)
+    return (F.when(s.isNull() | s.isin(*NA_TEXTS), null_d())
              .when(v > 1, v / 100).otherwise(v))
 
 
@@ -149,8 +149,8 @@ def to_number(c: Column) -> Column:
 
 # C12 census derived rates ---------------------------------------------------
 def unemployment_rate(unemployed: Column, labor_force: Column) -> Column:
-    return F.round(div(unemployed, labor_force) * 100, 2)
+    return round2(div(unemployed, labor_force) * 100)
 
 
 def ownership_rate(owner: Column, renter: Column) -> Column:
-    return F.round(div(owner, owner + renter) * 100, 2)
+    return round2(div(owner, owner + renter) * 100)
