@@ -29,7 +29,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tractlens.session import conf_int
+from tractlens.session import conf_int, ensure_checkpoint_dir
 
 HOT_ROWS_CONF = "tractlens.median.hotGroupRows"
 DEFAULT_HOT_ROWS = 5_000_000
@@ -90,6 +90,15 @@ def grouped_agg_with_medians(df: DataFrame, keys: Sequence[str], aggs: Sequence[
     return out
 
 
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Checkpoint a small intermediate (bounds, rank targets) to the shared
+    checkpoint folder.  This cuts the lineage of iterative plans so each level
+    re-reads a few rows instead of re-planning every earlier level, and the
+    result survives executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _exact_median_hot(values: DataFrame, keys: list[str]) -> DataFrame:
     """Exact median of ``v`` per group by distributed rank selection.
 
@@ -104,7 +113,7 @@ def _exact_median_hot(values: DataFrame, keys: list[str]) -> DataFrame:
                     "lo", "hi")
                 .distinct()
                 .withColumn("base", F.lit(0).cast("bigint")))
-    picked = _exact_quantile_rows(values, keys, targets)
+    picked = _exact_quantile_rows(values, keys, materialize_small(targets))
     return (picked.groupBy(*keys)
                   .agg(F.min("value").alias("a"), F.max("value").alias("b"))
                   .select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * F.lit(0.5)).alias("median")))
@@ -136,11 +145,12 @@ def _exact_quantile_rows(values: DataFrame, keys: list[str], targets: DataFrame,
                            F.max("v").alias("bhi")))
         w = Window.partitionBy(*rng).orderBy("bk").rowsBetween(Window.unboundedPreceding, 0)
         counts = counts.withColumn("start", F.col("base") + F.sum("c").over(w) - F.col("c"))
-        targets = (targets.join(counts, rng, "inner")
-                          .filter((F.col("start") <= F.col("r"))
-                                  & (F.col("r") < F.col("start") + F.col("c")))
-                          .select(*keys, "r", F.col("blo").alias("lo"), F.col("bhi").alias("hi"),
-                                  F.col("start").alias("base")))
+        targets = materialize_small(
+            targets.join(counts, rng, "inner")
+                   .filter((F.col("start") <= F.col("r"))
+                           & (F.col("r") < F.col("start") + F.col("c")))
+                   .select(*keys, "r", F.col("blo").alias("lo"), F.col("bhi").alias("hi"),
+                           F.col("start").alias("base")))
     ranges = targets.select(*rng).distinct()
     rows = (values.join(F.broadcast(ranges), keys, "inner")
                   .filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
@@ -164,3 +174,57 @@ def global_quantiles(df: DataFrame, col: str, probs: Sequence[float], exact: boo
     if exact:
         return df.agg(F.percentile(c, arr).alias("q"))
     return df.agg(F.percentile_approx(c, arr, accuracy).alias("q"))
+
+
+def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
+                    keys: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolated quantiles (pandas / ``percentile``) of ``value``,
+    per group of ``keys`` or over the whole frame when ``keys`` is empty.
+
+    Works by distributed rank selection (``_exact_quantile_rows``), so no task
+    ever holds a whole group or the whole column; output columns are
+    ``q0, q1, ...`` in the order of ``probs``.
+    """
+    keys = list(keys)
+    v = F.col(value) if isinstance(value, str) else value
+    k = keys or ["_all"]
+    base = df.select(*([F.col(c) for c in keys] or [F.lit(0).alias("_all")]),
+                     F.nanvl(v.cast("double"), F.lit(None).cast("double")).alias("v")) \
+             .filter(F.col("v").isNotNull())
+    n = materialize_small(
+        base.groupBy(*k).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    largest = n.agg(F.max("n")).first()[0]
+    if largest is None or largest <= _hot_rows(df, None):
+        # Every group fits one task: the built-in exact percentile is one aggregate.
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        agg = base.groupBy(*k).agg(F.percentile("v", arr).alias("_q"))
+        out = agg.select(*k, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
+        if not keys:
+            one = df.sparkSession.range(1).select(F.lit(0).alias("_all"))
+            out = one.join(out, "_all", "left").drop("_all")
+        return materialize_small(out)
+    ranks = []
+    for i, p in enumerate(probs):
+        pos = (F.col("n") - 1) * F.lit(float(p))
+        ranks.append(F.struct(F.lit(i).alias("i"), F.floor(pos).alias("r"), (pos - F.floor(pos)).alias("frac"),
+                              F.lit(0).alias("side")))
+        ranks.append(F.struct(F.lit(i).alias("i"), F.ceil(pos).alias("r"), (pos - F.floor(pos)).alias("frac"),
+                              F.lit(1).alias("side")))
+    wanted = n.select(*k, "lo", "hi", F.explode(F.array(*ranks)).alias("t")) \
+              .select(*k, "lo", "hi", "t.*")
+    wanted = materialize_small(wanted)
+    targets = wanted.select(*k, "r", "lo", "hi").distinct().withColumn("base", F.lit(0).cast("bigint"))
+    picked = _exact_quantile_rows(base, k, targets)
+    j = wanted.join(picked, k + ["r"], "inner")
+    per = (j.groupBy(*k, "i")
+             .agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("a"),
+                  F.max(F.when(F.col("side") == 1, F.col("value"))).alias("b"),
+                  F.first("frac").alias("frac"))
+             .select(*k, "i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")).alias("q")))
+    out = per.groupBy(*k).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}")
+                                for i in range(len(probs))])
+    if not keys:
+        # An empty input still yields one row of nulls, like a global aggregate.
+        one = df.sparkSession.range(1).select(F.lit(0).alias("_all"))
+        out = one.join(out, "_all", "left").drop("_all")
+    return materialize_small(out)

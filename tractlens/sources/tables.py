@@ -135,3 +135,11 @@ def lenders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").alias("lender_key"), F.col("s_name").alias("lender_name"))
     return (li.join(s, "lender_key", "inner")
               .select(F.col("l_orderkey").alias("application_id"), "lender_key", "lender_name"))
+
+
+# Column order of ``applications`` (used by oracle SQL generators).
+APPLICATION_COLUMNS = [
+    "application_id", "activity_year", "county_code", "census_tract", "action_taken", "loan_amount",
+    "income", "property_value", "debt_to_income_ratio", "loan_to_value_ratio", "interest_rate",
+    "loan_term", "loan_type", "loan_purpose", "occupancy_type", "applicant_race", "applicant_sex",
+    "credit_score", "denial_reason_1", "denial_reason_2"]
