@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tractlens.functions.columns import null_d
 from tractlens.functions.stats import exact_quantiles
@@ -131,37 +132,61 @@ class _Check:
         self.column, self.severity, self.check, self.cond, self.template = column, severity, check, cond, template
 
 
-def _column_rules(df: DataFrame, column: str, rule: dict, strict: bool):
-    """Return (new column expression, checks, sanitized-count expressions, removal condition)."""
+class _Stager:
+    """Collects intermediate columns level by level.  Each later step refers to
+    a staged column instead of repeating the expression, so expression trees
+    stay linear in the number of rules (no exponential when-chains)."""
+
+    def __init__(self):
+        self.levels: dict[int, list[tuple[str, Column]]] = {}
+
+    def put(self, level: int, name: str, expr: Column) -> Column:
+        self.levels.setdefault(level, []).append((name, expr))
+        return F.col(name)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        for lvl in sorted(self.levels):
+            df = df.withColumns(dict(self.levels[lvl]))
+        return df
+
+    def names(self) -> list[str]:
+        return [n for lvl in self.levels.values() for n, _ in lvl]
+
+
+def _column_rules(st: _Stager, column: str, rule: dict, strict: bool, numeric_input: bool = False):
+    """Return (final column, checks, sanitized-count conditions, removal condition)."""
     orig = F.col(column)
     checks: list[_Check] = []
     sanitized: list[Column] = []
     remove = None
     d = default_value(rule)
     req = rule.get("required", False)
-    cur = orig.cast("string")
+    p = f"_vr_{column}"
+    # Numeric input columns skip the text round trip (nothing can fail to parse).
+    typed = numeric_input and rule["type"] in ("numeric", "integer")
+    cur = orig.cast("double") if typed else orig.cast("string")
     if req:
         if strict:
             remove = orig.isNull()
             checks.append(_Check(column, "error", "required_null", orig.isNull(),
                                  f"Column '{column}': {{n}} required values are null"))
         else:
-            cur = F.coalesce(cur, F.lit(str(d)))
+            cur = F.coalesce(cur, F.lit(float(d) if typed else str(d)))
             checks.append(_Check(column, "warning", "null_filled", orig.isNull(),
                                  f"Column '{column}': {{n}} null values filled with {d}"))
             sanitized.append(orig.isNull())
     else:
         checks.append(_Check(column, "warning", "null_optional", orig.isNull(),
                              f"Column '{column}': {{n}} null values in optional field"))
+    cur = st.put(1, f"{p}_s", cur)
 
     if rule["type"] in ("numeric", "integer"):
-        raw = cur
-        x = raw.try_cast("double")
-        conv = x.isNull() & raw.isNotNull()
+        x = cur if typed else st.put(2, f"{p}_x0", cur.try_cast("double"))
+        conv = F.lit(False) if typed else (x.isNull() & cur.isNotNull())
         checks.append(_Check(column, "error", "not_numeric", conv,
                              f"Column '{column}': {{n}} values could not be converted to numeric"))
         if not strict:
-            x = F.when(conv, F.lit(float(d))).otherwise(x)
+            x = st.put(3, f"{p}_x1", F.when(conv, F.lit(float(d))).otherwise(x))
             sanitized.append(conv)
         if "min" in rule:
             below = x < F.lit(rule["min"])
@@ -170,7 +195,7 @@ def _column_rules(df: DataFrame, column: str, rule: dict, strict: bool):
                                      f"Column '{column}': {{n}} values below minimum {rule['min']}"))
             else:
                 sanitized.append(below)
-                x = F.when(below, F.lit(float(rule["min"]))).otherwise(x)
+                x = st.put(4, f"{p}_x2", F.when(below, F.lit(float(rule["min"]))).otherwise(x))
         if "max" in rule:
             above = x > F.lit(rule["max"])
             if strict:
@@ -178,22 +203,22 @@ def _column_rules(df: DataFrame, column: str, rule: dict, strict: bool):
                                      f"Column '{column}': {{n}} values above maximum {rule['max']}"))
             else:
                 sanitized.append(above)
-                x = F.when(above, F.lit(float(rule["max"]))).otherwise(x)
+                x = st.put(5, f"{p}_x3", F.when(above, F.lit(float(rule["max"]))).otherwise(x))
         inf = F.abs(x) == F.lit(float("inf"))
         checks.append(_Check(column, "error", "infinite", inf,
                              f"Column '{column}': {{n}} infinite values replaced with {d}"))
         sanitized.append(inf)
-        x = F.when(inf, F.lit(float(d))).otherwise(x)
+        x = st.put(6, f"{p}_x4", F.when(inf, F.lit(float(d))).otherwise(x))
         if rule["type"] == "integer":
             x = F.bround(x, 0).cast("int")  # pandas round = half to even (B7)
         return x.alias(column), checks, sanitized, remove
 
     if rule["type"] == "string":
-        s = F.when(cur.isNull(), F.lit("nan")).otherwise(cur)
+        s = st.put(2, f"{p}_t0", F.when(cur.isNull(), F.lit("nan")).otherwise(cur))
         is_nan = s.isin(*NAN_TEXTS)
         sanitized.append(is_nan)
-        s = F.when(is_nan, F.lit("000000" if column in CODE_COLUMNS else "Unknown")).otherwise(s)
-        s = F.trim(s)
+        s = st.put(3, f"{p}_t1", F.trim(F.when(is_nan, F.lit("000000" if column in CODE_COLUMNS else "Unknown"))
+                                         .otherwise(s)))
         if "min_length" in rule:
             n = rule["min_length"]
             short = F.length(s) < n
@@ -210,6 +235,7 @@ def _column_rules(df: DataFrame, column: str, rule: dict, strict: bool):
 def _plan(df: DataFrame, data_type: str, strict: bool):
     rules = RULES.get(data_type, {})
     cols = set(df.columns)
+    st = _Stager()
     exprs: dict[str, Column] = {}
     checks: list[_Check] = []
     sanitized: list[Column] = []
@@ -222,7 +248,8 @@ def _plan(df: DataFrame, data_type: str, strict: bool):
             else:
                 static.append(_Check(column, "warning", "missing_column", None, f"Optional column '{column}' missing"))
             continue
-        e, ch, sa, rm = _column_rules(df, column, rule, strict)
+        numeric_input = isinstance(df.schema[column].dataType, NumericType)
+        e, ch, sa, rm = _column_rules(st, column, rule, strict, numeric_input)
         exprs[column] = e
         checks += ch
         sanitized += sa
@@ -231,7 +258,7 @@ def _plan(df: DataFrame, data_type: str, strict: bool):
     removed = None
     for r in removes:
         removed = r if removed is None else (removed | r)
-    return rules, exprs, checks, sanitized, removed, static
+    return rules, st, exprs, checks, sanitized, removed, static
 
 
 def _additional(clean_exprs: dict[str, Column], cols: set[str], data_type: str) -> list[_Check]:
@@ -264,31 +291,31 @@ def _additional(clean_exprs: dict[str, Column], cols: set[str], data_type: str)
 
 def clean_dataframe(df: DataFrame, data_type: str, strict: bool = False) -> DataFrame:
     """The sanitized (non-strict) or filtered (strict) table."""
-    rules, exprs, _, _, removed, _ = _plan(df, data_type, strict)
+    rules, st, exprs, _, _, removed, _ = _plan(df, data_type, strict)
     if not rules:
         return df
-    out = df.select(*[exprs.get(c, F.col(c)) for c in df.columns]) if removed is None else \
-        df.filter(~removed).select(*[exprs.get(c, F.col(c)) for c in df.columns])
-    return out
+    base = df if removed is None else df.filter(~removed)
+    return st.apply(base).select(*[exprs.get(c, F.col(c)) for c in df.columns])
 
 
 def validation_report(df: DataFrame, data_type: str, strict: bool = False) -> DataFrame:
     """B2 report: one row per issue (data_type, column, severity, check, count, message)
     plus a ``summary`` row holding rows processed / removed / sanitized and the status."""
     spark = df.sparkSession
-    rules, exprs, checks, sanitized, removed, static = _plan(df, data_type, strict)
+    rules, st, exprs, checks, sanitized, removed, static = _plan(df, data_type, strict)
     if not rules:
         return spark.createDataFrame(
             [(data_type, None, "info", "no_rules", 0, "no_rules")],
             "data_type string, column string, severity string, check string, count bigint, message string")
     keep = F.lit(True) if removed is None else ~removed
-    extra = _additional(exprs, set(df.columns), data_type)
+    extra = _additional({c: F.col(f"_vr_final_{c}") for c in exprs}, set(df.columns), data_type)
     aggs = [F.count(F.lit(1)).alias("rows_processed"),
             (F.count_if(removed) if removed is not None else F.lit(0)).alias("rows_removed"),
             (sum((F.count_if(s) for s in sanitized), F.lit(0)) if sanitized else F.lit(0)).alias("values_sanitized")]
     aggs += [F.count_if(ch.cond).alias(f"_c{i}") for i, ch in enumerate(checks)]
     aggs += [F.count_if(keep & ch.cond).alias(f"_x{i}") for i, ch in enumerate(extra)]
-    one = df.agg(*aggs)
+    staged = st.apply(df).withColumns({f"_vr_final_{c}": e for c, e in exprs.items()})
+    one = staged.agg(*aggs)
     items = []
     for i, ch in enumerate(checks):
         items.append(F.struct(F.lit(ch.column).alias("column"), F.lit(ch.severity).alias("severity"),

@@ -22,6 +22,9 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Fall back from whole-stage codegen when a generated method is too big for
+    # the JIT (wide rule projections); interpreted huge methods are far slower.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
