@@ -49,4 +49,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the plan modules fills the registry.
-    from tractlens.plans import features, models, opportunity, segment, temporal, validation, yoy  # noqa: F401
+    from tractlens.plans import dashboard, features, models, opportunity, segment, temporal, validation, yoy  # noqa: F401
