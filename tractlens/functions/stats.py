@@ -90,6 +90,14 @@ def grouped_agg_with_medians(df: DataFrame, keys: Sequence[str], aggs: Sequence[
     return out
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (from file sizes and plan statistics; no job)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - unknown: treat as large
+        return 1 << 62
+
+
 def materialize_small(df: DataFrame) -> DataFrame:
     """Checkpoint a small intermediate (bounds, rank targets) to the shared
     checkpoint folder.  This cuts the lineage of iterative plans so each level

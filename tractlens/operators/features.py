@@ -136,17 +136,18 @@ def winsorize_columns(df: DataFrame, columns: Sequence[str], lo: float = 0.001,
     rows they come from one ``percentile`` aggregate; above it, from the
     distributed exact selection, one column at a time.
     """
-    from tractlens.functions.stats import DEFAULT_HOT_ROWS, HOT_ROWS_CONF, exact_quantiles, materialize_small
+    from tractlens.functions.stats import DEFAULT_HOT_ROWS, HOT_ROWS_CONF, exact_quantiles
 
     if not columns:
         return df
     cleaned = df.withColumns({c: F.when(F.abs(F.col(c).cast("double")) == INF, null_d())
                                     .otherwise(F.col(c).cast("double")) for c in columns})
-    limit = conf_int(df.sparkSession, HOT_ROWS_CONF, DEFAULT_HOT_ROWS)
-    total = cleaned.select(F.lit(1)).limit(limit + 1).count()
     arr = F.array(F.lit(lo), F.lit(hi))
-    if total <= limit:
-        q = materialize_small(cleaned.agg(*[F.percentile(F.col(c), arr).alias(f"_q_{c}") for c in columns]))
+    limit = conf_int(df.sparkSession, HOT_ROWS_CONF, DEFAULT_HOT_ROWS)
+    if cleaned.select(F.lit(1)).limit(limit + 1).count() <= limit:
+        # Small input: one exact ``percentile`` aggregate, evaluated as the
+        # broadcast side of the final plan.
+        q = cleaned.agg(*[F.percentile(F.col(c), arr).alias(f"_q_{c}") for c in columns])
         bounds = q.select(*[F.col(f"_q_{c}")[0].alias(f"_lo_{c}") for c in columns],
                           *[F.col(f"_q_{c}")[1].alias(f"_hi_{c}") for c in columns])
     else:
@@ -266,14 +267,19 @@ def loan_product_features(df: DataFrame) -> DataFrame:
 
 
 def engineer_all_features(df: DataFrame, winsorize_numeric: bool = True, encode: bool = True) -> DataFrame:
-    """Target -> financial -> credit -> demographic -> geographic -> denial -> product."""
-    return (df.transform(target_variables)
-              .transform(lambda d: financial_features(d, winsorize_numeric))
-              .transform(credit_score_proxy)
-              .transform(lambda d: demographic_features(d, encode))
-              .transform(lambda d: geographic_features(d, encode))
-              .transform(denial_reason_features)
-              .transform(loan_product_features))
+    """Target -> financial -> credit -> demographic -> geographic -> denial -> product.
+
+    The demographic and geographic label encoders are fitted together (one
+    pass over the data) before the band features are added."""
+    out = (df.transform(target_variables)
+             .transform(lambda d: financial_features(d, winsorize_numeric))
+             .transform(credit_score_proxy))
+    if encode:
+        out = label_encode(out, DEMOGRAPHIC_COLUMNS + GEO_COLUMNS)
+    return (out.transform(lambda d: demographic_features(d, encode=False))
+               .transform(lambda d: geographic_features(d, encode=False))
+               .transform(denial_reason_features)
+               .transform(loan_product_features))
 
 
 # Loan-predictor features ------------------------------------------------------
