@@ -366,3 +366,90 @@ def impute_for_model(df: DataFrame, amount_defaults: dict[str, float] | None = N
     fills.update({c: F.coalesce(F.col(c), F.col(f"_o_{c}"), F.lit(0).cast(df.schema[c].dataType)) for c in modes})
     fills.update({c: F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) for c in categoricals if c in df.columns})
     return out.withColumns(fills).drop(*[f"_m_{c}" for c in meds], *[f"_o_{c}" for c in modes])
+
+
+# Prediction-time feature variant -------------------------------------------
+PRED_DEFAULTS = {"debt_to_income_ratio": 30.0, "loan_to_value_ratio": 80.0, "property_value": 300000,
+                 "loan_amount": 250000, "income": 75, "interest_rate": 6.5, "loan_term": 360, "applicant_age": 35,
+                 "applicant_race-1": 5, "applicant_sex": 1, "county_code": 20091, "census_tract": 20091001400}
+PRED_DTI = ([0, 20, 28, 36, 45, 100], ["Excellent", "Good", "Acceptable", "High", "Very High"])
+PRED_LTV = ([0, 80, 90, 95, 100], ["Low", "Medium", "High", "Very High"])
+PRED_SIZE = ([0, 200000, 400000, 600000, 1000000, INF], ["Small", "Medium", "Large", "Jumbo", "Super Jumbo"])
+PRED_INCOME = ([0, 50000, 75000, 100000, 150000, INF], ["Low", "Lower Middle", "Middle", "Upper Middle", "High"])
+PRED_CREDIT = ([300, 580, 670, 740, 800, 850], ["Poor", "Fair", "Good", "Very Good", "Excellent"])
+PRED_RISK = ([0, 25, 50, 75, 100], ["Low", "Medium", "High", "Very High"])
+PRED_AGE = ([0, 25, 35, 45, 55, 65, 100], ["1", "2", "3", "4", "5", "6"])
+PRED_STEPS = {"debt_to_income_ratio": [(43, 100), (36, 50), (28, 25)],
+              "loan_to_value_calculated": [(95, 75), (90, 50), (80, 25)],
+              "loan_to_income_ratio": [(5, 100), (4, 50), (3, 25)]}
+PRED_FEATURES = ["debt_to_income_ratio", "loan_to_value_calculated", "loan_to_income_ratio", "down_payment_ratio",
+                 "credit_score_proxy", "financial_risk_score", "monthly_payment", "payment_to_income_ratio",
+                 "age_category", "applicant_race_encoded", "applicant_sex_encoded"]
+PRED_CATEGORIES = {"dti_risk_category": PRED_DTI, "ltv_risk_category": PRED_LTV, "loan_size_category": PRED_SIZE,
+                   "income_category": PRED_INCOME, "credit_score_category": PRED_CREDIT,
+                   "financial_risk_category": PRED_RISK}
+
+
+def prediction_features(df: DataFrame, keep: Sequence[str] = ("application_id",)) -> DataFrame:
+    """The prediction-time variant (LTV in percent, stepwise credit proxy,
+    0-100 risk score, fixed-vocabulary label codes).  An unseen category in a
+    column sets the whole column to the middle code, as the reference's
+    encoder fallback does; that check is one broadcast one-row aggregate."""
+    from tractlens.functions.columns import clip as _clip
+
+    out = df.withColumns({c: F.lit(v) for c, v in PRED_DEFAULTS.items() if c not in df.columns})
+    num = ["debt_to_income_ratio", "loan_to_value_ratio", "property_value", "loan_amount", "income",
+           "interest_rate", "loan_term", "applicant_age"]
+    out = out.withColumns({c: parse.to_number(F.col(c)) for c in num})
+    out = out.withColumn("actual_income", F.col("income") * 1000)
+    ok = (F.col("income") > 0) & (F.col("loan_amount") > 0)
+    out = out.withColumn("loan_to_income_ratio",
+                         F.coalesce(F.when(ok, F.col("loan_amount") / F.col("actual_income")), F.lit(0.0)))
+    pv_ok = (F.col("property_value") > 0) & (F.col("loan_amount") > 0)
+    out = out.withColumn("loan_to_value_calculated",
+                         F.coalesce(F.when(pv_ok, F.col("loan_amount") / F.col("property_value") * 100), F.lit(80.0)))
+    out = out.withColumns({
+        "down_payment_amount": F.col("property_value") * (F.lit(1.0) - F.col("loan_to_value_calculated") / 100),
+        "down_payment_ratio": F.lit(100.0) - F.col("loan_to_value_calculated")})
+    txt = {"dti_risk_category": "debt_to_income_ratio", "ltv_risk_category": "loan_to_value_calculated",
+           "loan_size_category": "loan_amount", "income_category": "actual_income"}
+    out = out.withColumns({k: F.coalesce(bands(F.col(v), *PRED_CATEGORIES[k], include_lowest=True), F.lit("nan"))
+                           for k, v in txt.items()})
+    proxy = F.lit(850.0)
+    for col, steps in PRED_STEPS.items():
+        x = F.col(col)
+        ded = F.when(x > steps[0][0], steps[0][1]).when(x > steps[1][0], steps[1][1]) \
+               .when(x > steps[2][0], steps[2][1]).otherwise(0)
+        proxy = proxy - ded
+    out = out.withColumn("credit_score_proxy", _clip(proxy, 300, 850))
+    out = out.withColumn("credit_score_category",
+                         F.coalesce(bands(F.col("credit_score_proxy"), *PRED_CREDIT, include_lowest=True), F.lit("nan")))
+    risk = (_clip(F.col("debt_to_income_ratio") * 2, 0, 100) * 0.4
+            + _clip(F.col("loan_to_value_calculated") * 1.2, 0, 100) * 0.35
+            + _clip(F.col("loan_to_income_ratio") * 20, 0, 100) * 0.25)
+    out = out.withColumn("financial_risk_score", _clip(risk, 0, 100))
+    out = out.withColumn("financial_risk_category",
+                         F.coalesce(bands(F.col("financial_risk_score"), *PRED_RISK, include_lowest=True), F.lit("nan")))
+    r = F.col("interest_rate") / 100 / 12
+    g = F.pow(F.lit(1.0) + r, F.col("loan_term"))
+    out = out.withColumn("monthly_payment", F.col("loan_amount") * F.try_divide(r * g, g - 1))
+    out = out.withColumn("payment_to_income_ratio",
+                         F.try_divide(F.col("monthly_payment"), F.col("actual_income") / 12) * 100)
+    out = out.withColumn("age_category",
+                         bands(F.col("applicant_age"), *PRED_AGE, include_lowest=True).cast("double"))
+    out = out.withColumns({"applicant_race_encoded": parse.to_number(F.col("`applicant_race-1`")),
+                           "applicant_sex_encoded": parse.to_number(F.col("applicant_sex"))})
+    # Fixed-vocabulary codes: sorted labels -> 0..n-1; any unseen label -> whole column = n // 2.
+    unseen = out.agg(*[F.max((~F.col(c).isin(*labs)).cast("int")).alias(f"_u_{c}")
+                       for c, (_, labs) in PRED_CATEGORIES.items()])
+    out = out.crossJoin(F.broadcast(unseen))
+    enc = {}
+    for c, (_, labs) in PRED_CATEGORIES.items():
+        codes = {lab: i for i, lab in enumerate(sorted(labs))}
+        enc[f"{c}_encoded"] = F.when(F.col(f"_u_{c}") == 1, F.lit(len(labs) // 2)).otherwise(code_map(F.col(c), codes))
+    out = out.withColumns(enc)
+    feats = PRED_FEATURES + list(enc)
+    finite = {c: F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+                        | (F.abs(F.col(c).cast("double")) == INF), F.lit(0.0)).otherwise(F.col(c).cast("double"))
+              for c in feats}
+    return out.withColumns(finite).select(*[k for k in keep if k in df.columns], *feats)

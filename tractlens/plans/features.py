@@ -181,3 +181,11 @@ def b20(spark, sf):
 
 
 __all__ = ["F", "opp"]
+
+
+@register("d17_prediction_features")
+def d17(spark, sf):
+    a = applications(spark, sf).select("application_id", "income", "loan_amount", "property_value",
+                                       "debt_to_income_ratio", "loan_to_value_ratio", "interest_rate", "loan_term",
+                                       "applicant_sex")
+    return fe.prediction_features(a)
