@@ -313,3 +313,21 @@ def denial_patterns(denied: DataFrame, groups: Sequence[str], codes_col: str = "
     return (reasons.join(totals, ["group", "value"])
                    .withColumn("reason", R.denial_label(F.col("code")))
                    .withColumn("pct_of_group_denials", F.col("count") / F.col("group_denials") * 100))
+
+
+# L19 / L20 ------------------------------------------------------------------------
+def logic_check(model, cases: DataFrame, features: Sequence[str], expected: str = "expected") -> DataFrame:
+    """Score a frame of extreme cases (expected 1 = approved, 0 = denied)
+    and report the share the model gets right."""
+    p = model.transform(_prepared(cases, features))
+    return p.agg(F.count(F.lit(1)).alias("cases"),
+                 F.avg((F.col("prediction") == F.col(expected)).cast("double")).alias("logic_score"))
+
+
+def method_comparison(default_metrics: DataFrame, tuned_metrics: DataFrame) -> DataFrame:
+    """F1 gain (%) of the tuned run over the default run, per model."""
+    d = default_metrics.select("model", F.col("f1").alias("f1_default"))
+    t = tuned_metrics.select("model", F.col("f1").alias("f1_tuned"))
+    return d.join(t, "model").withColumn(
+        "f1_gain_pct", F.when(F.col("f1_default") > 0,
+                              (F.col("f1_tuned") - F.col("f1_default")) / F.col("f1_default") * 100))

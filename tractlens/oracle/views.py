@@ -55,13 +55,17 @@ SELECT concat('20', lpad(CAST(c_nationkey AS VARCHAR), 3, '0'),
 FROM customer GROUP BY 1)"""
 
 HPI = """
+hpi_cents AS (
+SELECT l_orderkey, sum(CAST(round(l_extendedprice / l_quantity * 100) AS BIGINT)) AS sc,
+       count(l_extendedprice / l_quantity) AS nc
+FROM lineitem GROUP BY l_orderkey),
 hpi AS (
 SELECT concat('20', lpad(CAST(c.c_nationkey AS VARCHAR), 3, '0'),
               lpad(CAST(c.c_custkey % 8 AS VARCHAR), 6, '0')) AS census_tract,
        CAST(year(o.o_orderdate) AS INT) AS year,
-       avg(l.l_extendedprice / l.l_quantity) AS hpi
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-                JOIN customer c ON o.o_custkey = c.c_custkey
+       floor(sum(l.sc) / sum(l.nc) / 100 * 10000 + 0.5) / 10000 AS hpi
+FROM hpi_cents l JOIN orders o ON l.l_orderkey = o.o_orderkey
+                 JOIN customer c ON o.o_custkey = c.c_custkey
 GROUP BY 1, 2)"""
 
 # tract x year metrics over ``applications``.

@@ -11,9 +11,9 @@ Scale notes
 * ``applications`` joins orders to customer on the customer key.  Neither side
   is broadcast by hand: customer grows with the data, so the join is left to
   AQE (sort-merge, or broadcast when AQE measures a small side at run time).
-* ``hpi`` pre-aggregates lineitem to one row per order before it meets
-  orders, so the big lineitem side shuffles one partial row per order instead
-  of every line.
+* ``hpi`` pre-aggregates lineitem to one row per order (integer cents and a
+  count) before it meets orders, so the big lineitem side shuffles one partial
+  row per order instead of every line.
 """
 
 from __future__ import annotations
@@ -113,18 +113,26 @@ def census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hpi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """House price index per tract and year: mean unit price of the order lines."""
+    """House price index per tract and year: mean unit price of the order lines.
+
+    Unit prices are summed as integer cents (exact in any summation order), so
+    the mean is the same double on every engine and every partitioning; it is
+    reported to 4 decimals.
+    """
+    cents = F.round(F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")) * 100).cast("bigint")
     li = (read_table(spark, sf_dir, "lineitem")
-          .select("l_orderkey", F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("u"))
+          .select("l_orderkey", cents.alias("c"))
           .groupBy("l_orderkey")
-          .agg(F.sum("u").alias("su"), F.count("u").alias("nu")))
+          .agg(F.sum("c").alias("sc"), F.count("c").alias("nc")))
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     j = (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
            .join(c, o.o_custkey == c.c_custkey, "inner"))
-    return (j.groupBy(tract_id(F.col("c_nationkey"), F.col("c_custkey")).alias("census_tract"),
-                      F.year("o_orderdate").cast("int").alias("year"))
-             .agg((F.sum("su") / F.sum("nu")).alias("hpi")))
+    g = (j.groupBy(tract_id(F.col("c_nationkey"), F.col("c_custkey")).alias("census_tract"),
+                   F.year("o_orderdate").cast("int").alias("year"))
+          .agg(F.sum("sc").alias("_s"), F.sum("nc").alias("_n")))
+    mean = F.col("_s") / F.col("_n") / 100
+    return g.select("census_tract", "year", (F.floor(mean * 10000 + 0.5) / 10000).alias("hpi"))
 
 
 def lenders(spark: SparkSession, sf_dir: str) -> DataFrame:
