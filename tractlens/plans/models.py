@@ -171,7 +171,10 @@ def _temporal_fit(spark, sf, latest_only=False):
     t = temporal(spark, sf)
     feats = tm.TEMPORAL_FEATURES[1:] + ["year_normalized", "total_applications"] + [
         c for c in t.columns if c.endswith(("_lag1", "_yoy_change", "_yoy_pct_change", "_ma2"))]
-    years = [t.agg(F.max("year")).first()[0]] if latest_only else None
+    # The reference trains one model set per year of its three-year panel:
+    # the last three years here (or only the latest for forecasting).
+    recent = sorted(r[0] for r in t.select("year").distinct().collect())
+    years = recent[-1:] if latest_only else recent[-3:]
     metrics, best = ml.temporal_models(t, feats, years=years)
     return t, feats, metrics, best
 
