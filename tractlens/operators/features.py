@@ -136,7 +136,7 @@ def winsorize_columns(df: DataFrame, columns: Sequence[str], lo: float = 0.001,
     rows they come from one ``percentile`` aggregate; above it, from the
     distributed exact selection, one column at a time.
     """
-    from tractlens.functions.stats import DEFAULT_HOT_ROWS, HOT_ROWS_CONF, exact_quantiles
+    from tractlens.functions.stats import DEFAULT_HOT_ROWS, HOT_ROWS_CONF, exact_quantiles, materialize_small
 
     if not columns:
         return df
@@ -145,8 +145,7 @@ def winsorize_columns(df: DataFrame, columns: Sequence[str], lo: float = 0.001,
     arr = F.array(F.lit(lo), F.lit(hi))
     limit = conf_int(df.sparkSession, HOT_ROWS_CONF, DEFAULT_HOT_ROWS)
     if cleaned.select(F.lit(1)).limit(limit + 1).count() <= limit:
-        # Small input: one exact ``percentile`` aggregate, evaluated as the
-        # broadcast side of the final plan.
+        # Small input: one exact ``percentile`` aggregate.
         q = cleaned.agg(*[F.percentile(F.col(c), arr).alias(f"_q_{c}") for c in columns])
         bounds = q.select(*[F.col(f"_q_{c}")[0].alias(f"_lo_{c}") for c in columns],
                           *[F.col(f"_q_{c}")[1].alias(f"_hi_{c}") for c in columns])
@@ -156,7 +155,9 @@ def winsorize_columns(df: DataFrame, columns: Sequence[str], lo: float = 0.001,
             b = exact_quantiles(cleaned, c, [lo, hi]).select(F.col("q0").alias(f"_lo_{c}"),
                                                              F.col("q1").alias(f"_hi_{c}"))
             bounds = b if bounds is None else bounds.crossJoin(b)
-    out = cleaned.crossJoin(F.broadcast(bounds))
+    # Checkpointed once (one row), so later passes (encoder fit, final write)
+    # reuse the bounds instead of recomputing the quantiles.
+    out = cleaned.crossJoin(F.broadcast(materialize_small(bounds)))
     clipped = {}
     for c in columns:
         x, a, b = F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
