@@ -160,5 +160,7 @@ def rounded(inner: str, doubles: list[str], digits: int = 6) -> str:
     """Round the double columns of ``inner`` like ``finalize`` does on the Spark side."""
     if not doubles:
         return inner
-    rep = ", ".join(f"round({c}, {digits}) + CAST(0 AS DOUBLE) AS {c}" for c in doubles)
+    sc = f"CAST({10 ** digits} AS DOUBLE)"
+    rep = ", ".join(f"CASE WHEN isnan(CAST({c} AS DOUBLE)) OR abs(CAST({c} AS DOUBLE)) >= 1e12 THEN CAST({c} AS DOUBLE) "
+                    f"ELSE floor(CAST({c} AS DOUBLE) * {sc} + 0.5) / {sc} END AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM ({inner}) AS _q"

@@ -26,12 +26,23 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def round_half_up(c, digits: int = 6):
+    """floor(x * 10^d + 0.5) / 10^d - the same IEEE operations in Spark and in
+    the SQL oracle, so equal inputs round equally even on exact decimal ties
+    (``round`` differs between the engines there).  NaN, inf and magnitudes
+    beyond 1e12 pass through unchanged."""
+    scale = float(10 ** digits)
+    x = c.cast("double")
+    return (F.when(F.isnan(x) | (F.abs(x) >= 1e12), x)
+             .otherwise(F.floor(x * scale + 0.5) / scale))
+
+
 def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column so the Spark and DuckDB results hash alike."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), digits).alias(f.name))
+            cols.append(round_half_up(F.col(f.name), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
