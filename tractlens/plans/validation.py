@@ -130,9 +130,16 @@ def b18(spark, sf):
     return v.input_check(model_input(spark, sf)).select("application_id", "error_message", "is_valid")
 
 
-@register("b19_profile")
+_B19_SQL = with_ctes(APPLICATIONS, body=" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count,
+       CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_count,
+       100.0 - count(*) FILTER (WHERE {c} IS NULL) / count(*) * 100 AS pct_valid FROM applications"""
+    for c in APPLICATION_COLUMNS))
+
+
+@register("b19_profile", rounded(_B19_SQL, ["pct_valid"]))
 def b19(spark, sf):
-    return v.profile(applications(spark, sf))
+    return finalize(v.profile(applications(spark, sf)))
 
 
 @register("j3_duplicate_count", with_ctes(APPLICATIONS, body="""
