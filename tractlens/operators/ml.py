@@ -173,7 +173,9 @@ def feature_importance(model, names: Sequence[str], k: int = 10) -> DataFrame:
         vals = stage.featureImportances.toArray().tolist()
     else:
         vals = [abs(float(x)) for x in stage.coefficients.toArray().tolist()]
-    spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
     df = spark.createDataFrame([(n, float(v)) for n, v in zip(names, vals)], "feature string, importance double")
     return (df.orderBy(F.desc("importance"), "feature").limit(k)
               .withColumn("impact_level", R.impact_level(F.col("importance"))))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractlens.functions import parse
-from tractlens.functions.columns import null_d, div, nan_mean, round2
+from tractlens.functions.columns import div, nan_mean, round2
 from tractlens.functions.stats import grouped_agg_with_medians
 
 # ---------------------------------------------------------------------------
@@ -305,5 +305,3 @@ def business_segment_stats(segmented: DataFrame) -> DataFrame:
                           F.sum("total_population").cast("bigint").alias("total_population"))
                      .withColumn("strategy", segment_strategy(F.col("business_segment"))))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["null_d"]

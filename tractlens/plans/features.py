@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tractlens.operators import features as fe
-from tractlens.operators import opportunity as opp
 from tractlens.oracle.sqlfn import bands_sql, clip_sql, map_sql, nan_mean_sql
 from tractlens.oracle.views import APPLICATIONS, rounded, with_ctes
+from tractlens.plans.opportunity import SCORED_CTES, scored
 from tractlens.plans.registry import finalize, register
 from tractlens.plans.validation import MODEL_INPUT_SQL, model_input
 from tractlens.sources.tables import applications
@@ -163,14 +161,13 @@ def d25(spark, sf):
     return fe.risk_tiers(model_input(spark, sf)).select("application_id", "risk_factors.*")
 
 
-@register("d24_clustering_features", rounded(with_ctes(*__import__("tractlens.plans.opportunity", fromlist=["x"]).SCORED_CTES, body="""
+@register("d24_clustering_features", rounded(with_ctes(*SCORED_CTES, body="""
 SELECT census_tract,
        avg_loan_amount / (median_household_income + 1) AS loan_to_income,
        approval_rate / (denial_rate + 0.01) AS approval_denial_ratio,
        loan_count / (total_population + 1) * 1000 AS loans_per_capita
 FROM scored_final"""), ["loan_to_income", "approval_denial_ratio", "loans_per_capita"]))
 def d24(spark, sf):
-    from tractlens.plans.opportunity import scored
     return finalize(fe.clustering_features(scored(spark, sf))
                     .select("census_tract", "loan_to_income", "approval_denial_ratio", "loans_per_capita"))
 
@@ -180,8 +177,6 @@ def b20(spark, sf):
     return fe.impute_for_model(model_input(spark, sf))
 
 
-__all__ = ["F", "opp"]
-
 
 @register("d17_prediction_features")
 def d17(spark, sf):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tractlens.operators import opportunity as opp
 from tractlens.oracle.tract_sql import (CENSUS_RATES, CLEAN, HPI_LATEST, MASTER, ROLLUP_V1, ROLLUP_V2,
                                         SCORED_DOUBLES, scored_cte)
@@ -151,5 +149,3 @@ FROM segmented GROUP BY business_segment"""), ["avg_score", "std_score", "min_sc
 def f12(spark, sf):
     return finalize(opp.business_segment_stats(opp.business_segments(scored(spark, sf))))
 
-
-__all__ = ["F"]
