@@ -172,9 +172,28 @@ def d24(spark, sf):
                     .select("census_tract", "loan_to_income", "approval_denial_ratio", "loans_per_capita"))
 
 
-@register("b20_impute_for_model")
+def _mode_sql(c: str) -> str:
+    return (f"(SELECT {c} FROM (SELECT {c}, count(*) AS n FROM model_input WHERE {c} IS NOT NULL GROUP BY 1) "
+            f"ORDER BY n DESC, {c} LIMIT 1)")
+
+
+_B20_SQL = with_ctes(APPLICATIONS, MODEL_INPUT_SQL, body=f"""
+SELECT coalesce(application_id, {_mode_sql('application_id')}, 0) AS application_id,
+       coalesce(activity_year, {_mode_sql('activity_year')}, 0) AS activity_year,
+       coalesce(action_taken, {_mode_sql('action_taken')}, 0) AS action_taken,
+       coalesce(income, (SELECT coalesce(median(income), 75.0) FROM model_input)) AS income,
+       coalesce(loan_amount, (SELECT coalesce(median(loan_amount), 200000.0) FROM model_input)) AS loan_amount,
+       coalesce(property_value, (SELECT coalesce(median(property_value), 250000.0) FROM model_input)) AS property_value,
+       coalesce(credit_score, {_mode_sql('credit_score')}, 0) AS credit_score,
+       coalesce(debt_to_income_ratio, {_mode_sql('debt_to_income_ratio')}, 0.0) AS debt_to_income_ratio,
+       coalesce(loan_to_value_ratio, {_mode_sql('loan_to_value_ratio')}, 0.0) AS loan_to_value_ratio
+FROM model_input""")
+
+
+@register("b20_impute_for_model", rounded(_B20_SQL, ["income", "loan_amount", "property_value",
+                                                     "debt_to_income_ratio", "loan_to_value_ratio"]))
 def b20(spark, sf):
-    return fe.impute_for_model(model_input(spark, sf))
+    return finalize(fe.impute_for_model(model_input(spark, sf)))
 
 
 
