@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractlens.llm import chat_format, license_scan, token_orc, url_filter
+from tractlens.llm import chat_format, decontaminate, fertility, license_scan, token_orc, url_filter, viterbi_pieces
 from tractlens.llm.common import read_table, vocabulary_path
 
 #: The rules of op9.
@@ -30,12 +30,20 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(chat_format.conversation_events(c.unionByName(control))))
 
 
+def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_orc.new_path(spark, "token-orc")
     token_orc.write_tokens(read_table(spark, sf_dir, "documents"), path, vocabulary_path("byte_bpe_50k.json"))
     return token_orc.read_digests(spark, path)
 
 
+def op6_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi_pieces.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -46,11 +54,21 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(read_table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
+    "op3_fertility": op3_fertility,
     "op5_token_orc": op5_token_orc,
+    "op6_viterbi_pieces": op6_viterbi_pieces,
     "op7_license_scan": op7_license_scan,
     "op9_url_filter": op9_url_filter,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 OP2_SQL = r"""
@@ -66,4 +84,28 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL}
+#: Words as op10 takes them.
+_WORDS = r"""regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, len(ws[i : i + 12]) AS n, ws[i : i + 12] AS w
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+dwin AS (
+  SELECT doc_id, i, n, ws[i : i + n - 1] AS w
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, lens WHERE len(ws) >= n)),
+hits AS (SELECT doc_id, i, n, item_id FROM dwin JOIN win USING (n, w)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+  SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op10_decontaminate": OP10_SQL}
