@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,9 +84,10 @@ class TokenTable:
     ``capacity * 8`` ids it starts again, which costs time and changes no result.
     """
 
-    def __init__(self, encode_sorted: Callable[[list], tuple[np.ndarray, np.ndarray]], capacity: int = 800_000):
-        #: Sorted distinct words to (their ids one after the other, the number of ids of each).
-        self.encode_sorted, self.capacity = encode_sorted, capacity
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], capacity: int = 800_000,
+                 ordered: bool = False):
+        #: Distinct words, sorted if ``ordered``, to (their ids one after the other, the number of ids of each).
+        self.encode, self.capacity, self.ordered = encode, capacity, ordered
         self.reset()
 
     def reset(self) -> None:
@@ -96,11 +98,12 @@ class TokenTable:
         self.used = 0
 
     def rows(self, words: list) -> np.ndarray:
-        """The row of each word; new words are encoded together, sorted.  Rows hold until the next call."""
+        """The row of each word; new words are encoded together.  Rows hold until the next call."""
         if len(self.index) > self.capacity or self.used > self.capacity * 8:
             self.reset()
-        if new := sorted(set(words).difference(self.index)):
-            flat, lens = self.encode_sorted(new)
+        if new := set(words).difference(self.index):
+            new = sorted(new) if self.ordered else list(new)
+            flat, lens = self.encode(new)
             n, total = len(self.index), len(flat)
             self.start, self.len = _room(self.start, n, len(new)), _room(self.len, n, len(new))
             self.flat = _room(self.flat, self.used, total)
@@ -118,7 +121,7 @@ class TokenTable:
 def flat_ids(lists: list) -> tuple[np.ndarray, np.ndarray]:
     """Lists of ids as one array and their lengths."""
     lens = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((x for ids in lists for x in ids), np.int32, int(lens.sum())), lens
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(lens.sum())), lens
 
 
 def _room(a: np.ndarray, used: int, more: int) -> np.ndarray:

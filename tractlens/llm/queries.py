@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractlens.llm import chat_format, decontaminate, fertility, license_scan, token_orc, url_filter, viterbi_pieces
+from tractlens.llm import (
+    chat_format, decontaminate, fertility, html_extract, license_scan, token_orc, toxicity, url_filter, viterbi_pieces,
+)
 from tractlens.llm.common import read_table, vocabulary_path
 
 #: The rules of op9.
@@ -34,6 +36,10 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(read_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_orc.new_path(spark, "token-orc")
     token_orc.write_tokens(read_table(spark, sf_dir, "documents"), path, vocabulary_path("byte_bpe_50k.json"))
@@ -48,6 +54,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("id"), (F.col("quality") == 0).cast("int").alias("bad"))
@@ -64,9 +75,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_fertility": op3_fertility,
+    "op4_toxicity": op4_toxicity,
     "op5_token_orc": op5_token_orc,
     "op6_viterbi_pieces": op6_viterbi_pieces,
     "op7_license_scan": op7_license_scan,
+    "op8_html_extract": op8_html_extract,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }

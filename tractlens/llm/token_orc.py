@@ -26,6 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,14 +69,20 @@ def _table(path: str) -> TokenTable:
 
     def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Units that may follow each other in a text are encoded as one, and cut by their bytes."""
-        plain = [u[2:] if u[:2] == _FIRST else u if u[:1] == "\n" else " " + u for u in new]
-        joins = np.fromiter((u[:2] != _FIRST and not p[-1:].isspace() for u, p in zip(new, plain)), bool, len(new))
-        alone = [p for p, j in zip(plain, joins) if not j]
+        alone, joined, joins = [], [], np.ones(len(new), bool)
+        for i, u in enumerate(new):
+            if u[:2] == _FIRST:
+                alone.append(u[2:])
+                joins[i] = False
+            elif not u or u[-1].isspace():
+                alone.append(u if u[:1] == "\n" else " " + u)
+                joins[i] = False
+            else:
+                joined.append(u if u[0] == "\n" else " " + u)
         flat, lens = flat_ids([e.ids for e in t.encode_batch_fast(alone, add_special_tokens=False)])
-        joined = [p for p, j in zip(plain, joins) if j]
         texts = ["".join(joined[i : i + 256]) for i in range(0, len(joined), 256)]
         more, _ = flat_ids([e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)])
-        ends = np.cumsum(np.fromiter((len(p.encode()) for p in joined), np.int64, len(joined)))
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, joined)), np.int64, len(joined)))
         cuts = np.searchsorted(np.cumsum(size[more]), ends, side="right")
         n = np.zeros(len(new), np.int64)
         n[~joins], n[joins] = lens, np.diff(cuts, prepend=0)
@@ -92,10 +99,8 @@ def encode_texts(texts: list[str | None], path: str, end_id: int = 0) -> tuple[n
     for a, b in blocks(texts):
         parts = [units(t) if t else [] for t in texts[a:b]]
         per = np.fromiter(map(len, parts), np.int64, b - a)
-        rows = table.rows([u for p in parts for u in p])
-        lens = table.len[rows]
-        n = np.zeros(b - a, np.int64)
-        np.add.at(n, np.repeat(np.arange(b - a), per), lens)
+        rows = table.rows(list(chain.from_iterable(parts)))
+        n = np.bincount(np.repeat(np.arange(b - a), per), table.len[rows], b - a).astype(np.int64)
         out = np.full(int(n.sum()) + b - a, end_id, np.int32)
         out[spans(np.cumsum(n + 1) - (n + 1), n)] = table.ids(rows)
         ids.append(out)

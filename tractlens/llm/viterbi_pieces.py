@@ -130,7 +130,7 @@ def segment_sorted(words: list[str], pieces: Pieces) -> list[list[int]]:
 @functools.lru_cache(maxsize=2)
 def _table(path: str) -> tuple[TokenTable, Pieces]:
     pieces = Pieces(path)
-    return TokenTable(lambda new: flat_ids(segment_sorted(new, pieces)), 800_000), pieces
+    return TokenTable(lambda new: flat_ids(segment_sorted(new, pieces)), 800_000, ordered=True), pieces
 
 
 def marked_words(text: str) -> list[str]:
