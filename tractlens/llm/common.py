@@ -77,21 +77,34 @@ def spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lens) + np.arange(total, dtype=np.int64)
 
 
+class _Index(dict):
+    """Numbers words as they are first asked for; ``new`` collects them."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class TokenTable:
     """Token ids of distinct words, encoded once and read by row number.
 
     It is a worker's memo of bounded size: when it holds ``capacity`` words or
     ``capacity * 8`` ids it starts again, which costs time and changes no result.
+    ``encode`` takes distinct words and returns their ids one after the other, and
+    the number of ids of each.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], capacity: int = 800_000,
-                 ordered: bool = False):
-        #: Distinct words, sorted if ``ordered``, to (their ids one after the other, the number of ids of each).
-        self.encode, self.capacity, self.ordered = encode, capacity, ordered
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], capacity: int = 600_000):
+        self.encode, self.capacity = encode, capacity
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict = {}
+        self.index = _Index()
         self.start = np.zeros(1 << 12, np.int64)
         self.len = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.int32)
@@ -101,18 +114,18 @@ class TokenTable:
         """The row of each word; new words are encoded together.  Rows hold until the next call."""
         if len(self.index) > self.capacity or self.used > self.capacity * 8:
             self.reset()
-        if new := set(words).difference(self.index):
-            new = sorted(new) if self.ordered else list(new)
+        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if new := self.index.new:
             flat, lens = self.encode(new)
-            n, total = len(self.index), len(flat)
+            n, total = len(self.index) - len(new), len(flat)
             self.start, self.len = _room(self.start, n, len(new)), _room(self.len, n, len(new))
             self.flat = _room(self.flat, self.used, total)
             self.start[n : n + len(new)] = self.used + np.cumsum(lens) - lens
             self.len[n : n + len(new)] = lens
             self.flat[self.used : self.used + total] = flat
             self.used += total
-            self.index.update(zip(new, range(n, n + len(new))))
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            self.index.new = []
+        return rows
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
         return self.flat[spans(self.start[rows], self.len[rows])]

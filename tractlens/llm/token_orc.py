@@ -5,8 +5,9 @@ split by a hash of the text), encodes each text once, and writes one ORC file pe
 partition: ids ascend within and across files, stripes hold run-length encoded
 ``ids`` lists, row groups carry min/max indexes, and ``doc_id`` has a Bloom filter.
 Readers open stripes in parallel; a filter on ``doc_id`` skips files, stripes and
-row groups by metadata.  ``start`` (ids before a document in the whole corpus) is
-restored on reading from per-file totals, of which there is one row per file.
+row groups by metadata.  ``before`` counts the ids
+before a document in its file; its place in the whole corpus adds the totals of the files
+before, of which there is one row per file.
 
 Texts are encoded by the ``tokenizers`` library in units: a text without two
 adjacent white-space characters is cut before every space and line feed, where a
@@ -109,30 +110,33 @@ def encode_texts(texts: list[str | None], path: str, end_id: int = 0) -> tuple[n
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """One call is one file: rows are numbered, and count the ids before them, within it."""
+    row = before = 0
     for batch in batches:
-        texts, shard = batch.column(1).to_pylist(), pa.array(np.zeros(0, np.int64))
+        texts = batch.column(1).to_pylist()
         for a, b in blocks(texts, 8 << 20):
             flat, n = encode_texts(texts[a:b], path, end_id)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            shard = pa.ListArray.from_arrays(offsets, pa.array(flat))
+            ends = np.cumsum(n)
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(n), shard, batch.column(2).slice(a, b - a)],
-                names=["doc_id", "n_tokens", "ids", "tie"])
+                [pa.array(np.arange(row, row + b - a)), batch.column(0).slice(a, b - a), pa.array(before + ends - n),
+                 pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(flat))],
+                names=["row", "doc_id", "before", "n_tokens", "ids"])
+            row, before = row + b - a, before + int(n.sum())
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                  end_id: int = 0, partitions: int | None = None, stripe_bytes: int = 16 << 20,
                  index_stride: int = 2000, compress: str = "zstd") -> None:
-    """Writes ``(shard, row, doc_id, n_tokens, ids)`` to ``path``."""
+    """Writes ``(shard, row, doc_id, before, n_tokens, ids)`` to ``path``."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("tie", F.xxhash64("text"))
     d = d.repartitionByRange(partitions or shuffle_partitions(spark), "doc_id", "tie")
-    d = d.sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text", "tie")
+    d = d.sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     coded = d.mapInArrow(lambda it: _encode(it, tokenizer, end_id),
-                         "doc_id long, n_tokens long, ids array<int>, tie long")
-    coded = coded.select(F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("row"),
-                         "doc_id", "n_tokens", "ids")
+                         "row long, doc_id long, before long, n_tokens long, ids array<int>")
+    coded = coded.select(F.spark_partition_id().alias("shard"), "*")
     (coded.write.mode("errorifexists").option("compression", compress)
      .option("orc.stripe.size", str(stripe_bytes)).option("orc.row.index.stride", str(index_stride))
      .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id")
@@ -140,41 +144,37 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``(shard, row, doc_id, n_tokens, ids)``; filters on ``doc_id`` are pushed to the files' metadata."""
-    return spark.read.schema("shard int, row long, doc_id long, n_tokens long, ids array<int>").orc(path)
+    """``(shard, row, doc_id, before, n_tokens, ids)``; filters on ``doc_id`` are pushed to the files' metadata."""
+    return spark.read.schema(
+        "shard int, row long, doc_id long, before long, n_tokens long, ids array<int>").orc(path)
 
 
-def document_starts(tokens: DataFrame) -> DataFrame:
-    """``(shard, row, start)``: files are in id order, and so are rows within a file."""
-    t = tokens.select("shard", "row", "n_tokens")
-    # One row per file: a listing of the output, not of the documents.
-    files = t.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
-    before = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    files = files.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.sum("n_tokens").over(
-        Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
-    return t.select("shard", "row", F.coalesce(inside, F.lit(0)).alias("inside")).join(files, "shard").select(
-        "shard", "row", (F.col("inside") + F.col("before")).alias("start"))
+def shard_starts(tokens: DataFrame) -> DataFrame:
+    """``(shard, shard_start)``: ids of all files before; one row per file, a listing of the output."""
+    files = tokens.groupBy("shard").agg(F.max(F.col("before") + F.col("n_tokens")).alias("total"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("shard", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("shard_start"))
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")
-        values = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-        at = lists.offsets.to_numpy()
+        values = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+        at = lists.offsets.to_numpy().tolist()
         crc = [zlib.crc32(values[a:b]) for a, b in zip(at[:-1], at[1:])]
+        n = [b - a for a, b in zip(at[:-1], at[1:])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("shard"), batch.column("row"), batch.column("doc_id"),
-             pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())],
-            names=["shard", "row", "doc_id", "n_tokens", "ids_crc32"])
+            [batch.column("shard"), batch.column("doc_id"), batch.column("before"), pa.array(n, pa.int64()),
+             pa.array(crc, pa.int64())], names=["shard", "doc_id", "before", "n_tokens", "ids_crc32"])
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` from the files alone."""
     tokens = read_tokens(spark, path)
-    crc = tokens.select("shard", "row", "doc_id", "ids").mapInArrow(
-        _crc, "shard int, row long, doc_id long, n_tokens long, ids_crc32 long")
-    return crc.join(document_starts(tokens), ["shard", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    crc = tokens.select("shard", "doc_id", "before", "ids").mapInArrow(
+        _crc, "shard int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    return crc.join(shard_starts(tokens), "shard").select(
+        "doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -130,7 +130,15 @@ def segment_sorted(words: list[str], pieces: Pieces) -> list[list[int]]:
 @functools.lru_cache(maxsize=2)
 def _table(path: str) -> tuple[TokenTable, Pieces]:
     pieces = Pieces(path)
-    return TokenTable(lambda new: flat_ids(segment_sorted(new, pieces)), 800_000, ordered=True), pieces
+
+    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        order = sorted(range(len(new)), key=new.__getitem__)
+        flat, lens = flat_ids(segment_sorted([new[i] for i in order], pieces))
+        at = np.empty(len(new), np.int64)
+        at[order] = np.arange(len(new))
+        return flat[spans((np.cumsum(lens) - lens)[at], lens[at])], lens[at]
+
+    return TokenTable(encode), pieces
 
 
 def marked_words(text: str) -> list[str]:
