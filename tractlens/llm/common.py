@@ -7,6 +7,7 @@ extra columns with clashing names never reach them.
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -30,15 +31,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; it has to be set and shared by driver and executors."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d is None:
-        conf = spark.conf.get("spark.checkpoint.dir", None)
-        if not conf:
+    """The session's checkpoint folder, shared by driver and executors.
+
+    Only a session on one machine (tests) gets a folder of its own where
+    ``spark.checkpoint.dir`` is unset; a cluster has to name one.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(conf)
-        d = spark.sparkContext.getCheckpointDir()
-    return d
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

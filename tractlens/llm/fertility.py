@@ -172,7 +172,7 @@ def language(lang_col: str) -> Column:
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-            reach: float = 6.0, floor: float = 0.005, min_words: int = 50, vocabulary: str | None = None) -> DataFrame:
+            reach: float = 5.0, floor: float = 0.005, min_words: int = 50, vocabulary: str | None = None) -> DataFrame:
     """``(id, BASE, n_tokens, MEASURES, base_failed, kept)``, one row per row of ``docs``."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), language(lang_col).alias("lang"),
                     F.col(text_col).alias("text"))
@@ -181,7 +181,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return got.select(F.col("id").alias(id_col), *BASE, "n_tokens", *MEASURES, "base_failed", "kept")
 
 
-def keep_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", reach: float = 6.0,
+def keep_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", reach: float = 5.0,
               floor: float = 0.005, min_words: int = 50, vocabulary: str | None = None) -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps, with their columns.
 

@@ -8,7 +8,8 @@ character n-gram (``sizes``) hashed to one of ``2**bits`` cells.
 ``per_class`` rows of each label, those with the smallest hash of their id (a bounded
 sample; its size is a parameter, and also bounds what the driver sees).  Document
 frequencies per class give the log-count ratio ``r`` of every cell (smoothing
-``alpha``); the ``n_features`` cells with the largest likelihood-ratio statistic stay.
+``alpha``); of the cells that speak for label 1 (r > 0), the ``n_features`` with the largest
+likelihood-ratio statistic stay, so that a long text doesn't talk a toxic one down.
 A logistic regression with L2 penalty is fitted on presence * r, with equal class
 weights, so that a score above 0.5 means likelier than at even odds.
 
@@ -48,7 +49,7 @@ class Params:
     n_features: int = 2048
     alpha: float = 1.0
     l2: float = 1.0
-    steps: int = 300
+    steps: int = 600
 
 
 @dataclass
@@ -166,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str
     weights = np.zeros(1 << p.bits)
     if not n.all():
         return Model(p, weights, math.log((n[1] + 1) / (n[0] + 1)))
-    ratios, wanted = log_count_ratios(df, p.alpha), informative(df, n, p.n_features)
+    ratios = log_count_ratios(df, p.alpha)
+    wanted = informative(np.where(ratios > 0, df, 0), n, p.n_features)
     rows = sample.mapInArrow(lambda it: _present(it, p, wanted), "label int, cells array<int>").toPandas()
     number = np.cumsum(wanted) - 1
     offsets = np.concatenate([[0], np.cumsum(rows["cells"].map(len).to_numpy(np.int64))])

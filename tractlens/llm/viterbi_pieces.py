@@ -60,6 +60,8 @@ class Pieces:
             score[order] = -np.log(np.arange(len(raw)) + 2.0)
         else:
             score = raw
+        # Multiples of 2**-20 add up exactly in any order, so that ties are ties.
+        score = np.round(score * 2.0**20) / 2.0**20
         self.score = dict(zip((names[i] for i in normal), score.tolist()))
         self.id = {names[i]: i for i in normal}
         self.byte_id = {int(names[i][1:-1], 16): i for i in range(size) if sp.is_byte(i)}
