@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from tractlens.operators import rules as R
+from tractlens.operators import validate as v
 from tractlens.sources import files, sinks
 from tractlens.sources.tables import applications
 from tractlens.streaming import scoring
@@ -74,9 +75,34 @@ def test_streaming_scoring_matches_batch(spark):
     apps = applications(spark, SF001)
     apps.write.mode("overwrite").parquet(os.path.join(src, "part"))
     stream = scoring.application_stream(spark, os.path.join(src, "part"), apps.schema)
-    q = scoring.start_scoring(spark, stream, "", name="scoring_test", fmt="memory")
+    q = scoring.start_scoring(spark, stream, "", os.path.join(src, "ckpt"), name="scoring_test", fmt="memory")
     q.awaitTermination(120)
     got = spark.sql("SELECT count(*) AS n, sum(credit_score_proxy) AS s FROM scoring_test").collect()[0]
     exp = scoring.score_applications(apps).agg(F.count(F.lit(1)).alias("n"),
                                                F.sum("credit_score_proxy").alias("s")).collect()[0]
     assert got["n"] == exp["n"] and abs((got["s"] or 0) - (exp["s"] or 0)) < 1e-6
+
+
+def test_stream_restart_writes_no_duplicates(spark):
+    d = tempfile.mkdtemp(prefix="tl-stream-")
+    src, sink, ckpt = (os.path.join(d, x) for x in ("src", "sink", "ckpt"))
+    apps = applications(spark, SF001)
+    apps.filter("application_id % 2 = 0").write.parquet(os.path.join(src))
+    for _ in range(2):  # the second start finds nothing new
+        scoring.start_scoring(spark, scoring.application_stream(spark, src, apps.schema), sink, ckpt).awaitTermination(120)
+    apps.filter("application_id % 2 = 1").write.mode("append").parquet(src)
+    scoring.start_scoring(spark, scoring.application_stream(spark, src, apps.schema), sink, ckpt).awaitTermination(120)
+    out = spark.read.parquet(sink)
+    assert out.count() == apps.count() == out.select("application_id").distinct().count()
+
+
+def test_dti_labels_are_parsed_before_they_are_judged(spark):
+    apps = applications(spark, SF001).limit(1).drop("debt_to_income_ratio")
+    labels = {"<20%": 15.0, "20%-<30%": 25.0, "30%-<36%": 33.0, "36": 36.0, "44.5": 44.5, "50%-60%": 55.0, ">60%": 65.0,
+              "Exempt": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in labels], "debt_to_income_ratio string").crossJoin(apps)
+    out = scoring.score_applications(rows.withColumn("application_id", F.monotonically_increasing_id()))
+    clean = v.clean_dataframe(rows, "hmda").select("debt_to_income_ratio")
+    assert sorted((r[0] for r in clean.collect()), key=repr) == sorted(labels.values(), key=repr)
+    tiers = {r["debt_to_income_ratio"]: r["risk_factors"]["dti_risk"] for r in out.collect()}
+    assert tiers[65.0] == "Very High" and tiers[15.0] == "Low" and tiers[None] != "Low"

@@ -26,7 +26,7 @@ def test_class_weights_balance(spark):
 
 def test_logic_check_on_fixture_cases(spark):
     d = labelled(spark, SF001).filter(F.col("is_test") == 0)
-    models = ml.outcome_models(d, FEATURES, model_types=("random_forest",), folds=2, parallelism=2)
+    models = ml.outcome_models(d, FEATURES, model_types=("random_forest",), grids=ml.QUICK_GRIDS, folds=2, parallelism=2)
     # FIXTURES §2 hi_1, hi_2 (denied) and lo_1, lo_2 (approved); DTI / LTV in percent.
     cases = spark.createDataFrame(
         [(30.0, 190000.0, 200000.0, 600.0, 65.0, 98.0, 0.0), (40.0, 475000.0, 500000.0, 600.0, 55.0, 95.0, 0.0),
@@ -35,3 +35,14 @@ def test_logic_check_on_fixture_cases(spark):
         "debt_to_income_ratio double, loan_to_value_ratio double, expected double")
     out = ml.logic_check(models["random_forest"].bestModel, cases, FEATURES).collect()[0]
     assert out["cases"] == 4 and 0.0 <= out["logic_score"] <= 1.0
+
+
+def test_missing_inputs_are_imputed_for_the_model_but_never_tiered(spark):
+    d = labelled(spark, SF001)
+    models = ml.outcome_models(d.filter(F.col("is_test") == 0), FEATURES, model_types=("random_forest",),
+                               grids=ml.QUICK_GRIDS, folds=2, parallelism=2)
+    gaps = d.limit(5).withColumns({c: F.lit(None).cast("double") for c in ("debt_to_income_ratio", "credit_score")})
+    out = ml.batch_score(models["random_forest"].bestModel, gaps, FEATURES).collect()
+    assert len(out) == 5
+    assert all(r["risk_factors"]["dti_risk"] != "Low" and r["debt_to_income_ratio"] is None and r["credit_score"] is None for r in out)
+    assert not any(c.startswith("_imp_") for c in out[0].asDict())

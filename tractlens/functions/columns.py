@@ -58,11 +58,6 @@ def is_finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 
 
-def finite_or(c: Column, default: float = 0.0) -> Column:
-    """null / NaN / +-inf -> default."""
-    return F.when(is_finite(c), c).otherwise(F.lit(default))
-
-
 def nan_mean(cols: Sequence[Column]) -> Column:
     """Row mean that skips nulls (pandas ``mean(axis=1)``); null when all are null."""
     s = sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0))

@@ -117,11 +117,6 @@ def dti_v3(c: Column) -> Column:
     return out.otherwise(null_d())
 
 
-def dti_v3_numeric(c: Column) -> Column:
-    """C8 for a column that is already numeric: the number itself."""
-    return _dbl(c)
-
-
 def dti_v4(c: Column) -> Column:
     """C9 (YoY): drop '%', '>' and '<' then parse; ranges become null."""
     return _dbl(F.regexp_replace(c.cast("string"), "[%<>]", ""))
@@ -142,6 +137,11 @@ def ltv_v2(c: Column) -> Column:
              .when(v > 1, v / 100).otherwise(v))
 
 
+def ltv_percent(c: Column) -> Column:
+    """A text LTV as the percent it says, with or without '%'; else null."""
+    return _dbl(F.regexp_replace(F.trim(c.cast("string")), "%", ""))
+
+
 def to_number(c: Column) -> Column:
     """C11: ``pd.to_numeric(errors='coerce')``."""
     return _dbl(c)

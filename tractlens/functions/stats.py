@@ -1,238 +1,117 @@
-"""Grouped statistics that stay distributed when one group is huge.
-
-Exact medians
--------------
-``F.median`` (an exact percentile) keeps every distinct value of a group in
-one aggregation buffer and merges the partial buffers of a group in a single
-task.  That is fine for a group of a few million rows and fatal for a group
-that holds a third of the table.  ``grouped_agg_with_medians`` therefore
-splits the groups:
-
-* group sizes are counted first (a partial aggregate, cheap and skew-free)
-  and the (bounded) hot-key table is probed with ``take(1)``;
-* *cold* groups (at most ``hot_rows`` rows) get ``F.median`` in the same
-  aggregate as the other statistics;
-* *hot* groups get an exact, distributed selection
-  (``_exact_quantile_rows``): their values are bucketed by value range, bucket
-  counts are aggregated in parallel, the bucket holding the wanted rank is
-  found from a running count over the (few) buckets, and the search repeats
-  inside that bucket.  Only the final, small bucket is ranked with a window.
-
-The hot-group key table has at most ``rows / hot_rows`` entries, so it is
-broadcast with a proven bound.  With no hot group the plan is one aggregate.
+"""Exact medians and quantiles in one lazy plan for every size.
+
+A built-in exact percentile keeps a group's distinct values in one buffer, which
+is fatal for a group that holds a third of the table.  Here no task sees a whole
+group, and rows are never ranked, only distinct values with their counts:
+
+1. *Value counts*: ``groupBy(keys, metric, value).count()``, a partial aggregate, so
+   tied values cost one row per task.
+2. *Buckets*: values fall into ``SCALE`` buckets per power of two (a monotonic
+   function of the value, the same for every group); a running count over a group's
+   buckets gives the rank at which each begins.  A group has at most ``SCALE`` rows
+   here per power of two that its values span.
+3. *Selection*: only the buckets that hold a wanted rank keep their values, which are
+   counted through in order, one bucket at a time.
+
+All metrics and probabilities go through the same plan together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tractlens.session import conf_int, ensure_checkpoint_dir
+from tractlens.session import ensure_checkpoint_dir
 
-HOT_ROWS_CONF = "tractlens.median.hotGroupRows"
-DEFAULT_HOT_ROWS = 5_000_000
-BUCKETS = 4096
-LEVELS = 3
+#: Buckets per power of two: values of one bucket agree to about one part in 6,000.
+SCALE = 4096
+#: Above the exponent of the smallest double (-1074), so that bucket numbers are positive.
+_SHIFT = 1100
 
 
-def _hot_rows(df: DataFrame, hot_rows: int | None) -> int:
-    if hot_rows is not None:
-        return hot_rows
-    return conf_int(df.sparkSession, HOT_ROWS_CONF, DEFAULT_HOT_ROWS)
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Checkpoint a small intermediate (one row of bounds) to the shared
+    checkpoint folder.  This cuts the lineage of multi-step plans, and the
+    result survives executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _bucket(v: Column) -> Column:
+    """A whole number that never falls as ``v`` rises (``log2`` is semi-monotonic)."""
+    size = F.least(F.log2(F.abs(v)), F.lit(1024.0))
+    steps = F.floor((size + _SHIFT) * SCALE) + 1
+    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, steps).otherwise(-steps)
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null; the left side's keys stay."""
+    renamed = right.select(*[F.col(f"`{k}`").alias(f"_r_{i}") for i, k in enumerate(keys)],
+                           *[F.col(f"`{c}`") for c in right.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_r_{i}")) for i, k in enumerate(keys)])
+    return left.join(renamed, on, how).drop(*[f"_r_{i}" for i in range(len(keys))])
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column], probs: Sequence[float]) -> DataFrame:
+    """``(keys, _metric, q0, q1, ...)``: exact linear-interpolated quantiles (as pandas) of
+    every metric per group; nulls and NaN are ignored, and a metric without values has no row."""
+    k = [*keys, "_metric"]
+    vals = [F.struct(F.lit(n).alias("m"), F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias("v"))
+            for n, c in metrics.items()]
+    long = df.select(*[F.col(f"`{c}`") for c in keys], F.explode(F.array(*vals)).alias("_mv")) \
+             .select(*[F.col(f"`{c}`") for c in keys], F.col("_mv.m").alias("_metric"), F.col("_mv.v").alias("_v")) \
+             .filter(F.col("_v").isNotNull())
+    counts = long.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _bucket(F.col("_v")))
+    group = Window.partitionBy(*k)
+    buckets = (counts.groupBy(*k, "_b").agg(F.sum("_c").alias("_bc"))
+               .withColumn("_begin", F.sum("_bc").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+                           - F.col("_bc"))
+               .withColumn("_n", F.sum("_bc").over(group)))
+    place = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = [r for at in place for r in (F.floor(at), F.ceil(at))]
+    wanted = reduce(lambda a, b: a | b, [(F.col("_begin") <= r) & (r < F.col("_begin") + F.col("_bc")) for r in ranks])
+    inside = _null_safe(counts, buckets.filter(wanted).drop("_bc"), [*k, "_b"])
+    through = Window.partitionBy(*k, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_end", F.col("_begin") + F.sum("_c").over(through))
+    at_rank = lambda r: F.max(F.when((F.col("_end") - F.col("_c") <= r) & (r < F.col("_end")), F.col("_v")))
+    picked = inside.groupBy(*k).agg(
+        F.first("_n").alias("_n"), *[at_rank(r).alias(f"_x{i}") for i, r in enumerate(ranks)])
+    return picked.select(*[F.col(f"`{c}`") for c in k], *[
+        (F.when(F.col(f"_x{2 * i}") == F.col(f"_x{2 * i + 1}"), F.col(f"_x{2 * i}")).otherwise(
+            F.col(f"_x{2 * i}") + (F.col(f"_x{2 * i + 1}") - F.col(f"_x{2 * i}")) * (at - F.floor(at)))).alias(f"q{i}")
+        for i, at in enumerate(place)])
+
+
+def quantile_row(df: DataFrame, metrics: Mapping[str, Column], probs: Sequence[float]) -> DataFrame:
+    """One row with ``<metric>__q0, ...`` over the whole frame; null where a metric has no values."""
+    q = quantiles(df, [], metrics, probs)
+    return q.agg(*[F.max(F.when(F.col("_metric") == n, F.col(f"q{i}"))).alias(f"{n}__q{i}")
+                   for n in metrics for i in range(len(probs))])
 
 
 def grouped_agg_with_medians(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
-                             medians: Mapping[str, Column], hot_rows: int | None = None,
-                             ) -> DataFrame:
+                             medians: Mapping[str, Column]) -> DataFrame:
     """``df.groupBy(keys).agg(*aggs, median(m) for m in medians)`` that survives skew.
 
     ``medians`` maps an output name to a numeric column expression.  Null and
     NaN inputs are ignored, as in pandas.
-
-    The hot-group probe is one small aggregate job (key columns only, partial
-    aggregation).  When no group is hot - the usual case - the plan is a single
-    hash aggregate.  Otherwise the hot groups' values are unpivoted to one long
-    (keys, metric, value) table and all their medians are selected together.
     """
     keys = list(keys)
+    main = df.groupBy(*keys).agg(*aggs)
     if not medians:
-        return df.groupBy(*keys).agg(*aggs)
-    limit = _hot_rows(df, hot_rows)
-    vals = {name: F.nanvl(expr.cast("double"), F.lit(None).cast("double"))
-            for name, expr in medians.items()}
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_grp_rows"))
-    hot = sizes.filter(F.col("_grp_rows") > limit).select(*keys)
-    if not hot.take(1):
-        return df.groupBy(*keys).agg(*aggs, *[F.median(v).alias(n) for n, v in vals.items()])
-
-    # At most rows / hot_rows keys: a broadcast with a proven bound.
-    hot = hot.withColumn("_hot", F.lit(True))
-    base = df.select("*", *[c.alias(f"_v_{n}") for n, c in vals.items()])
-    tagged = base.join(F.broadcast(hot), keys, "left")
-    main = tagged.groupBy(*keys).agg(
-        *aggs,
-        *[F.median(F.when(F.col("_hot").isNull(), F.col(f"_v_{n}"))).alias(n) for n in medians])
-    names = list(medians)
-    long = (tagged.filter(F.col("_hot"))
-                  .select(*keys, F.explode(F.array(*[
-                      F.struct(F.lit(n).alias("m"), F.col(f"_v_{n}").alias("v")) for n in names]))
-                      .alias("_mv"))
-                  .select(*keys, F.col("_mv.m").alias("_m"), F.col("_mv.v").alias("v"))
-                  .filter(F.col("v").isNotNull()))
-    hm = _exact_median_hot(long, keys + ["_m"])
-    wide = hm.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_m") == n, F.col("median"))).alias(f"_hot_{n}") for n in names])
-    out = main.join(F.broadcast(wide), keys, "left")
-    for n in names:
-        out = out.withColumn(n, F.coalesce(F.col(n), F.col(f"_hot_{n}"))).drop(f"_hot_{n}")
-    return out
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (from file sizes and plan statistics; no job)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - unknown: treat as large
-        return 1 << 62
-
-
-def materialize_small(df: DataFrame) -> DataFrame:
-    """Checkpoint a small intermediate (bounds, rank targets) to the shared
-    checkpoint folder.  This cuts the lineage of iterative plans so each level
-    re-reads a few rows instead of re-planning every earlier level, and the
-    result survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def _exact_median_hot(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact median of ``v`` per group by distributed rank selection.
-
-    Linear interpolation between the two middle ranks, computed as
-    ``lo + (hi - lo) * 0.5`` like Spark's percentile and DuckDB's
-    ``quantile_cont``.
-    """
-    n = values.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("lo"),
-                                  F.max("v").alias("hi"))
-    targets = (n.select(*keys, F.explode(F.array(
-                    F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2))).alias("r"),
-                    "lo", "hi")
-                .distinct()
-                .withColumn("base", F.lit(0).cast("bigint")))
-    picked = _exact_quantile_rows(values, keys, materialize_small(targets))
-    return (picked.groupBy(*keys)
-                  .agg(F.min("value").alias("a"), F.max("value").alias("b"))
-                  .select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * F.lit(0.5)).alias("median")))
-
-
-def _exact_quantile_rows(values: DataFrame, keys: list[str], targets: DataFrame,
-                         buckets: int = BUCKETS, levels: int = LEVELS) -> DataFrame:
-    """Value at 0-based rank ``r`` for every row of ``targets``.
-
-    ``targets`` holds ``keys, r, lo, hi, base``: the wanted value lies in
-    ``[lo, hi]`` and ``base`` values of the group are below ``lo``.  Each level
-    narrows ``[lo, hi]`` to one of ``buckets`` equal-width buckets using counts
-    aggregated in parallel (the bucket number splits a hot group over many
-    tasks); only the small per-range bucket table is windowed.  ``targets``
-    stays tiny (two rows per hot group) and is broadcast.
-    """
-    rng = keys + ["lo", "hi", "base"]
-    for _ in range(levels):
-        ranges = targets.select(*rng).distinct()
-        rows = (values.join(F.broadcast(ranges), keys, "inner")
-                      .filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
-        width = F.col("hi") - F.col("lo")
-        bk = F.when(width <= 0, F.lit(0)).otherwise(
-            F.least(F.floor((F.col("v") - F.col("lo")) / width * F.lit(buckets)),
-                    F.lit(buckets - 1))).cast("int")
-        counts = (rows.withColumn("bk", bk)
-                      .groupBy(*rng, "bk")
-                      .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("blo"),
-                           F.max("v").alias("bhi")))
-        w = Window.partitionBy(*rng).orderBy("bk").rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.withColumn("start", F.col("base") + F.sum("c").over(w) - F.col("c"))
-        targets = materialize_small(
-            targets.join(counts, rng, "inner")
-                   .filter((F.col("start") <= F.col("r"))
-                           & (F.col("r") < F.col("start") + F.col("c")))
-                   .select(*keys, "r", F.col("blo").alias("lo"), F.col("bhi").alias("hi"),
-                           F.col("start").alias("base")))
-    ranges = targets.select(*rng).distinct()
-    rows = (values.join(F.broadcast(ranges), keys, "inner")
-                  .filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
-    w = Window.partitionBy(*rng).orderBy("v")
-    ranked = rows.withColumn("pos", F.col("base") + F.row_number().over(w) - 1)
-    return (ranked.join(F.broadcast(targets), rng, "inner")
-                  .filter(F.col("pos") == F.col("r"))
-                  .select(*keys, "r", F.col("v").alias("value")))
-
-
-def global_quantiles(df: DataFrame, col: str, probs: Sequence[float], exact: bool = True,
-                     accuracy: int = 100_000) -> DataFrame:
-    """One-row frame with ``q`` = array of quantiles of ``col``.
-
-    ``exact`` uses ``percentile`` (linear interpolation, as pandas), which keeps
-    the distinct values in one buffer; for unbounded inputs pass
-    ``exact=False`` to use the mergeable ``percentile_approx`` sketch.
-    """
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    c = F.col(col).cast("double")
-    if exact:
-        return df.agg(F.percentile(c, arr).alias("q"))
-    return df.agg(F.percentile_approx(c, arr, accuracy).alias("q"))
+        return main
+    wide = quantiles(df, keys, medians, [0.5]).groupBy(*[F.col(f"`{c}`") for c in keys]).agg(
+        *[F.max(F.when(F.col("_metric") == n, F.col("q0"))).alias(n) for n in medians])
+    return _null_safe(main, wide, keys, "left")
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
                     keys: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolated quantiles (pandas / ``percentile``) of ``value``,
-    per group of ``keys`` or over the whole frame when ``keys`` is empty.
-
-    Works by distributed rank selection (``_exact_quantile_rows``), so no task
-    ever holds a whole group or the whole column; output columns are
-    ``q0, q1, ...`` in the order of ``probs``.
-    """
-    keys = list(keys)
+    """Exact quantiles of one value, ``q0, q1, ...``: per group of ``keys``, or one row for the whole frame."""
     v = F.col(value) if isinstance(value, str) else value
-    k = keys or ["_all"]
-    base = df.select(*([F.col(c) for c in keys] or [F.lit(0).alias("_all")]),
-                     F.nanvl(v.cast("double"), F.lit(None).cast("double")).alias("v")) \
-             .filter(F.col("v").isNotNull())
-    n = materialize_small(
-        base.groupBy(*k).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
-    largest = n.agg(F.max("n")).first()[0]
-    if largest is None or largest <= _hot_rows(df, None):
-        # Every group fits one task: the built-in exact percentile is one aggregate.
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        agg = base.groupBy(*k).agg(F.percentile("v", arr).alias("_q"))
-        out = agg.select(*k, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
-        if not keys:
-            one = df.sparkSession.range(1).select(F.lit(0).alias("_all"))
-            out = one.join(out, "_all", "left").drop("_all")
-        return materialize_small(out)
-    ranks = []
-    for i, p in enumerate(probs):
-        pos = (F.col("n") - 1) * F.lit(float(p))
-        ranks.append(F.struct(F.lit(i).alias("i"), F.floor(pos).alias("r"), (pos - F.floor(pos)).alias("frac"),
-                              F.lit(0).alias("side")))
-        ranks.append(F.struct(F.lit(i).alias("i"), F.ceil(pos).alias("r"), (pos - F.floor(pos)).alias("frac"),
-                              F.lit(1).alias("side")))
-    wanted = n.select(*k, "lo", "hi", F.explode(F.array(*ranks)).alias("t")) \
-              .select(*k, "lo", "hi", "t.*")
-    wanted = materialize_small(wanted)
-    targets = wanted.select(*k, "r", "lo", "hi").distinct().withColumn("base", F.lit(0).cast("bigint"))
-    picked = _exact_quantile_rows(base, k, targets)
-    j = wanted.join(picked, k + ["r"], "inner")
-    per = (j.groupBy(*k, "i")
-             .agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("a"),
-                  F.max(F.when(F.col("side") == 1, F.col("value"))).alias("b"),
-                  F.first("frac").alias("frac"))
-             .select(*k, "i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")).alias("q")))
-    out = per.groupBy(*k).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}")
-                                for i in range(len(probs))])
-    if not keys:
-        # An empty input still yields one row of nulls, like a global aggregate.
-        one = df.sparkSession.range(1).select(F.lit(0).alias("_all"))
-        out = one.join(out, "_all", "left").drop("_all")
-    return materialize_small(out)
+    if keys:
+        return quantiles(df, keys, {"v": v}, probs).drop("_metric")
+    return quantile_row(df, {"v": v}, probs).select(*[F.col(f"v__q{i}").alias(f"q{i}") for i in range(len(probs))])

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractlens.functions import parse
+from tractlens.functions.stats import quantile_row
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference.
@@ -40,8 +41,8 @@ def outcome_summary(apps: DataFrame) -> DataFrame:
 
 def action_counts(apps: DataFrame) -> DataFrame:
     """F9 per-code counts with a grand-total row (``rollup``)."""
-    return (apps.rollup("action_taken").agg(F.count(F.lit(1)).alias("count"))
-                .withColumn("is_total", F.col("action_taken").isNull() & F.lit(True)))
+    return apps.rollup("action_taken").agg(F.count(F.lit(1)).alias("count"),
+                                           (F.grouping("action_taken") == 1).alias("is_total"))
 
 
 def yoy_export(metrics: DataFrame) -> DataFrame:
@@ -80,29 +81,32 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std, min, 25/50/75 % (exact, linear) and max per column."""
-    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     row = df.agg(*[e for c in cols for e in (
         F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
-        F.min(F.col(c).cast("double")).alias(f"{c}__min"), F.percentile(F.col(c).cast("double"), q).alias(f"{c}__q"),
-        F.max(F.col(c).cast("double")).alias(f"{c}__max"))])
+        F.min(F.col(c).cast("double")).alias(f"{c}__min"), F.max(F.col(c).cast("double")).alias(f"{c}__max"))])
+    row = row.crossJoin(F.broadcast(quantile_row(df, {c: F.col(c) for c in cols}, [0.25, 0.5, 0.75])))
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
                                F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-                               F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("p25"),
-                               F.col(f"{c}__q")[1].alias("p50"), F.col(f"{c}__q")[2].alias("p75"),
+                               F.col(f"{c}__min").alias("min"), F.col(f"{c}__q0").alias("p25"),
+                               F.col(f"{c}__q1").alias("p50"), F.col(f"{c}__q2").alias("p75"),
                                F.col(f"{c}__max").alias("max")) for c in cols])
     return row.select(F.explode(items).alias("d")).select("d.*")
 
 
 def histogram(df: DataFrame, col: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """equal-width bins between min and max (max falls in the last bin)."""
+    """equal-width bins between min and max (max falls in the last bin); empty bins count 0."""
     st = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     x = F.col(col).cast("double")
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((x - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
-    return (df.filter(x.isNotNull()).crossJoin(F.broadcast(st)).groupBy(b.alias("bin"))
-              .agg(F.count(F.lit(1)).alias("count"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
-              .select("bin", "count", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) / bins * F.col("bin")).alias("bin_start")))
+    counted = (df.filter(x.isNotNull()).crossJoin(F.broadcast(st)).groupBy(b.alias("bin"))
+                 .agg(F.count(F.lit(1)).alias("count")))
+    every = st.filter(F.col("_lo").isNotNull()).select(
+        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "_lo", "_hi")
+    return every.join(F.broadcast(counted), "bin", "left").select(
+        "bin", F.coalesce("count", F.lit(0)).alias("count"),
+        (F.col("_lo") + (F.col("_hi") - F.col("_lo")) / bins * F.col("bin")).alias("bin_start"))
 
 
 def tract_history(metrics: DataFrame, cols: Sequence[str] = ("total_applications", "approval_rate", "avg_loan_amount")) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.types import NumericType
 
 from tractlens.functions import parse
 from tractlens.functions.columns import bands, clip, code_map, nan_mean, null_d
-from tractlens.session import conf_int
+from tractlens.functions.stats import materialize_small, quantile_row
 
 INF = math.inf
 
@@ -130,31 +130,15 @@ def financial_features(df: DataFrame, winsorize_numeric: bool = True,
 
 def winsorize_columns(df: DataFrame, columns: Sequence[str], lo: float = 0.001, hi: float = 0.999) -> DataFrame:
     """B21 for many columns with one quantile pass.  inf -> null first; each
-    column clipped to its own linear quantiles (columns without values untouched).
-
-    The quantiles are global (one value per column).  Up to ``hotGroupRows``
-    rows they come from one ``percentile`` aggregate; above it, from the
-    distributed exact selection, one column at a time.
+    column clipped to its own exact linear quantiles (columns without values untouched).
     """
-    from tractlens.functions.stats import DEFAULT_HOT_ROWS, HOT_ROWS_CONF, exact_quantiles, materialize_small
-
     if not columns:
         return df
     cleaned = df.withColumns({c: F.when(F.abs(F.col(c).cast("double")) == INF, null_d())
                                     .otherwise(F.col(c).cast("double")) for c in columns})
-    arr = F.array(F.lit(lo), F.lit(hi))
-    limit = conf_int(df.sparkSession, HOT_ROWS_CONF, DEFAULT_HOT_ROWS)
-    if cleaned.select(F.lit(1)).limit(limit + 1).count() <= limit:
-        # Small input: one exact ``percentile`` aggregate.
-        q = cleaned.agg(*[F.percentile(F.col(c), arr).alias(f"_q_{c}") for c in columns])
-        bounds = q.select(*[F.col(f"_q_{c}")[0].alias(f"_lo_{c}") for c in columns],
-                          *[F.col(f"_q_{c}")[1].alias(f"_hi_{c}") for c in columns])
-    else:
-        bounds = None
-        for c in columns:
-            b = exact_quantiles(cleaned, c, [lo, hi]).select(F.col("q0").alias(f"_lo_{c}"),
-                                                             F.col("q1").alias(f"_hi_{c}"))
-            bounds = b if bounds is None else bounds.crossJoin(b)
+    q = quantile_row(cleaned, {c: F.col(c) for c in columns}, [lo, hi])
+    bounds = q.select(*[F.col(f"{c}__q0").alias(f"_lo_{c}") for c in columns],
+                      *[F.col(f"{c}__q1").alias(f"_hi_{c}") for c in columns])
     # Checkpointed once (one row), so later passes (encoder fit, final write)
     # reuse the bounds instead of recomputing the quantiles.
     out = cleaned.crossJoin(F.broadcast(materialize_small(bounds)))
@@ -205,7 +189,10 @@ def label_encode(df: DataFrame, columns: Sequence[str], suffix: str = "_encoded"
                         stringOrderType="alphabetAsc", handleInvalid="keep")
     model = idx.fit(staged)
     out = model.transform(staged)
-    return (out.withColumns({f"{c}{suffix}": F.col(f"_lei_{c}").cast("int") for c in present})
+    # A value that the encoder hasn't seen (index = number of labels) gets code 0.
+    seen = {c: len(labels) for c, labels in zip(present, model.labelsArray)}
+    return (out.withColumns({f"{c}{suffix}": F.when(F.col(f"_lei_{c}") < seen[c], F.col(f"_lei_{c}")).otherwise(0).cast("int")
+                             for c in present})
                .drop(*[f"_le_{c}" for c in present], *[f"_lei_{c}" for c in present]))
 
 
@@ -346,27 +333,38 @@ def clustering_features(df: DataFrame) -> DataFrame:
 
 
 def impute_for_model(df: DataFrame, amount_defaults: dict[str, float] | None = None,
-                     categoricals: Sequence[str] = ()) -> DataFrame:
-    """Median for the named amounts (fallback constants when no median),
-    mode for the other numerics, then 0; categoricals -> 'Unknown'.
-
-    One aggregate computes every median (exact ``percentile``, bounded by the
-    distinct values per column) and mode; the one-row result is broadcast.
+                     categoricals: Sequence[str] = (), keys: Sequence[str] = ("application_id", "activity_year")) -> DataFrame:
+    """+-inf -> the 99 % / 1 % quantile of the column's finite values; then the
+    median for the named amounts (fallback constants when no median), the mode
+    (smallest of the most frequent) for the other numerics, then 0; categoricals ->
+    'Unknown'.  Key columns stay as they are.
+
+    Quantiles and modes come from value counts (see ``functions.stats``), so no task
+    holds a column; the one-row results are broadcast.
     """
     amount_defaults = amount_defaults or {"income": 75.0, "loan_amount": 200000.0, "property_value": 250000.0}
-    num = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-    meds = [c for c in amount_defaults if c in num]
-    modes = [c for c in num if c not in meds]
-    aggs = [F.median(F.col(c)).alias(f"_m_{c}") for c in meds] + [F.mode(F.col(c), True).alias(f"_o_{c}") for c in modes]
-    if not aggs:
-        return df
-    st = df.agg(*aggs)
-    out = df.crossJoin(F.broadcast(st))
-    fills = {c: F.coalesce(F.col(c), F.coalesce(F.col(f"_m_{c}"), F.lit(amount_defaults[c])).cast(df.schema[c].dataType))
-             for c in meds}
-    fills.update({c: F.coalesce(F.col(c), F.col(f"_o_{c}"), F.lit(0).cast(df.schema[c].dataType)) for c in modes})
-    fills.update({c: F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) for c in categoricals if c in df.columns})
-    return out.withColumns(fills).drop(*[f"_m_{c}" for c in meds], *[f"_o_{c}" for c in modes])
+    num = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in set(keys)]
+    out = df
+    if num:
+        real = {c: F.col(f"`{c}`").cast("double") for c in num}
+        finite = {c: F.when(F.abs(x) != INF, x) for c, x in real.items()}
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), x.alias("v")) for c, x in finite.items()])
+        counts = (df.select(F.explode(cells).alias("x")).select("x.*").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+                    .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+        modes = counts.groupBy("c").agg(F.max_by("v", F.struct(F.col("n"), -F.col("v"))).alias("mode")).agg(
+            *[F.max(F.when(F.col("c") == c, F.col("mode"))).alias(f"_o_{c}") for c in num])
+        st = quantile_row(df, finite, [0.01, 0.5, 0.99]).crossJoin(modes)
+        out = df.crossJoin(F.broadcast(st))
+        fills = {}
+        for c in num:
+            x = F.when(real[c] == INF, F.col(f"`{c}__q2`")).when(real[c] == -INF, F.col(f"`{c}__q0`")).otherwise(
+                F.nanvl(real[c], null_d()))
+            fill = (F.coalesce(F.col(f"`{c}__q1`"), F.lit(float(amount_defaults[c]))) if c in amount_defaults
+                    else F.coalesce(F.col(f"`_o_{c}`"), F.lit(0.0)))
+            fills[c] = F.coalesce(x, fill).cast(df.schema[c].dataType)
+        out = out.withColumns(fills).drop(*st.columns)
+    return out.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
+                            for c in categoricals if c in df.columns})
 
 
 # Prediction-time feature variant -------------------------------------------

@@ -69,21 +69,57 @@ def _assembler(features: Sequence[str], out: str = "features"):
 
 
 def _prepared(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The temporal models' fill: missing panel values are 0, as in the reference."""
     return df.na.fill(0.0, subset=list(features))
 
 
+def _imputed(features: Sequence[str], out: str = "features") -> list:
+    """B20 as pipeline stages: each feature's median, learnt from the training rows, in a
+    column of its own; tiers, reasons and tables keep reading the original, possibly null ones."""
+    from pyspark.ml.feature import Imputer
+
+    names = [f"_imp_{c}" for c in features]
+    return [Imputer(strategy="median", inputCols=list(features), outputCols=names), _assembler(names, out)]
+
+
+def _numeric(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in features})
+
+
+def _without_model_columns(df: DataFrame) -> DataFrame:
+    return df.drop("features", "_raw", "rawPrediction", "probability", *[c for c in df.columns if c.startswith("_imp_")])
+
+
+#: The reference's grids, as far as MLlib's estimators have the parameter.
+OUTCOME_GRIDS = {
+    "logistic_regression": {"regParam": [100.0, 10.0, 1.0, 0.1, 0.01], "elasticNetParam": [1.0, 0.0]},
+    "random_forest": {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4],
+                      "featureSubsetStrategy": ["sqrt", "log2", "all"]},
+    "gbt": {"maxIter": [100, 200, 300], "stepSize": [0.05, 0.1, 0.15, 0.2], "maxDepth": [3, 5, 7, 10],
+            "minInstancesPerNode": [1, 2, 4], "subsamplingRate": [0.8, 0.9, 1.0]},
+}
+#: A small search for quick runs; callers pass it explicitly.
+QUICK_GRIDS = {
+    "logistic_regression": {"regParam": [0.0, 0.01]},
+    "random_forest": {"numTrees": [30], "maxDepth": [5, 8]},
+    "gbt": {"maxIter": [20], "maxDepth": [3, 5]},
+}
+
+
 def outcome_models(train: DataFrame, features: Sequence[str], label: str = "label", weight: str | None = None,
                    model_types: Sequence[str] = ("logistic_regression", "random_forest", "gbt"),
-                   folds: int = 3, parallelism: int = 4, seed: int = SEED) -> dict:
-    """One cross-validated pipeline per model type (small grids),
-    scored by F1.  Returns {name: fitted CrossValidatorModel}."""
+                   grids: dict[str, dict[str, list]] | None = None, folds: int = 3, parallelism: int = 4,
+                   seed: int = SEED) -> dict:
+    """One cross-validated pipeline per model type over ``grids`` (the reference's
+    by default), scored by F1.  Returns {name: fitted CrossValidatorModel}."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    data = _prepared(train, features).persist(StorageLevel.MEMORY_AND_DISK)
+    grids = grids or OUTCOME_GRIDS
+    data = _numeric(train, features).persist(StorageLevel.MEMORY_AND_DISK)
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
     out = {}
     for name in model_types:
@@ -91,19 +127,16 @@ def outcome_models(train: DataFrame, features: Sequence[str], label: str = "labe
         if weight:
             kw["weightCol"] = weight
         if name == "logistic_regression":
-            est = LogisticRegression(maxIter=50, **kw)
-            stages = [_assembler(features, "_raw"), StandardScaler(inputCol="_raw", outputCol="features",
-                                                                   withMean=True, withStd=True), est]
-            grid = ParamGridBuilder().addGrid(est.regParam, [0.0, 0.01]).build()
-        elif name == "random_forest":
-            est = RandomForestClassifier(numTrees=30, seed=seed, **kw)
-            stages = [_assembler(features), est]
-            grid = ParamGridBuilder().addGrid(est.maxDepth, [5, 8]).build()
+            est = LogisticRegression(maxIter=1000, **kw)
+            stages = [*_imputed(features, "_raw"), StandardScaler(inputCol="_raw", outputCol="features",
+                                                                  withMean=True, withStd=True), est]
         else:
-            est = GBTClassifier(maxIter=20, seed=seed, **kw)
-            stages = [_assembler(features), est]
-            grid = ParamGridBuilder().addGrid(est.maxDepth, [3, 5]).build()
-        cv = CrossValidator(estimator=Pipeline(stages=stages), estimatorParamMaps=grid, evaluator=ev,
+            est = (RandomForestClassifier if name == "random_forest" else GBTClassifier)(seed=seed, **kw)
+            stages = [*_imputed(features), est]
+        grid = ParamGridBuilder()
+        for param, values in grids[name].items():
+            grid = grid.addGrid(est.getParam(param), values)
+        cv = CrossValidator(estimator=Pipeline(stages=stages), estimatorParamMaps=grid.build(), evaluator=ev,
                             numFolds=folds, parallelism=parallelism, seed=seed)
         out[name] = cv.fit(data)
     data.unpersist()
@@ -148,7 +181,7 @@ def batch_score(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
 
     from tractlens.operators.features import risk_tiers
 
-    scored = model.transform(_prepared(df, features))
+    scored = model.transform(_numeric(df, features))
     p = vector_to_array(F.col("probability"))[1]
     reasons = R.rule_denial_reasons(F.col("debt_to_income_ratio"), F.col("loan_to_value_ratio"),
                                     F.col("credit_score"), F.col("income") * 1000, F.col("loan_amount"),
@@ -163,7 +196,7 @@ def batch_score(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
     out = out.withColumn("denial_reasons", F.when(F.col("prediction") == 0, reasons)) \
              .withColumn("risk_warnings", F.when(F.col("prediction") == 1, R.risk_warnings(reasons)))
     out = risk_tiers(out)
-    return out.drop("features", "_raw", "rawPrediction", "probability")
+    return _without_model_columns(out)
 
 
 def feature_importance(model, names: Sequence[str], k: int = 10) -> DataFrame:
@@ -182,21 +215,21 @@ def feature_importance(model, names: Sequence[str], k: int = 10) -> DataFrame:
 
 
 def denial_reason_models(denied: DataFrame, features: Sequence[str], codes_col: str = "denial_codes",
-                         min_positive: int = 5, seed: int = SEED) -> dict:
+                         min_positive: int = 5, seed: int = SEED, trees: int = 100, depth: int = 10) -> dict:
     """One random forest per reason code with at least ``min_positive``
-    positive rows (multi-label, one model per label)."""
+    positive rows (multi-label, one model per label), with balanced class weights."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
 
-    data = _prepared(denied, features).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _numeric(denied, features).persist(StorageLevel.MEMORY_AND_DISK)
     pos = data.select(F.explode(F.array_distinct(F.col(codes_col))).alias("code")).groupBy("code").count()
     eligible = sorted(int(r["code"]) for r in pos.filter(F.col("count") >= min_positive).collect()
                       if r["code"] is not None and 1 <= int(r["code"]) <= 9)
     models = {}
     for code in eligible:
-        lab = data.withColumn("_y", F.array_contains(F.col(codes_col), code).cast("double"))
-        pipe = Pipeline(stages=[_assembler(features), RandomForestClassifier(labelCol="_y", numTrees=30,
-                                                                             maxDepth=6, seed=seed)])
+        lab = class_weights(data.withColumn("_y", F.array_contains(F.col(codes_col), code).cast("double")), "_y", "_w")
+        pipe = Pipeline(stages=[*_imputed(features), RandomForestClassifier(
+            labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)])
         models[code] = pipe.fit(lab)
     data.unpersist()
     return models
@@ -206,11 +239,11 @@ def predict_denial_reasons(models: dict, df: DataFrame, features: Sequence[str])
     """L14 scoring + K15: per-reason probabilities, likely reasons (> 0.5) and the primary reason."""
     from pyspark.ml.functions import vector_to_array
 
-    out = _prepared(df, features)
+    out = _numeric(df, features)
     names = []
     for code, m in models.items():
-        out = m.transform(out).withColumn(f"_p_{code}", vector_to_array("probability")[1]) \
-               .drop("features", "rawPrediction", "probability", "prediction")
+        out = _without_model_columns(
+            m.transform(out).withColumn(f"_p_{code}", vector_to_array("probability")[1])).drop("prediction")
         names.append(code)
     if not names:
         return out.withColumn("denial_explanation", F.lit(None))
@@ -223,7 +256,7 @@ def predict_denial_reasons(models: dict, df: DataFrame, features: Sequence[str])
 # Temporal regressors ------------------------------------------------------------
 def temporal_models(temporal: DataFrame, features: Sequence[str], label: str = "opportunity_score",
                     min_rows: int = MIN_TRAIN_ROWS, seed: int = SEED,
-                    years: Sequence[int] | None = None) -> tuple[DataFrame, dict]:
+                    years: Sequence[int] | None = None, trees: int = 50, rounds: int = 50) -> tuple[DataFrame, dict]:
     """L4: for each training year, fit random forest and GBT regressors on all
     rows up to that year (hash 80/20 split), evaluate R2 / MSE / MAE, keep the
     best by R2.  Returns (metrics table, {year: (best name, fitted model)})."""
@@ -241,8 +274,8 @@ def temporal_models(temporal: DataFrame, features: Sequence[str], label: str = "
         if sub.limit(min_rows).count() < min_rows:
             continue
         tr, te = sub.filter(F.col("_u") >= TEST_FRACTION), sub.filter(F.col("_u") < TEST_FRACTION)
-        cands = {"random_forest": RandomForestRegressor(labelCol=label, numTrees=30, seed=seed),
-                 "gbt": GBTRegressor(labelCol=label, maxIter=20, seed=seed)}
+        cands = {"random_forest": RandomForestRegressor(labelCol=label, numTrees=trees, seed=seed),
+                 "gbt": GBTRegressor(labelCol=label, maxIter=rounds, seed=seed)}
         for name, est in cands.items():
             m = Pipeline(stages=[_assembler(features), est]).fit(tr)
             p = m.transform(te)
@@ -257,7 +290,7 @@ def temporal_models(temporal: DataFrame, features: Sequence[str], label: str = "
 
 
 def expanding_window_cv(temporal: DataFrame, features: Sequence[str], label: str = "opportunity_score",
-                        seed: int = SEED, splits: int = 3) -> DataFrame:
+                        seed: int = SEED, splits: int = 3, trees: int = 100, rounds: int = 100) -> DataFrame:
     """For each of the last ``splits`` cut-off years train on earlier years
     and test on that year (by time, trap T5 fixed); mean R2 per model type."""
     from pyspark.ml import Pipeline
@@ -269,8 +302,8 @@ def expanding_window_cv(temporal: DataFrame, features: Sequence[str], label: str
     rows = []
     for cut in years[1:][-splits:]:
         tr, te = data.filter(F.col("year") < cut), data.filter(F.col("year") == cut)
-        for name, est in {"random_forest": RandomForestRegressor(labelCol=label, numTrees=30, seed=seed),
-                          "gbt": GBTRegressor(labelCol=label, maxIter=20, seed=seed),
+        for name, est in {"random_forest": RandomForestRegressor(labelCol=label, numTrees=trees, seed=seed),
+                          "gbt": GBTRegressor(labelCol=label, maxIter=rounds, seed=seed),
                           "linear": LinearRegression(labelCol=label)}.items():
             m = Pipeline(stages=[_assembler(features), est]).fit(tr)
             r2 = RegressionEvaluator(labelCol=label, metricName="r2").evaluate(m.transform(te))
@@ -321,7 +354,7 @@ def denial_patterns(denied: DataFrame, groups: Sequence[str], codes_col: str = "
 def logic_check(model, cases: DataFrame, features: Sequence[str], expected: str = "expected") -> DataFrame:
     """Score a frame of extreme cases (expected 1 = approved, 0 = denied)
     and report the share the model gets right."""
-    p = model.transform(_prepared(cases, features))
+    p = model.transform(_numeric(cases, features))
     return p.agg(F.count(F.lit(1)).alias("cases"),
                  F.avg((F.col("prediction") == F.col(expected)).cast("double")).alias("logic_score"))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +44,9 @@ CHANNELS_OTHER = ["Community Outreach", "Local Partnerships", "Social Media"]
 
 
 def kmeans_segments(df: DataFrame, features: Sequence[str] = CLUSTER_FEATURES, k_values: Sequence[int] = range(2, 7),
-                    seed: int = 42, id_col: str = "census_tract") -> tuple[DataFrame, DataFrame]:
-    """L2 + L3: standardise, fit K-means for each k, keep the best silhouette,
-    and renumber clusters by their centre's first feature so ids and names are
+                    seed: int = 42, id_col: str = "census_tract", starts: int = 10) -> tuple[DataFrame, DataFrame]:
+    """L2 + L3: standardise, fit K-means for each k (the cheapest of ``starts``
+    starts), keep the best silhouette, and renumber clusters by their centre's first feature so ids and names are
     stable across runs (trap T19).  Returns (segmented rows, k search table)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
@@ -56,12 +57,14 @@ def kmeans_segments(df: DataFrame, features: Sequence[str] = CLUSTER_FEATURES, k
     base = df.na.fill(0, subset=present)
     prep = Pipeline(stages=[VectorAssembler(inputCols=present, outputCol="_raw", handleInvalid="keep"),
                             StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)])
-    scaled = prep.fit(base).transform(base)
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = prep.fit(base).transform(base).persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     results = []
     best = None
     for k in k_values:
-        model = KMeans(k=k, seed=seed, featuresCol="features", maxIter=50).fit(scaled)
+        tries = [KMeans(k=k, seed=seed + i, featuresCol="features", maxIter=50).fit(scaled) for i in range(starts)]
+        model = min(tries, key=lambda m: m.summary.trainingCost)
         pred = model.transform(scaled)
         sil = evaluator.evaluate(pred)
         results.append((int(k), float(sil), float(model.summary.trainingCost)))

@@ -13,10 +13,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
+from tractlens.functions import parse
 from tractlens.functions.columns import null_d
-from tractlens.functions.stats import exact_quantiles
+from tractlens.functions.stats import exact_quantiles, materialize_small, quantile_row
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference: rule sets per table type (B1).
@@ -232,6 +233,19 @@ def _column_rules(st: _Stager, column: str, rule: dict, strict: bool, numeric_in
     return orig.alias(column), checks, sanitized, remove
 
 
+def parse_ratios(df: DataFrame) -> DataFrame:
+    """Ratio *texts* become numbers before any rule sees them.  DTI labels
+    ('>60%', '20%-<30%', ...) are parsed, LTV texts lose their '%', 'Exempt' and
+    the like become null; text that stays unreadable is left to B4."""
+    out = df
+    for c, number in (("debt_to_income_ratio", parse.dti_v2), ("loan_to_value_ratio", parse.ltv_percent)):
+        if c in df.columns and isinstance(df.schema[c].dataType, StringType):
+            t = F.trim(F.col(c))
+            none = t.isin("nan", "NA", "", "Exempt") | (F.lower(t) == "exempt")
+            out = out.withColumn(c, F.when(~none, F.coalesce(number(F.col(c)).cast("string"), F.col(c))))
+    return out
+
+
 def _plan(df: DataFrame, data_type: str, strict: bool):
     rules = RULES.get(data_type, {})
     cols = set(df.columns)
@@ -291,6 +305,7 @@ def _additional(clean_exprs: dict[str, Column], cols: set[str], data_type: str)
 
 def clean_dataframe(df: DataFrame, data_type: str, strict: bool = False) -> DataFrame:
     """The sanitized (non-strict) or filtered (strict) table."""
+    df = parse_ratios(df)
     rules, st, exprs, _, _, removed, _ = _plan(df, data_type, strict)
     if not rules:
         return df
@@ -302,6 +317,7 @@ def validation_report(df: DataFrame, data_type: str, strict: bool = False) -> Da
     """B2 report: one row per issue (data_type, column, severity, check, count, message)
     plus a ``summary`` row holding rows processed / removed / sanitized and the status."""
     spark = df.sparkSession
+    df = parse_ratios(df)
     rules, st, exprs, checks, sanitized, removed, static = _plan(df, data_type, strict)
     if not rules:
         return spark.createDataFrame(
@@ -460,7 +476,8 @@ def iqr_filter(df: DataFrame, columns: Sequence[str] = IQR_COLUMNS) -> DataFrame
     for c in columns:
         if c not in out.columns:
             continue
-        q = exact_quantiles(out, c, [0.25, 0.75])
+        # One checkpointed row per step, so that no step plans the earlier ones' quartiles again.
+        q = materialize_small(exact_quantiles(out, c, [0.25, 0.75]))
         b = q.select((F.col("q0") - (F.col("q1") - F.col("q0")) * 1.5).alias("_lo"),
                      (F.col("q1") + (F.col("q1") - F.col("q0")) * 1.5).alias("_hi"))
         out = (out.crossJoin(F.broadcast(b))
@@ -503,17 +520,21 @@ def input_check(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, key_cols: Sequence[str] = ()) -> DataFrame:
-    """Per column null count, distinct count and null %; plus the duplicate
-    row count, as one row per column."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for c in df.columns:
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"n_{c}"), F.count_distinct(F.col(c)).alias(f"d_{c}")]
-    one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").cast("bigint").alias("null_count"),
-                              F.col(f"d_{c}").cast("bigint").alias("distinct_count")) for c in df.columns])
-    return (one.select("_rows", F.explode(rows).alias("p")).select(
-        "p.column", "p.null_count", "p.distinct_count",
-        (F.lit(100.0) - F.col("p.null_count") / F.col("_rows") * 100).alias("pct_valid")))
+    """Per column null count, distinct count and null %, as one row per column.
+
+    Cells are unpivoted to (column, hash, length) and grouped with partial
+    aggregation; the second aggregate then only counts.  Distinct values are told
+    apart by a 64-bit hash and a second, independent one.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("empty"),
+                               F.xxhash64(F.col(c)).alias("a"), F.hash(F.col(c)).alias("b")) for c in df.columns])
+    seen = (df.select(F.explode(cells).alias("x")).select("x.*")
+              .groupBy("column", "empty", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    per = seen.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("empty"), F.col("n"))), F.lit(0)).cast("bigint").alias("null_count"),
+        F.count_if(~F.col("empty")).cast("bigint").alias("distinct_count"), F.sum("n").alias("_rows"))
+    return per.select("column", "null_count", "distinct_count",
+                      (F.lit(100.0) - F.col("null_count") / F.col("_rows") * 100).alias("pct_valid"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -525,18 +546,17 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 def winsorize(df: DataFrame, columns: Sequence[str], lo: float = 0.001, hi: float = 0.999) -> DataFrame:
     """Clip each numeric column at its 0.1 % / 99.9 % linear quantiles
-    (inf -> null first).  Exact quantiles by distributed selection."""
+    (inf -> null first).  All columns' exact quantiles come from one plan."""
     out = df
     for c in columns:
         x = F.col(c).cast("double")
         out = out.withColumn(c, F.when(F.abs(x) == float("inf"), null_d()).otherwise(x))
+    q = quantile_row(out, {c: F.col(c) for c in columns}, [lo, hi])
+    out = out.crossJoin(F.broadcast(q))
     for c in columns:
-        q = exact_quantiles(out, c, [lo, hi]).select(F.col("q0").alias(f"_lo_{c}"), F.col("q1").alias(f"_hi_{c}"))
-        out = out.crossJoin(F.broadcast(q))
-        x, a, b = F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        out = out.withColumn(c, F.when(x.isNull(), null_d()).when(x < a, a).when(x > b, b).otherwise(x)) \
-                 .drop(f"_lo_{c}", f"_hi_{c}")
-    return out
+        x, a, b = F.col(c), F.col(f"{c}__q0"), F.col(f"{c}__q1")
+        out = out.withColumn(c, F.when(x.isNull(), null_d()).when(x < a, a).when(x > b, b).otherwise(x))
+    return out.drop(*q.columns)
 
 
 def finite_fill(df: DataFrame, columns: Sequence[str], value: float = 0.0) -> DataFrame:

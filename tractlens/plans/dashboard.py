@@ -176,12 +176,12 @@ def f23(spark, sf):
     return finalize(db.describe(model_input(spark, sf), _CORR_COLS))
 
 
-@register("f24_histogram", rounded(with_ctes(*SCORED_CTES, body="""
-SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((opportunity_score - lo) / ((hi - lo) / 20)), 19) END AS INT) AS bin,
-       count(*) AS count, any_value(lo) + (any_value(hi) - any_value(lo)) / 20 * any_value(
-         CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((opportunity_score - lo) / ((hi - lo) / 20)), 19) END AS INT)) AS bin_start
-FROM scored_final, (SELECT min(opportunity_score) AS lo, max(opportunity_score) AS hi FROM scored_final)
-WHERE opportunity_score IS NOT NULL GROUP BY 1"""), ["bin_start"]))
+@register("f24_histogram", rounded(with_ctes(*SCORED_CTES, """
+b AS (SELECT min(opportunity_score) AS lo, max(opportunity_score) AS hi FROM scored_final)""", """
+h AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((opportunity_score - lo) / ((hi - lo) / 20)), 19) END AS INT) AS bin,
+             count(*) AS n FROM scored_final, b WHERE opportunity_score IS NOT NULL GROUP BY 1)""", body="""
+SELECT CAST(r.bin AS INT) AS bin, coalesce(h.n, 0) AS count, lo + (hi - lo) / 20 * r.bin AS bin_start
+FROM b, (SELECT unnest(range(0, 20)) AS bin) r LEFT JOIN h ON h.bin = r.bin"""), ["bin_start"]))
 def f24(spark, sf):
     return finalize(db.histogram(scored(spark, sf), "opportunity_score"))
 

@@ -178,8 +178,7 @@ def _mode_sql(c: str) -> str:
 
 
 _B20_SQL = with_ctes(APPLICATIONS, MODEL_INPUT_SQL, body=f"""
-SELECT coalesce(application_id, {_mode_sql('application_id')}, 0) AS application_id,
-       coalesce(activity_year, {_mode_sql('activity_year')}, 0) AS activity_year,
+SELECT application_id, activity_year,
        coalesce(action_taken, {_mode_sql('action_taken')}, 0) AS action_taken,
        coalesce(income, (SELECT coalesce(median(income), 75.0) FROM model_input)) AS income,
        coalesce(loan_amount, (SELECT coalesce(median(loan_amount), 200000.0) FROM model_input)) AS loan_amount,

@@ -29,8 +29,9 @@ def labelled(spark, sf):
 
 def _fit(spark, sf, model_types=("logistic_regression", "random_forest", "gbt")):
     d = labelled(spark, sf)
-    d = ml.class_weights(d, "label")
-    models = ml.outcome_models(d.filter(F.col("is_test") == 0), FEATURES, weight="weight", model_types=model_types)
+    # Balanced weights of the training rows alone; the quick grids are an explicit choice.
+    train = ml.class_weights(d.filter(F.col("is_test") == 0), "label")
+    models = ml.outcome_models(train, FEATURES, weight="weight", model_types=model_types, grids=ml.QUICK_GRIDS)
     return d, models
 
 
@@ -61,7 +62,7 @@ def l12(spark, sf):
     test = d.filter(F.col("is_test") == 1)
     out = None
     for name, m in models.items():
-        met = ml.classification_metrics(m.transform(ml._prepared(test, FEATURES)), "label", name)
+        met = ml.classification_metrics(m.transform(ml._numeric(test, FEATURES)), "label", name)
         out = met if out is None else out.unionByName(met)
     return ml.model_summary(out)
 
@@ -75,7 +76,7 @@ def l16(spark, sf):
 @register("l17_confusion_matrix")
 def l17(spark, sf):
     d, models = _fit(spark, sf, ("gbt",))
-    test = ml._prepared(d.filter(F.col("is_test") == 1), FEATURES)
+    test = ml._numeric(d.filter(F.col("is_test") == 1), FEATURES)
     return ml.confusion_matrix(models["gbt"].transform(test), "label")
 
 
@@ -171,10 +172,9 @@ def _temporal_fit(spark, sf, latest_only=False):
     t = temporal(spark, sf)
     feats = tm.TEMPORAL_FEATURES[1:] + ["year_normalized", "total_applications"] + [
         c for c in t.columns if c.endswith(("_lag1", "_yoy_change", "_yoy_pct_change", "_ma2"))]
-    # The reference trains one model set per year of its three-year panel:
-    # the last three years here (or only the latest for forecasting).
+    # One model set per year of the panel; forecasts use that of the latest year only.
     recent = sorted(r[0] for r in t.select("year").distinct().collect())
-    years = recent[-1:] if latest_only else recent[-3:]
+    years = recent[-1:] if latest_only else recent
     metrics, best = ml.temporal_models(t, feats, years=years)
     return t, feats, metrics, best
 

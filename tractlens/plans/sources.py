@@ -11,11 +11,10 @@ from tractlens.sources.tables import applications, census, hpi
 
 
 @register("a3_split_by_year", with_ctes(APPLICATIONS, body="""
-SELECT activity_year, count(*) AS applications FROM applications
-WHERE activity_year IN (SELECT DISTINCT activity_year FROM applications ORDER BY 1 DESC LIMIT 3) GROUP BY 1"""))
+SELECT activity_year, count(*) AS applications FROM applications GROUP BY 1"""))
 def a3(spark, sf):
     a = applications(spark, sf)
-    years = [r[0] for r in a.select("activity_year").distinct().orderBy(F.desc("activity_year")).limit(3).collect()]
+    years = [r[0] for r in a.select("activity_year").distinct().collect()]
     return files.split_by_year(a, years).groupBy("activity_year").agg(F.count(F.lit(1)).alias("applications"))
 
 

@@ -24,44 +24,47 @@ def model_input(spark, sf):
                     parse.ltv_v1(F.col("loan_to_value_ratio")).alias("loan_to_value_ratio"))
 
 
-MODEL_INPUT_SQL = """
-model_input AS (
-SELECT application_id, activity_year, action_taken, income, loan_amount, property_value, credit_score,
-       CASE WHEN debt_to_income_ratio IS NULL OR trim(debt_to_income_ratio) IN ('nan', 'NA', '', 'Exempt') THEN NULL
-            WHEN starts_with(replace(trim(debt_to_income_ratio), '%', ''), '>')
-                 THEN TRY_CAST(substr(replace(trim(debt_to_income_ratio), '%', ''), 2) AS DOUBLE) + 5
-            WHEN starts_with(replace(trim(debt_to_income_ratio), '%', ''), '<')
-                 THEN greatest(0.0, TRY_CAST(substr(replace(trim(debt_to_income_ratio), '%', ''), 2) AS DOUBLE) - 5)
+_T = "replace(trim(debt_to_income_ratio), '%', '')"
+DTI_SQL = f"""CASE WHEN debt_to_income_ratio IS NULL OR trim(debt_to_income_ratio) IN ('nan', 'NA', '', 'Exempt') THEN NULL
+            WHEN starts_with({_T}, '>') THEN TRY_CAST(substr({_T}, 2) AS DOUBLE) + 5
+            WHEN starts_with({_T}, '<') THEN greatest(0.0, TRY_CAST(substr({_T}, 2) AS DOUBLE) - 5)
             WHEN contains(debt_to_income_ratio, '-<')
-                 THEN (TRY_CAST(split_part(replace(trim(debt_to_income_ratio), '%', ''), '-<', 1) AS DOUBLE)
-                       + TRY_CAST(split_part(replace(trim(debt_to_income_ratio), '%', ''), '-<', 2) AS DOUBLE)) / 2
+                 THEN (TRY_CAST(split_part({_T}, '-<', 1) AS DOUBLE) + TRY_CAST(split_part({_T}, '-<', 2) AS DOUBLE)) / 2
             WHEN contains(debt_to_income_ratio, '-')
-                 THEN (TRY_CAST(split_part(replace(trim(debt_to_income_ratio), '%', ''), '-', 1) AS DOUBLE)
-                       + TRY_CAST(split_part(replace(trim(debt_to_income_ratio), '%', ''), '-', 2) AS DOUBLE)) / 2
-            ELSE TRY_CAST(replace(trim(debt_to_income_ratio), '%', '') AS DOUBLE) END AS debt_to_income_ratio,
+                 THEN (TRY_CAST(split_part({_T}, '-', 1) AS DOUBLE) + TRY_CAST(split_part({_T}, '-', 2) AS DOUBLE)) / 2
+            ELSE TRY_CAST({_T} AS DOUBLE) END"""
+MODEL_INPUT_SQL = f"""
+model_input AS (
+SELECT application_id, activity_year, action_taken, income, loan_amount, property_value, credit_score,
+       {DTI_SQL} AS debt_to_income_ratio,
        CASE WHEN loan_to_value_ratio = 'Exempt' THEN NULL ELSE TRY_CAST(loan_to_value_ratio AS DOUBLE) END
             AS loan_to_value_ratio
 FROM applications)"""
+# Ratio texts are numbers before the rules see them.
+PARSED_SQL = f"""
+parsed AS (SELECT * REPLACE (CAST({DTI_SQL} AS VARCHAR) AS debt_to_income_ratio,
+  CASE WHEN loan_to_value_ratio = 'Exempt' THEN NULL ELSE CAST(TRY_CAST(replace(loan_to_value_ratio, '%', '') AS DOUBLE) AS VARCHAR)
+       END AS loan_to_value_ratio) FROM applications)"""
 
 
-@register("b2_clean_hmda", with_ctes(APPLICATIONS, body=clean_sql("applications", APPLICATION_COLUMNS, "hmda", False)))
+@register("b2_clean_hmda", with_ctes(APPLICATIONS, PARSED_SQL, body=clean_sql("parsed", APPLICATION_COLUMNS, "hmda", False)))
 def b2_clean(spark, sf):
     return finalize(v.clean_dataframe(applications(spark, sf), "hmda"))
 
 
-@register("b2_report_hmda", with_ctes(APPLICATIONS, body="SELECT * FROM (" +
-                                      report_sql("applications", APPLICATION_COLUMNS, "hmda", False) + ")"))
+@register("b2_report_hmda", with_ctes(APPLICATIONS, PARSED_SQL, body="SELECT * FROM (" +
+                                      report_sql("parsed", APPLICATION_COLUMNS, "hmda", False) + ")"))
 def b2_report(spark, sf):
     return v.validation_report(applications(spark, sf), "hmda")
 
 
-@register("b3_clean_hmda_strict", with_ctes(APPLICATIONS, body=clean_sql("applications", APPLICATION_COLUMNS, "hmda", True)))
+@register("b3_clean_hmda_strict", with_ctes(APPLICATIONS, PARSED_SQL, body=clean_sql("parsed", APPLICATION_COLUMNS, "hmda", True)))
 def b3_strict(spark, sf):
     return finalize(v.clean_dataframe(applications(spark, sf), "hmda", strict=True))
 
 
-@register("b5_report_hmda_strict", with_ctes(APPLICATIONS, body="SELECT * FROM (" +
-                                            report_sql("applications", APPLICATION_COLUMNS, "hmda", True) + ")"))
+@register("b5_report_hmda_strict", with_ctes(APPLICATIONS, PARSED_SQL, body="SELECT * FROM (" +
+                                            report_sql("parsed", APPLICATION_COLUMNS, "hmda", True) + ")"))
 def b5_report_strict(spark, sf):
     return v.validation_report(applications(spark, sf), "hmda", strict=True)
 

@@ -46,8 +46,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is used as is.  Only
-    when it is unset (local tests) a fresh scratch folder is made.
+    A session on one machine (tests) gets a scratch folder where the setting is
+    unset; a cluster has to name a folder that driver and executors share.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,17 +55,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="tractlens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
-def conf_int(spark: SparkSession, key: str, default: int) -> int:
-    try:
-        return int(spark.conf.get(key, str(default)))
-    except Exception:  # noqa: BLE001 - unset or unparsable: use the default
-        return default
-
-
 def bench_master() -> str:
     return f"local[{os.environ.get('BENCH_CPUS', '8')}]"

@@ -30,22 +30,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Fan a scan that yields fewer splits than the cluster has cores (e.g. one
-    parquet row group) out to ``defaultParallelism`` tasks, so the per-row
-    expressions after it run in parallel.  Large inputs already have many
-    splits and are returned unchanged - no extra shuffle at scale.  The split
-    count is planning metadata (no job).
-
-    Not applied to the lending views by default: it changes the order of
-    floating-point sums, which moves values that sit exactly on a rounding
-    boundary away from the single-threaded SQL oracle."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def tract_id(nationkey: Column, custkey: Column) -> Column:
     """11-character tract id: '20' + 3-digit county + 6-digit tract."""
     return F.concat(county_id(nationkey), F.lpad((custkey % 8).cast("string"), 6, "0"))

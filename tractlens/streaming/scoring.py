@@ -3,13 +3,11 @@
 The reference is batch only; the row-level jobs (non-strict validation,
 application features without global statistics, rule reasons, risk tiers)
 are plain column expressions, so the same functions run on a streaming
-DataFrame.  Checkpoints go under the cluster's ``spark.checkpoint.dir``.
+DataFrame.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +16,6 @@ from tractlens.functions import parse
 from tractlens.operators import features as fe
 from tractlens.operators import rules as R
 from tractlens.operators import validate as v
-from tractlens.session import ensure_checkpoint_dir
 
 
 def application_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
@@ -44,12 +41,14 @@ def score_applications(df: DataFrame) -> DataFrame:
     return fe.risk_tiers(out.withColumn("loan_to_value_ratio", parse.ltv_v1(F.col("loan_to_value_ratio"))))
 
 
-def start_scoring(spark: SparkSession, stream: DataFrame, sink_path: str, name: str = "application_scoring",
-                  available_now: bool = True, fmt: str = "parquet"):
-    """Start the scoring stream into ``sink_path`` with a checkpoint in the
-    shared checkpoint folder; returns the StreamingQuery."""
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
-    w = (score_applications(stream).writeStream.format(fmt).option("checkpointLocation", ckpt)
+def start_scoring(spark: SparkSession, stream: DataFrame, sink_path: str, checkpoint_path: str,
+                  name: str = "application_scoring", available_now: bool = True, fmt: str = "parquet"):
+    """Start the scoring stream into ``sink_path``; returns the StreamingQuery.
+
+    ``checkpoint_path`` is the stream's own folder on shared storage: a restart with
+    the same path goes on after the files that were already scored.
+    """
+    w = (score_applications(stream).writeStream.format(fmt).option("checkpointLocation", checkpoint_path)
          .outputMode("append").queryName(name))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start(sink_path) if fmt != "memory" else w.start()
