@@ -13,7 +13,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step holds at once besides a single long text.
 BLOCK_BYTES = 2 << 20
@@ -61,6 +62,35 @@ def raw_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def text_column(df: DataFrame, text: str | tuple[str, str]) -> Callable[[pa.RecordBatch], pa.Array]:
+    """Finds the texts in a batch of ``df``: a column, or (struct column, field)."""
+    if isinstance(text, str):
+        at = df.columns.index(text)
+        return lambda batch: batch.column(at)
+    at, field = df.columns.index(text[0]), text[1]
+    return lambda batch: batch.column(at).field(field)
+
+
+def whole_rows(df: DataFrame, *more: Column) -> DataFrame:
+    """``df`` as one struct column ``row``, which clashes with no result's name."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *more)
+
+
+def schema_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """A worker's one large memo; an operator that asks for its own lets the one before go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes of text each; a longer text is a range of its own."""
     start, size = 0, 0

@@ -19,14 +19,14 @@ benchmark leaves every document clean; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import ALNUM_LOWER, blocks, raw_bytes, spans
+from tractlens.llm.common import ALNUM_LOWER, blocks, raw_bytes, schema_of, spans, text_column, whole_rows
 from tractlens.llm.fm_index import FMIndex
 
 FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
@@ -94,10 +94,10 @@ def _merge(old: list | None, new: list[tuple[int, int]]) -> list[dict]:
 
 
 def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[str, bytes]], width: int, shard_words: int,
-            text_at: int) -> Iterator[pa.RecordBatch]:
+            texts_of: Callable) -> Iterator[pa.RecordBatch]:
     w = Windows(items, width)
     for batch in batches:
-        texts = raw_bytes(batch.column(text_at))
+        texts = raw_bytes(texts_of(batch))
         had_spans, had_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
         n_words, all_spans, all_items = [], [], []
         for a, b, symbols in _shards(texts, w.ids, shard_words):
@@ -127,7 +127,7 @@ def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[str, bytes]], w
             names=[*(c for c in batch.schema.names if c not in ("n_words", "spans", "items")), "n_words", "spans", "items"])
 
 
-def find_spans(rows: DataFrame, benchmark: DataFrame, text_col: str, item_id: str = "item_id", item_text: str = "text",
+def find_spans(rows: DataFrame, benchmark: DataFrame, text: str | tuple[str, str], item_id: str = "item_id", item_text: str = "text",
                width: int = 13, block_chars: int = 4 << 20, shard_words: int = 2 << 20) -> DataFrame:
     """``rows`` (without columns named n_words, spans or items) with FOUND.
 
@@ -138,20 +138,19 @@ def find_spans(rows: DataFrame, benchmark: DataFrame, text_col: str, item_id: st
         F.col("text").isNotNull() & F.col("item").isNotNull())
     chars = b.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-chars // block_chars))
-    names = rows.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    kinds, texts_of = schema_of(rows), text_column(rows, text)
     out = rows.withColumns({"n_words": F.lit(0).cast("long"),
                             "spans": F.lit(None).cast("array<struct<start:int,end:int>>"),
                             "items": F.lit(None).cast("array<string>")})
     for k in range(n_blocks):
         part = b.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else b
         items = [(r["item"], r["text"].encode("utf-8", "surrogatepass")) for r in part.toLocalIterator()]
-        out = out.mapInArrow(_searcher(items, width, shard_words, names.index(text_col)), f"{kinds}, {FOUND}")
+        out = out.mapInArrow(_searcher(items, width, shard_words, texts_of), f"{kinds}, {FOUND}")
     return out
 
 
-def _searcher(items: list[tuple[str, bytes]], width: int, shard_words: int, text_at: int):
-    return lambda it: _search(it, items, width, shard_words, text_at)
+def _searcher(items: list[tuple[str, bytes]], width: int, shard_words: int, texts_of: Callable) -> Callable:
+    return lambda it: _search(it, items, width, shard_words, texts_of)
 
 
 def n_hit() -> Column:
@@ -173,5 +172,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **search: object) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
-    row = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return find_spans(row, benchmark, "text", **search).filter(~contaminated()).select("row.*")
+    return find_spans(whole_rows(docs), benchmark, ("row", text_col), **search).filter(~contaminated()).select("row.*")

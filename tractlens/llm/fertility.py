@@ -31,15 +31,16 @@ length is measured whole; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import WHITE, TokenTable, blocks, cut, flat_ids, raw_bytes, vocabulary_path
+from tractlens.llm.common import (
+    WHITE, TokenTable, blocks, cut, flat_ids, held, raw_bytes, schema_of, text_column, vocabulary_path, whole_rows,
+)
 
 SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -50,8 +51,11 @@ LEAST_IQR = {"byte_share": 0.01, "token_entropy": 0.01}
 SCHEMA = ", ".join([*(f"{c} long" for c in BASE), "n_tokens long", *(f"{c} double" for c in MEASURES)])
 
 
-@functools.lru_cache(maxsize=2)
 def _table(path: str) -> tuple[TokenTable, np.ndarray]:
+    return held(("fertility", path), lambda: _make_table(path))
+
+
+def _make_table(path: str) -> tuple[TokenTable, np.ndarray]:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -123,20 +127,18 @@ def measure(texts: list[bytes | None], path: str) -> tuple[np.ndarray, np.ndarra
     return whole, parts
 
 
-def _measure(batches: Iterator[pa.RecordBatch], path: str, text_at: int) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], path: str, texts: Callable) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        whole, parts = measure(raw_bytes(batch.column(text_at)), path)
+        whole, parts = measure(raw_bytes(texts(batch)), path)
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, *map(pa.array, whole.T.copy()), *map(pa.array, parts.T.copy())],
             names=[*batch.schema.names, *BASE, "n_tokens", *MEASURES])
 
 
-def with_measures(rows: DataFrame, text_col: str, path: str | None = None) -> DataFrame:
-    """``rows`` (no column of which may be named like a measure) with the measures of ``text_col``."""
-    path = path or vocabulary_path("piece_bpe_32k.model")
-    at = rows.columns.index(text_col)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(lambda it: _measure(it, path, at), f"{kinds}, {SCHEMA}")
+def with_measures(rows: DataFrame, text: str | tuple[str, str], path: str | None = None) -> DataFrame:
+    """``rows`` (no column of which may be named like a measure) with the measures of its texts."""
+    path, texts = path or vocabulary_path("piece_bpe_32k.model"), text_column(rows, text)
+    return rows.mapInArrow(lambda it: _measure(it, path, texts), f"{schema_of(rows)}, {SCHEMA}")
 
 
 def base_failed(min_words: int = 50) -> Column:
@@ -191,6 +193,6 @@ def keep_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     failed = base_failed(min_words)
     plain = docs.select(language(lang_col).alias("lang"), F.col(text_col).alias("text"))
     b = cut(bands(cut(with_measures(plain, "text", vocabulary).drop("text").withColumn("base_failed", failed))))
-    row = docs.select(F.struct("*").alias("row"), language(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    m = with_measures(row, "text", vocabulary).drop("text").withColumn("base_failed", failed)
+    rows = whole_rows(docs, language(lang_col).alias("lang"))
+    m = with_measures(rows, ("row", text_col), vocabulary).withColumn("base_failed", failed)
     return m.join(b, F.col("lang") == F.col("band_lang"), "left").filter(verdict(reach, floor)).select("row.*")

@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import TokenTable, blocks, flat_ids, shared_dir, shuffle_partitions, spans, vocabulary_path
+from tractlens.llm.common import TokenTable, blocks, flat_ids, held, shared_dir, shuffle_partitions, spans, vocabulary_path
 
 _TWO_SPACES = re.compile(r"\s\s")
 #: Marks a unit that begins its text; no later unit begins with two line feeds.
 _FIRST = "\n\n"
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -60,8 +60,11 @@ def units(text: str) -> list[str]:
     return parts
 
 
-@functools.lru_cache(maxsize=2)
 def _table(path: str) -> TokenTable:
+    return held(("byte_bpe", path), lambda: _make_table(path))
+
+
+def _make_table(path: str) -> TokenTable:
     t = _tokenizer(path)
     # A token of a byte-level vocabulary has one character per byte of text.
     size = np.zeros(t.get_vocab_size(), np.int64)

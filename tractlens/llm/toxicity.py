@@ -28,7 +28,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tractlens.llm.common import schema_of, text_column, whole_rows
+
 _NO_WORD = re.compile(r"[\W_]+")
 #: Characters that one step looks at; longer texts are looked at in overlapping pieces.
 PIECE = 1 << 20
@@ -184,20 +186,20 @@ def _loaded(weights: bytes) -> tuple[np.ndarray, np.ndarray]:
     return w, w != 0
 
 
-def _score(batches: Iterator[pa.RecordBatch], p: Params, weights: bytes, intercept: float, at: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], p: Params, weights: bytes, intercept: float,
+           texts: Callable) -> Iterator[pa.RecordBatch]:
     w, wanted = _loaded(weights)
     for batch in batches:
-        z = [intercept + float(w[cells(t, p.sizes, p.bits, wanted)].sum(dtype=np.float64)) for t in batch.column(at).to_pylist()]
+        z = [intercept + float(w[cells(t, p.sizes, p.bits, wanted)].sum(dtype=np.float64)) for t in texts(batch).to_pylist()]
         s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, "score"])
 
 
-def with_score(rows: DataFrame, text_col: str, model: Model) -> DataFrame:
+def with_score(rows: DataFrame, text: str | tuple[str, str], model: Model) -> DataFrame:
     """``rows`` (without a column named score) with ``score``."""
     p, weights, intercept = model.params, model.weights.astype(np.float32).tobytes(), model.intercept
-    at = rows.columns.index(text_col)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(lambda it: _score(it, p, weights, intercept, at), f"{kinds}, score double")
+    texts = text_column(rows, text)
+    return rows.mapInArrow(lambda it: _score(it, p, weights, intercept, texts), f"{schema_of(rows)}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id",
@@ -214,5 +216,4 @@ def keep_rows(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_
               text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with their columns."""
     model = train(docs, labels, params, id_col, text_col, label_col)
-    row = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return with_score(row, "text", model).filter(F.col("score") < threshold).select("row.*")
+    return with_score(whole_rows(docs), ("row", text_col), model).filter(F.col("score") < threshold).select("row.*")

@@ -23,7 +23,6 @@ empty table.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import TokenTable, blocks, flat_ids, spans, vocabulary_path
+from tractlens.llm.common import TokenTable, blocks, flat_ids, held, spans, vocabulary_path
 
 MARK = "▁"
 #: Stands for U+2581 of a text while it is cut into words; a lone surrogate is in no text.
@@ -129,8 +128,11 @@ def segment_sorted(words: list[str], pieces: Pieces) -> list[list[int]]:
     return out
 
 
-@functools.lru_cache(maxsize=2)
 def _table(path: str) -> tuple[TokenTable, Pieces]:
+    return held(("pieces", path), lambda: _make_table(path))
+
+
+def _make_table(path: str) -> tuple[TokenTable, Pieces]:
     pieces = Pieces(path)
 
     def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +142,7 @@ def _table(path: str) -> tuple[TokenTable, Pieces]:
         at[order] = np.arange(len(new))
         return flat[spans((np.cumsum(lens) - lens)[at], lens[at])], lens[at]
 
-    return TokenTable(encode), pieces
+    return TokenTable(encode, 400_000), pieces
 
 
 def marked_words(text: str) -> list[str]:
