@@ -54,6 +54,19 @@ def round2(c: Column) -> Column:
     return F.floor(c * 100 + 0.5) / 100
 
 
+def half_up(c: Column, digits: int) -> Column:
+    """``floor(x * 10^digits + 0.5) / 10^digits``, the same operations as in the SQL oracle."""
+    scale = float(10**digits)
+    return F.floor(c * scale + 0.5) / scale
+
+
+def one_decimal(c: Column) -> Column:
+    """Text of a number with one decimal, rounded half up without printf."""
+    tenths = F.floor(c * 10 + 0.5).cast("bigint")
+    size = F.abs(tenths)
+    return F.concat(F.when(tenths < 0, F.lit("-")).otherwise(F.lit("")), (size.cast("decimal(20,0)") / 10).cast("decimal(21,1)").cast("string"))
+
+
 def is_finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 

@@ -35,13 +35,28 @@ def hash_uniform(id_col: str | Column, seed: int = SEED) -> Column:
     return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
 
 
+def id_uniform(id_col: str | Column, seed: int = SEED) -> Column:
+    """Like ``hash_uniform`` for whole-number keys, in integer arithmetic that any SQL engine repeats:
+    two congruential steps modulo 2^31 with a shift between them."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    m = F.lit(1 << 31)
+    x = F.pmod(F.pmod(c.cast("bigint"), m) * 1103515245 + 12345 + seed, m)
+    x = x.bitwiseXOR(F.shiftright(x, 16))
+    return F.pmod(x * 69069 + 1, m) / F.lit(float(1 << 31))
+
+
+def id_uniform_sql(id_sql: str, seed: int = SEED) -> str:
+    first = f"((({id_sql}) % 2147483648) * 1103515245 + {12345 + seed}) % 2147483648"
+    return f"((xor({first}, ({first}) >> 16) * 69069 + 1) % 2147483648) / 2147483648.0"
+
+
 def stratified_split(df: DataFrame, id_col: str, test_fraction: float = TEST_FRACTION,
                      seed: int = SEED) -> DataFrame:
-    """L1: adds ``is_test``.  Every row draws its own hash-uniform number, so
+    """L1: adds ``is_test``.  Every row draws its own uniform number from its whole-number id, so
     each class keeps its share in both parts (in expectation) without a
     window over a class - a class may hold most rows at scale.  Stable across
     runs and executor retries, unlike ``randomSplit``."""
-    return df.withColumn("is_test", (hash_uniform(id_col, seed) < test_fraction).cast("int"))
+    return df.withColumn("is_test", (id_uniform(id_col, seed) < test_fraction).cast("int"))
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
@@ -52,15 +67,17 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     return df.join(F.broadcast(w), label, "left")
 
 
-def undersample(df: DataFrame, label: str, ratio: float = 1.0, seed: int = SEED) -> DataFrame:
-    """Keep the minority class, sample the majority down to ``ratio`` x minority
-    (``sampleBy``; the class counts are a k-row aggregate)."""
+def undersample(df: DataFrame, label: str, id_col: str = "application_id", ratio: float = 1.0, seed: int = SEED) -> DataFrame:
+    """Keep the minority class, thin the others down to ``ratio`` x minority in expectation,
+    by each row's own uniform number (the class counts are a k-row aggregate)."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     if len(counts) < 2:
         return df
     minority = min(counts.values())
-    fractions = {k: min(1.0, minority * ratio / v) if v != minority else 1.0 for k, v in counts.items()}
-    return df.sampleBy(label, fractions, seed)
+    share = F.lit(1.0)
+    for k, n in counts.items():
+        share = F.when(F.col(label) == k, F.lit(min(1.0, minority * ratio / n) if n != minority else 1.0)).otherwise(share)
+    return df.filter(id_uniform(id_col, seed + 1) < share)
 
 
 def _assembler(features: Sequence[str], out: str = "features"):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractlens.functions import parse
-from tractlens.functions.columns import pct
+from tractlens.functions.columns import half_up, one_decimal, pct
 from tractlens.functions.stats import grouped_agg_with_medians
 
 # ---------------------------------------------------------------------------
@@ -302,17 +302,18 @@ def executive_summary(metrics: DataFrame) -> DataFrame:
                                  F.col("last_year").cast("string")).alias("analysis_period"),
                      F.col("total_census_tracts").alias("total_tracts_analyzed"),
                      F.col("total_applications_all_years").alias("total_loan_applications"),
-                     F.round("avg_approval_rate_all_years", 1).alias("overall_approval_rate"),
-                     F.round("total_applications_trend", 1).alias("volume_trend"),
-                     F.round("approval_rate_trend", 2).alias("approval_rate_trend"),
+                     half_up(F.col("avg_approval_rate_all_years"), 1).alias("overall_approval_rate"),
+                     half_up(F.col("total_applications_trend"), 1).alias("volume_trend"),
+                     half_up(F.col("approval_rate_trend"), 2).alias("approval_rate_trend"),
                      "dominant_market_segment"))
 
 
-def growth_opportunities(metrics: DataFrame) -> DataFrame:
-    """I4: first 5 growth leaders tagged High, first 3 emerging markets tagged Moderate."""
+def growth_opportunities(metrics: DataFrame, **emerging) -> DataFrame:
+    """I4: first 5 growth leaders tagged High, first 3 emerging markets tagged Moderate;
+    ``emerging`` goes to ``emerging_markets``."""
     gl = growth_leaders(metrics).orderBy(F.desc("volume_growth_pct"), "census_tract").limit(5)
-    em = emerging_markets(metrics).orderBy(F.desc("volume_growth_pct"), "census_tract").limit(3)
-    fmt = lambda c: F.concat(F.format_string("%.1f", F.col(c)), F.lit("%"))
+    em = emerging_markets(metrics, **emerging).orderBy(F.desc("volume_growth_pct"), "census_tract").limit(3)
+    fmt = lambda c: F.concat(one_decimal(F.col(c)), F.lit("%"))
     a = gl.select(F.lit("High Growth Leader").alias("type"), "census_tract",
                   fmt("volume_growth_pct").alias("volume_growth"),
                   fmt("current_approval_rate").alias("approval_rate"), "market_segment",
@@ -327,7 +328,7 @@ def growth_opportunities(metrics: DataFrame) -> DataFrame:
 def risk_alerts(changes: DataFrame, k: int = 5, high_drop: float = -10.0) -> DataFrame:
     """The k worst decliners; High risk if approval fell by more than 10 points."""
     d = top_movers(changes).filter((F.col("direction") == "decliner") & (F.col("rank") <= k))
-    fmt = lambda c: F.concat(F.format_string("%.1f", F.col(c)), F.lit("%"))
+    fmt = lambda c: F.concat(one_decimal(F.col(c)), F.lit("%"))
     return d.select(F.lit("Declining Performance").alias("type"), "census_tract", "rank",
                     fmt("volume_change_pct").alias("volume_change"),
                     fmt("approval_rate_change").alias("approval_rate_change"),

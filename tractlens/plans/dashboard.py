@@ -10,12 +10,13 @@ from tractlens.operators import opportunity as opp
 from tractlens.operators import temporal as tm
 from tractlens.operators import yoy
 from tractlens.oracle.tract_sql import CLEAN, ROLLUP_V2
-from tractlens.oracle.views import APPLICATIONS, CENSUS, HPI, TRACT_YEAR, rounded, with_ctes
+from tractlens.oracle.views import (APPLICATIONS, CENSUS, FIRST_LAST, HPI, TRACT_YEAR, YOY_CHANGES, rounded,
+                                    with_ctes)
 from tractlens.plans.opportunity import SCORED_CTES, scored
 from tractlens.plans.registry import finalize, register
 from tractlens.plans.temporal import YEARLY_SQL, TEMPORAL_SQL, temporal
 from tractlens.plans.validation import MODEL_INPUT_SQL, model_input
-from tractlens.plans.yoy import metrics
+from tractlens.plans.yoy import EMERGING, metrics
 from tractlens.sources.tables import applications, census, hpi, lenders
 
 
@@ -51,7 +52,7 @@ def f26(spark, sf):
     return finalize(yoy.segment_year(metrics(spark, sf)))
 
 
-@register("f4_segment_trends", rounded(with_ctes(APPLICATIONS, TRACT_YEAR, SEG_YEAR_SQL, """
+SEG_TREND_SQL = """
 steps AS (
 SELECT market_segment,
        (total_applications - lag(total_applications) OVER w) / lag(total_applications) OVER w AS pc,
@@ -62,12 +63,18 @@ tiers AS (SELECT market_segment, performance_tier, count(*) AS c FROM tract_year
 info AS (SELECT market_segment, (SELECT count(DISTINCT census_tract) FROM tract_year t2
                                  WHERE t2.market_segment = t.market_segment) AS tract_count,
                 arg_min(performance_tier, (-c, performance_tier)) AS avg_performance_tier
-         FROM tiers t GROUP BY market_segment)""", body="""
+         FROM tiers t GROUP BY market_segment),
+seg_trends AS (
 SELECT t.market_segment,
        CASE WHEN n_years > 1 THEN coalesce(v_trend, 0.0) ELSE 0.0 END AS volume_trend_pct,
        CASE WHEN n_years > 1 THEN coalesce(a_trend, 0.0) ELSE 0.0 END AS approval_rate_trend,
        i.tract_count, i.avg_performance_tier
-FROM trend t JOIN info i ON t.market_segment = i.market_segment"""), ["volume_trend_pct", "approval_rate_trend"]))
+FROM trend t JOIN info i ON t.market_segment = i.market_segment)"""
+
+
+@register("f4_segment_trends", rounded(with_ctes(APPLICATIONS, TRACT_YEAR, SEG_YEAR_SQL, SEG_TREND_SQL,
+                                                 body="SELECT * FROM seg_trends"),
+                                       ["volume_trend_pct", "approval_rate_trend"]))
 def f4(spark, sf):
     return finalize(yoy.segment_trends(metrics(spark, sf)))
 
@@ -82,17 +89,22 @@ SELECT year, CAST(sum(total_applications) AS BIGINT) AS total_applications,
 FROM tract_year GROUP BY year)"""
 
 
-@register("f5_market_trends", rounded(with_ctes(APPLICATIONS, TRACT_YEAR, _MARKET_YEAR_SQL, """
+MARKET_TREND_SQL = ("""
 mst AS (
 SELECT year,
 """ + ",\n".join(f"       ({m} - lag({m}) OVER w) / lag({m}) OVER w AS {m}" for m in yoy.VOLUME_METRICS) + ",\n"
     + ",\n".join(f"       {m} - lag({m}) OVER w AS {m}" for m in yoy.RATE_METRICS) + """
-FROM market_year WINDOW w AS (ORDER BY year))""", body="SELECT CAST(count(*) AS BIGINT) AS total_years, "
+FROM market_year WINDOW w AS (ORDER BY year)),
+market_trends AS (SELECT CAST(count(*) AS BIGINT) AS total_years, """
     + ", ".join(f"CASE WHEN count(*) > 1 THEN coalesce(avg({m}) * 100, 0.0) ELSE 0.0 END AS {m}_trend"
                 for m in yoy.VOLUME_METRICS) + ", "
     + ", ".join(f"CASE WHEN count(*) > 1 THEN coalesce(avg({m}), 0.0) ELSE 0.0 END AS {m}_trend"
-                for m in yoy.RATE_METRICS) + " FROM mst"),
-    [f"{m}_trend" for m in yoy.VOLUME_METRICS + yoy.RATE_METRICS]))
+                for m in yoy.RATE_METRICS) + " FROM mst)")
+
+
+@register("f5_market_trends", rounded(with_ctes(APPLICATIONS, TRACT_YEAR, _MARKET_YEAR_SQL, MARKET_TREND_SQL,
+                                                body="SELECT * FROM market_trends"),
+                                      [f"{m}_trend" for m in yoy.VOLUME_METRICS + yoy.RATE_METRICS]))
 def f5(spark, sf):
     return finalize(yoy.market_trends(metrics(spark, sf)))
 
@@ -111,22 +123,74 @@ def f6b(spark, sf):
     return yoy.distribution(metrics(spark, sf), "market_segment")
 
 
-@register("f7_executive_summary")
+@register("f7_executive_summary", with_ctes(APPLICATIONS, TRACT_YEAR, _MARKET_YEAR_SQL, MARKET_TREND_SQL, body="""
+SELECT min(year) || '-' || max(year) AS analysis_period, count(DISTINCT census_tract) AS total_tracts_analyzed,
+       CAST(sum(total_applications) AS BIGINT) AS total_loan_applications,
+       floor(avg(approval_rate) * 10.0 + 0.5) / 10.0 AS overall_approval_rate,
+       (SELECT floor(total_applications_trend * 10.0 + 0.5) / 10.0 FROM market_trends) AS volume_trend,
+       (SELECT floor(approval_rate_trend * 100.0 + 0.5) / 100.0 FROM market_trends) AS approval_rate_trend,
+       (SELECT arg_min(market_segment, (-n, market_segment)) FROM (
+          SELECT market_segment, count(*) AS n FROM tract_year GROUP BY 1)) AS dominant_market_segment
+FROM tract_year"""))
 def f7(spark, sf):
     return yoy.executive_summary(metrics(spark, sf))
 
 
-@register("i4_growth_opportunities")
-def i4(spark, sf):
-    return yoy.growth_opportunities(metrics(spark, sf))
+def _one_decimal(x: str) -> str:
+    t = f"CAST(floor(({x}) * 10 + 0.5) AS BIGINT)"
+    return f"(CASE WHEN {t} < 0 THEN '-' ELSE '' END || (abs({t}) // 10) || '.' || (abs({t}) % 10) || '%')"
 
 
-@register("i5_risk_alerts")
+_FL_TEXTS = f"""census_tract, {_one_decimal("volume_growth_pct")} AS volume_growth,
+       {_one_decimal("current_approval_rate")} AS approval_rate, market_segment"""
+
+
+@register("i4_growth_opportunities", with_ctes(APPLICATIONS, TRACT_YEAR, FIRST_LAST, f"""
+leaders AS (SELECT * FROM first_last WHERE volume_growth_pct > 20 AND approval_improvement > 5
+            ORDER BY volume_growth_pct DESC, census_tract LIMIT 5)""", f"""
+rising AS (SELECT * FROM first_last WHERE current_volume BETWEEN {EMERGING["lo"]} AND {EMERGING["hi"]}
+             AND current_approval_rate >= {EMERGING["min_rate"]} AND volume_growth_pct > 0
+           ORDER BY volume_growth_pct DESC, census_tract LIMIT 3)""", body=f"""
+SELECT 'High Growth Leader' AS type, {_FL_TEXTS}, 'High' AS opportunity_score FROM leaders
+UNION ALL SELECT 'Emerging Market', {_FL_TEXTS}, 'Moderate' FROM rising"""))
+def i4(spark, sf):
+    return yoy.growth_opportunities(metrics(spark, sf), **EMERGING)
+
+
+@register("i5_risk_alerts", with_ctes(APPLICATIONS, TRACT_YEAR, YOY_CHANGES, """
+latest AS (
+SELECT *, volume_change_pct * 0.4 + approval_rate_change * 0.6 AS score
+FROM yoy_changes WHERE to_year = (SELECT max(to_year) FROM yoy_changes)),
+worst AS (SELECT *, row_number() OVER (ORDER BY score, census_tract) AS n FROM latest WHERE score IS NOT NULL)""", body=f"""
+SELECT 'Declining Performance' AS type, census_tract, CAST(n AS INT) AS rank,
+       {_one_decimal("volume_change_pct")} AS volume_change, {_one_decimal("approval_rate_change")} AS approval_rate_change,
+       {_one_decimal("current_approval_rate")} AS current_approval_rate, market_segment,
+       CASE WHEN approval_rate_change < -10 THEN 'High' ELSE 'Moderate' END AS risk_level
+FROM worst WHERE n <= 5"""))
 def i5(spark, sf):
     return yoy.risk_alerts(yoy.yoy_changes(metrics(spark, sf)))
 
 
-@register("k10_strategic_recommendations")
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@register("k10_strategic_recommendations", with_ctes(
+    APPLICATIONS, TRACT_YEAR, SEG_YEAR_SQL, SEG_TREND_SQL, _MARKET_YEAR_SQL, MARKET_TREND_SQL, FIRST_LAST, """
+leaders AS (SELECT count(*) AS n FROM (SELECT 1 FROM first_last WHERE volume_growth_pct > 20 AND approval_improvement > 5
+                                       LIMIT 10))""", f"""
+recs AS (
+SELECT 1 AS o, CASE WHEN total_applications_trend > 10 THEN {_text(yoy.REC_GROWTH)}
+                    WHEN total_applications_trend < -10 THEN {_text(yoy.REC_DECLINE)} END AS r FROM market_trends
+UNION ALL SELECT 2, CASE WHEN approval_rate_trend < -2 THEN {_text(yoy.REC_APPROVAL_DOWN)}
+                         WHEN approval_rate_trend > 2 THEN {_text(yoy.REC_APPROVAL_UP)} END FROM market_trends
+UNION ALL SELECT 3, CASE WHEN max(volume_trend_pct) > 15 THEN {_text(yoy.REC_LUXURY)} END
+          FROM seg_trends WHERE market_segment = 'Luxury'
+UNION ALL SELECT 4, CASE WHEN min(approval_rate_trend) < -5 THEN {_text(yoy.REC_AFFORDABLE)} END
+          FROM seg_trends WHERE market_segment = 'Affordable'
+UNION ALL SELECT 5, CASE WHEN n > 5 THEN replace({_text(yoy.REC_LEADERS)}, '{{n}}', CAST(n AS VARCHAR)) END FROM leaders)""",
+    body="""
+SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INT) AS position, r AS recommendation FROM recs WHERE r IS NOT NULL"""))
 def k10(spark, sf):
     return yoy.strategic_recommendations(metrics(spark, sf))
 
@@ -217,12 +281,21 @@ def g6(spark, sf):
     return finalize(db.semi_filter(metrics(spark, sf), opp.top_markets(scored(spark, sf))))
 
 
-@register("j4_key_difference", with_ctes(APPLICATIONS, CENSUS, CLEAN, ROLLUP_V2, body="""
-SELECT census_tract, 'left_only' AS side FROM (SELECT census_tract FROM census EXCEPT SELECT census_tract FROM rollup_v2)
+_J4_KEYS = """
+last_year AS (SELECT DISTINCT census_tract FROM applications
+              WHERE action_taken = 7 AND activity_year = (SELECT max(activity_year) FROM applications))"""
+
+
+@register("j4_key_difference", with_ctes(APPLICATIONS, CENSUS, _J4_KEYS, body="""
+SELECT census_tract, 'left_only' AS side FROM (SELECT census_tract FROM census EXCEPT SELECT census_tract FROM last_year)
 UNION ALL
-SELECT census_tract, 'right_only' FROM (SELECT census_tract FROM rollup_v2 EXCEPT SELECT census_tract FROM census)"""))
+SELECT census_tract, 'right_only' FROM (SELECT census_tract FROM last_year EXCEPT SELECT census_tract FROM census)"""))
 def j4(spark, sf):
-    return db.key_difference(census(spark, sf), opp.tract_rollup_v2(applications(spark, sf)))
+    """Census tracts against those with a preapproval denial in the last year."""
+    a = applications(spark, sf)
+    last = a.agg(F.max("activity_year").alias("_last"))
+    recent = a.crossJoin(F.broadcast(last)).filter((F.col("activity_year") == F.col("_last")) & (F.col("action_taken") == 7))
+    return db.key_difference(census(spark, sf), recent)
 
 
 @register("h11_trend_by_yoy_mean", rounded(with_ctes(APPLICATIONS, YEARLY_SQL, TEMPORAL_SQL, body="""

@@ -35,7 +35,16 @@ def _fit(spark, sf, model_types=("logistic_regression", "random_forest", "gbt"))
     return d, models
 
 
-@register("l1_stratified_split")
+_LABELLED_SQL = f"""
+labelled AS (
+SELECT application_id, CAST(CASE WHEN action_taken IN (1, 2, 6, 8) THEN 1 ELSE 0 END AS DOUBLE) AS label,
+       CAST({ml.id_uniform_sql("application_id")} < {ml.TEST_FRACTION} AS INT) AS is_test,
+       {ml.id_uniform_sql("application_id", ml.SEED + 1)} AS u
+FROM model_input WHERE action_taken IN (1, 2, 3, 6, 7, 8))"""
+
+
+@register("l1_stratified_split", with_ctes(APPLICATIONS, MODEL_INPUT_SQL, _LABELLED_SQL, body="""
+SELECT label, is_test, count(*) AS rows FROM labelled GROUP BY 1, 2"""))
 def l1(spark, sf):
     return labelled(spark, sf).groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -51,7 +60,10 @@ def l13(spark, sf):
     return finalize(ml.class_weights(a.filter(F.col("label") >= 0), "label").select("label", "weight").distinct())
 
 
-@register("l15_undersample")
+@register("l15_undersample", with_ctes(APPLICATIONS, MODEL_INPUT_SQL, _LABELLED_SQL, """
+n AS (SELECT label, count(*) AS n FROM labelled GROUP BY 1)""", body="""
+SELECT label, count(*) AS rows FROM labelled JOIN n USING (label)
+WHERE u < least(1.0, (SELECT min(n) FROM n) / n.n) GROUP BY 1"""))
 def l15(spark, sf):
     return ml.undersample(labelled(spark, sf), "label").groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -15,6 +15,10 @@ TY_DOUBLES = ["approval_rate", "denial_rate", "withdrawal_rate", "avg_loan_amoun
               "va_pct"]
 
 
+#: I3's volume and rate limits, set to the size of these tables' tracts.
+EMERGING = {"lo": 5, "hi": 100, "min_rate": 20.0}
+
+
 def metrics(spark, sf):
     return yoy.tract_year_metrics(applications(spark, sf))
 
@@ -76,9 +80,9 @@ def i2(spark, sf):
 @register("i3_emerging_markets", rounded(with_ctes(APPLICATIONS, TRACT_YEAR, FIRST_LAST, body="""
 SELECT census_tract, current_volume, current_approval_rate, volume_growth_pct,
        market_segment, avg_loan_amount
-FROM first_last WHERE current_volume BETWEEN 20 AND 100 AND current_approval_rate >= 50
+FROM first_last WHERE current_volume BETWEEN 5 AND 100 AND current_approval_rate >= 20
   AND volume_growth_pct > 0
 ORDER BY volume_growth_pct DESC, census_tract LIMIT 15"""),
           ["current_approval_rate", "volume_growth_pct", "avg_loan_amount"]))
 def i3(spark, sf):
-    return finalize(yoy.emerging_markets(metrics(spark, sf)))
+    return finalize(yoy.emerging_markets(metrics(spark, sf), **EMERGING))
