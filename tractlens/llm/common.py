@@ -56,6 +56,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch: with texts of some kilobytes, a batch is some megabytes.
+BATCH_ROWS = 1000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """Before ``mapInArrow``: bounds a batch where the session has Spark's default of 10,000 rows,
+    of which a worker would hold tens of megabytes at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def raw_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, None for null."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

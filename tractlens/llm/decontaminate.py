@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import ALNUM_LOWER, blocks, raw_bytes, schema_of, spans, text_column, whole_rows
+from tractlens.llm.common import ALNUM_LOWER, blocks, in_batches, raw_bytes, schema_of, spans, text_column, whole_rows
 from tractlens.llm.fm_index import FMIndex
 
 FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
@@ -145,7 +145,7 @@ def find_spans(rows: DataFrame, benchmark: DataFrame, text: str | tuple[str, str
     for k in range(n_blocks):
         part = b.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else b
         items = [(r["item"], r["text"].encode("utf-8", "surrogatepass")) for r in part.toLocalIterator()]
-        out = out.mapInArrow(_searcher(items, width, shard_words, texts_of), f"{kinds}, {FOUND}")
+        out = out.transform(in_batches).mapInArrow(_searcher(items, width, shard_words, texts_of), f"{kinds}, {FOUND}")
     return out
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tractlens.llm.common import (
-    WHITE, TokenTable, blocks, cut, flat_ids, held, raw_bytes, schema_of, text_column, vocabulary_path, whole_rows,
+    WHITE, TokenTable, blocks, cut, flat_ids, held, in_batches, raw_bytes, schema_of, text_column, vocabulary_path, whole_rows,
 )
 
 SYMBOLS = b"#*$%&|<>"
@@ -64,7 +64,7 @@ def _make_table(path: str) -> tuple[TokenTable, np.ndarray]:
     def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return flat_ids(sp.encode([w.decode("utf-8", "replace") for w in new], num_threads=1))
 
-    return TokenTable(encode, 400_000), is_byte
+    return TokenTable(encode, 300_000), is_byte
 
 
 def repeated_words(words: np.ndarray) -> int:
@@ -138,7 +138,7 @@ def _measure(batches: Iterator[pa.RecordBatch], path: str, texts: Callable) -> I
 def with_measures(rows: DataFrame, text: str | tuple[str, str], path: str | None = None) -> DataFrame:
     """``rows`` (no column of which may be named like a measure) with the measures of its texts."""
     path, texts = path or vocabulary_path("piece_bpe_32k.model"), text_column(rows, text)
-    return rows.mapInArrow(lambda it: _measure(it, path, texts), f"{schema_of(rows)}, {SCHEMA}")
+    return rows.transform(in_batches).mapInArrow(lambda it: _measure(it, path, texts), f"{schema_of(rows)}, {SCHEMA}")
 
 
 def base_failed(min_words: int = 50) -> Column:

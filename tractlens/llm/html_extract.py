@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import shuffle_partitions
+from tractlens.llm.common import in_batches, shuffle_partitions
 from tractlens.llm.html_parse import parse
 from tractlens.llm.url_filter import host_and_path
 
@@ -115,5 +115,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     keys = ["host", "path", "id", "url"]
     d = d.repartitionByRange(partitions or shuffle_partitions(pages.sparkSession), *keys)
     d = d.sortWithinPartitions(*keys, F.xxhash64("html"))
-    got = d.mapInArrow(_extract, "id long, url string, text string, n_shared long")
+    got = d.transform(in_batches).mapInArrow(_extract, "id long, url string, text string, n_shared long")
     return got.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_shared")

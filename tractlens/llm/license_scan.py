@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import ALNUM_LOWER, raw_bytes
+from tractlens.llm.common import ALNUM_LOWER, in_batches, raw_bytes
 from tractlens.llm.license_templates import TEMPLATES, Automaton, accept, compile_template
 
 #: Base phrases and their labels.
@@ -75,4 +75,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``; ``phrases`` maps lower-case word sequences to base labels."""
     coded = {f" {p} ".encode(): label for p, label in (phrases or BASE_PHRASES).items()}
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(lambda it: _scan(it, coded), SCHEMA).withColumnRenamed("id", id_col)
+    return d.transform(in_batches).mapInArrow(lambda it: _scan(it, coded), SCHEMA).withColumnRenamed("id", id_col)

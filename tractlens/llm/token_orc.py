@@ -34,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import TokenTable, blocks, flat_ids, held, shared_dir, shuffle_partitions, spans, vocabulary_path
+from tractlens.llm.common import (
+    TokenTable, blocks, flat_ids, held, in_batches, shared_dir, shuffle_partitions, spans, vocabulary_path,
+)
 
 _TWO_SPACES = re.compile(r"\s\s")
 #: Marks a unit that begins its text; no later unit begins with two line feeds.
@@ -137,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     d = d.withColumn("tie", F.xxhash64("text"))
     d = d.repartitionByRange(partitions or shuffle_partitions(spark), "doc_id", "tie")
     d = d.sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    coded = d.mapInArrow(lambda it: _encode(it, tokenizer, end_id),
+    coded = d.transform(in_batches).mapInArrow(lambda it: _encode(it, tokenizer, end_id),
                          "row long, doc_id long, before long, n_tokens long, ids array<int>")
     coded = coded.select(F.spark_partition_id().alias("shard"), "*")
     (coded.write.mode("errorifexists").option("compression", compress)
@@ -174,7 +176,7 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` from the files alone."""
     tokens = read_tokens(spark, path)
-    crc = tokens.select("shard", "doc_id", "before", "ids").mapInArrow(
+    crc = tokens.select("shard", "doc_id", "before", "ids").transform(in_batches).mapInArrow(
         _crc, "shard int, doc_id long, before long, n_tokens long, ids_crc32 long")
     return crc.join(shard_starts(tokens), "shard").select(
         "doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")

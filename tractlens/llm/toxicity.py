@@ -11,7 +11,8 @@ frequencies per class give the log-count ratio ``r`` of every cell (smoothing
 ``alpha``); of the cells that speak for label 1 (r > 0), the ``n_features`` with the largest
 likelihood-ratio statistic stay, so that a long text doesn't talk a toxic one down.
 A logistic regression with L2 penalty is fitted on presence * r, with equal class
-weights, so that a score above 0.5 means likelier than at even odds.
+weights.  Its intercept is then moved so that the decision score ``decide_at`` lies midway
+between the sample's highest clean scores (99.9 %) and lowest toxic ones (2 %).
 
 *Scores* are ``1 / (1 + exp(-(intercept + sum of weights of the cells present)))``.
 No label, language, source or id enters a score.
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import schema_of, text_column, whole_rows
+from tractlens.llm.common import in_batches, schema_of, text_column, whole_rows
 
 _NO_WORD = re.compile(r"[\W_]+")
 #: Characters that one step looks at; longer texts are looked at in overlapping pieces.
@@ -51,7 +52,8 @@ class Params:
     n_features: int = 2048
     alpha: float = 1.0
     l2: float = 1.0
-    steps: int = 600
+    steps: int = 1000
+    decide_at: float = 0.7
 
 
 @dataclass
@@ -163,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str
     sample = training_sample(docs, labels, p, id_col, text_col, label_col)
     sample = sample.repartition(8)  # the sample is bounded, and so is what 8 tasks return
     n, df = np.zeros(2, np.int64), np.zeros((2, 1 << p.bits), np.int64)
-    for r in sample.mapInArrow(lambda it: _frequencies(it, p), "label long, n long, df binary").toLocalIterator():
+    for r in sample.transform(in_batches).mapInArrow(lambda it: _frequencies(it, p), "label long, n long, df binary").toLocalIterator():
         n[r["label"]] += r["n"]
         df[r["label"]] += np.frombuffer(r["df"], np.int32)
     weights = np.zeros(1 << p.bits)
@@ -171,13 +173,16 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str
         return Model(p, weights, math.log((n[1] + 1) / (n[0] + 1)))
     ratios = log_count_ratios(df, p.alpha)
     wanted = informative(np.where(ratios > 0, df, 0), n, p.n_features)
-    rows = sample.mapInArrow(lambda it: _present(it, p, wanted), "label int, cells array<int>").toPandas()
+    rows = sample.transform(in_batches).mapInArrow(lambda it: _present(it, p, wanted), "label int, cells array<int>").toPandas()
     number = np.cumsum(wanted) - 1
     offsets = np.concatenate([[0], np.cumsum(rows["cells"].map(len).to_numpy(np.int64))])
     flat = np.concatenate([np.asarray(c, np.int64) for c in rows["cells"]])
-    w, b = fit_logistic(number[flat], offsets, rows["label"].to_numpy(np.int64), ratios[wanted], p.l2, p.steps)
+    w, _ = fit_logistic(number[flat], offsets, rows["label"].to_numpy(np.int64), ratios[wanted], p.l2, p.steps)
     weights[wanted] = w * ratios[wanted]
-    return Model(p, weights, b)
+    label = rows["label"].to_numpy()
+    z = np.bincount(np.repeat(np.arange(len(label)), np.diff(offsets)), weights[flat], len(label))
+    clean, toxic = np.quantile(z[label == 0], 0.999), np.quantile(z[label == 1], 0.02)
+    return Model(p, weights, math.log(p.decide_at / (1 - p.decide_at)) - (clean + max(clean, toxic)) / 2)
 
 
 @functools.lru_cache(maxsize=1)
@@ -199,7 +204,7 @@ def with_score(rows: DataFrame, text: str | tuple[str, str], model: Model) -> Da
     """``rows`` (without a column named score) with ``score``."""
     p, weights, intercept = model.params, model.weights.astype(np.float32).tobytes(), model.intercept
     texts = text_column(rows, text)
-    return rows.mapInArrow(lambda it: _score(it, p, weights, intercept, texts), f"{schema_of(rows)}, score double")
+    return rows.transform(in_batches).mapInArrow(lambda it: _score(it, p, weights, intercept, texts), f"{schema_of(rows)}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id",

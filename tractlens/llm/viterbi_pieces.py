@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import TokenTable, blocks, flat_ids, held, spans, vocabulary_path
+from tractlens.llm.common import TokenTable, blocks, flat_ids, held, in_batches, spans, vocabulary_path
 
 MARK = "▁"
 #: Stands for U+2581 of a text while it is cut into words; a lone surrogate is in no text.
@@ -142,7 +142,7 @@ def _make_table(path: str) -> tuple[TokenTable, Pieces]:
         at[order] = np.arange(len(new))
         return flat[spans((np.cumsum(lens) - lens)[at], lens[at])], lens[at]
 
-    return TokenTable(encode, 400_000), pieces
+    return TokenTable(encode, 300_000), pieces
 
 
 def marked_words(text: str) -> list[str]:
@@ -187,7 +187,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """``(id, ids: array<int>)``, one row per row of ``docs``."""
     path = vocabulary or vocabulary_path("piece_bpe_32k.model")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(lambda it: _encode(it, path), "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return d.transform(in_batches).mapInArrow(lambda it: _encode(it, path), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +207,7 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocab
     path = vocabulary or vocabulary_path("piece_bpe_32k.model")
     ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
     d = coded.select(F.col(id_col).cast("long").alias("id"), ids.alias("ids"))
-    return d.mapInArrow(lambda it: _decode(it, path), "id long, text string").withColumnRenamed("id", id_col)
+    return d.transform(in_batches).mapInArrow(lambda it: _decode(it, path), "id long, text string").withColumnRenamed("id", id_col)
 
 
 def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -230,5 +230,5 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Digests of the ids, and of the text decoded from them, per row of ``docs``."""
     path = vocabulary or vocabulary_path("piece_bpe_32k.model")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(lambda it: _digest(it, path), "id long, n_pieces long, n_byte_pieces long, ids_crc32 long, "
+    return d.transform(in_batches).mapInArrow(lambda it: _digest(it, path), "id long, n_pieces long, n_byte_pieces long, ids_crc32 long, "
                         "decoded_crc32 long, exact boolean").withColumnRenamed("id", id_col)
