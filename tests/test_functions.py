@@ -49,3 +49,32 @@ def test_round2_and_nan_mean(spark):
     assert _col(spark, [1.234, 1.235, -1.005], round2, "double") == [1.23, 1.24, -1.0]
     df = spark.createDataFrame([(1.0, None), (None, None), (2.0, 4.0)], "a double, b double")
     assert [r[0] for r in df.select(nan_mean([F.col("a"), F.col("b")])).collect()] == [1.0, None, 3.0]
+
+
+def test_prediction_features_depend_on_their_own_row(spark):
+    from pyspark.sql import functions as F
+
+    from conftest import SF001
+    from tractlens.operators import features as fe
+    from tractlens.sources.tables import applications
+
+    cols = ["application_id", "income", "loan_amount", "property_value", "debt_to_income_ratio", "loan_to_value_ratio",
+            "interest_rate", "loan_term", "applicant_sex"]
+    apps = applications(spark, SF001).select(*cols).orderBy("application_id").limit(40).cache()
+    together = {r["application_id"]: r for r in fe.prediction_features(apps).collect()}
+    half = fe.prediction_features(apps.filter(F.col("application_id") % 2 == 0)).collect()
+    assert half and all(together[r["application_id"]] == r for r in half)
+    assert len({r["dti_risk_category_encoded"] for r in together.values()}) > 2
+
+
+def test_prepared_features_have_no_gaps(spark):
+    from tractlens.operators import features as fe
+
+    rows = [(1, 40.0, None, "a"), (2, float("inf"), 700.0, None), (None, None, 650.0, "b"), (4, 20.0, 700.0, "a")]
+    df = spark.createDataFrame(rows, "application_id long, debt_to_income_ratio double, credit_score_proxy double, city string")
+    out, names = fe.prepare_for_modeling(df)
+    assert names == ["debt_to_income_ratio", "credit_score_proxy", "city_encoded"]
+    got = out.collect()
+    assert all(r[n] is not None and abs(r[n]) < 1e6 for r in got for n in names)
+    assert {r["application_id"] for r in got} == {1, 2, 4, None}
+    assert {r["city"]: r["city_encoded"] for r in got} == {"a": 0, "b": 1, None: 2}

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 from tractlens.functions import parse
 from tractlens.functions.columns import bands, clip, code_map, nan_mean, null_d
@@ -270,6 +270,26 @@ def engineer_all_features(df: DataFrame, winsorize_numeric: bool = True, encode:
                .transform(loan_product_features))
 
 
+CORE_FEATURES = ["debt_to_income_ratio", "loan_to_value_calculated", "loan_to_income_ratio", "down_payment_ratio",
+                 "credit_score_proxy", "financial_risk_score", "monthly_payment", "payment_to_income_ratio",
+                 "age_category", "applicant_race_encoded", "applicant_sex_encoded", "dti_risk_category_encoded",
+                 "ltv_risk_category_encoded", "loan_size_category_encoded", "income_category_encoded",
+                 "credit_score_category_encoded", "financial_risk_category_encoded"]
+NOT_ENCODED = ["action_taken", "target", "loan_approved", "loan_denied"]
+
+
+def prepare_for_modeling(df: DataFrame, keys: Sequence[str] = ("application_id",)) -> tuple[DataFrame, list[str]]:
+    """The core features that exist, without gaps (B20), and every other text column
+    as label codes (D10).  Returns the frame and the feature names."""
+    present = [c for c in CORE_FEATURES if c in df.columns]
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)
+             and f.name not in NOT_ENCODED and f.name not in set(keys)]
+    others = [c for c in df.columns if c not in present]
+    filled = impute_for_model(df, keys=others)
+    out = label_encode(filled, texts) if texts else filled
+    return out, present + [f"{c}_encoded" for c in texts]
+
+
 # Loan-predictor features ------------------------------------------------------
 def lps_features(df: DataFrame) -> DataFrame:
     """D18 + D19: ratios, bands, loan age, flags and the composite risk score."""
@@ -391,15 +411,16 @@ PRED_CATEGORIES = {"dti_risk_category": PRED_DTI, "ltv_risk_category": PRED_LTV,
 
 def prediction_features(df: DataFrame, keep: Sequence[str] = ("application_id",)) -> DataFrame:
     """The prediction-time variant (LTV in percent, stepwise credit proxy,
-    0-100 risk score, fixed-vocabulary label codes).  An unseen category in a
-    column sets the whole column to the middle code, as the reference's
-    encoder fallback does; that check is one broadcast one-row aggregate."""
+    0-100 risk score, fixed-vocabulary label codes).  Ratio texts are parsed first; a
+    row whose category is outside the vocabulary gets the middle code, and no row
+    depends on another, so the step also streams."""
     from tractlens.functions.columns import clip as _clip
 
     out = df.withColumns({c: F.lit(v) for c, v in PRED_DEFAULTS.items() if c not in df.columns})
     num = ["debt_to_income_ratio", "loan_to_value_ratio", "property_value", "loan_amount", "income",
            "interest_rate", "loan_term", "applicant_age"]
-    out = out.withColumns({c: parse.to_number(F.col(c)) for c in num})
+    special = {"debt_to_income_ratio": parse.dti_v2, "loan_to_value_ratio": parse.ltv_percent}
+    out = out.withColumns({c: special.get(c, parse.to_number)(F.col(c)) for c in num})
     out = out.withColumn("actual_income", F.col("income") * 1000)
     ok = (F.col("income") > 0) & (F.col("loan_amount") > 0)
     out = out.withColumn("loan_to_income_ratio",
@@ -438,14 +459,11 @@ def prediction_features(df: DataFrame, keep: Sequence[str] = ("application_id",)
                          bands(F.col("applicant_age"), *PRED_AGE, include_lowest=True).cast("double"))
     out = out.withColumns({"applicant_race_encoded": parse.to_number(F.col("`applicant_race-1`")),
                            "applicant_sex_encoded": parse.to_number(F.col("applicant_sex"))})
-    # Fixed-vocabulary codes: sorted labels -> 0..n-1; any unseen label -> whole column = n // 2.
-    unseen = out.agg(*[F.max((~F.col(c).isin(*labs)).cast("int")).alias(f"_u_{c}")
-                       for c, (_, labs) in PRED_CATEGORIES.items()])
-    out = out.crossJoin(F.broadcast(unseen))
+    # Fixed-vocabulary codes: sorted labels -> 0..n-1; any other label -> n // 2.
     enc = {}
     for c, (_, labs) in PRED_CATEGORIES.items():
         codes = {lab: i for i, lab in enumerate(sorted(labs))}
-        enc[f"{c}_encoded"] = F.when(F.col(f"_u_{c}") == 1, F.lit(len(labs) // 2)).otherwise(code_map(F.col(c), codes))
+        enc[f"{c}_encoded"] = code_map(F.col(c), codes, len(labs) // 2)
     out = out.withColumns(enc)
     feats = PRED_FEATURES + list(enc)
     finite = {c: F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))

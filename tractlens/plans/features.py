@@ -8,7 +8,7 @@ from tractlens.oracle.views import APPLICATIONS, rounded, with_ctes
 from tractlens.plans.opportunity import SCORED_CTES, scored
 from tractlens.plans.registry import finalize, register
 from tractlens.plans.validation import MODEL_INPUT_SQL, model_input
-from tractlens.sources.tables import applications
+from tractlens.sources.tables import applications, applications_wide
 
 FIN_COLS = ["application_id", "loan_to_income_ratio", "income_adequacy", "monthly_payment", "monthly_income",
             "payment_to_income_ratio", "down_payment", "down_payment_ratio", "loan_to_value_calculated",
@@ -111,7 +111,57 @@ def d14(spark, sf):
 
 @register("d15_engineer_all_features")
 def d15(spark, sf):
-    return fe.engineer_all_features(applications(spark, sf))
+    return fe.engineer_all_features(applications(spark, sf, deal_out=True))
+
+
+_WIDE_SQL = """
+wide AS (
+SELECT *, CAST(applicant_race AS VARCHAR) AS "applicant_race-1",
+       CASE WHEN application_id % 3 = 0 THEN '5' ELSE CAST(application_id % 2 + 1 AS VARCHAR) END AS "co-applicant_sex",
+       CASE WHEN application_id % 11 <> 0 THEN CAST(application_id % 90 + 18 AS INT) END AS applicant_age,
+       CASE WHEN application_id % 17 <> 0 THEN CAST(application_id % 90 + 60 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+         AS tract_to_msa_income_percentage,
+       CAST(application_id % 101 AS DOUBLE) AS tract_minority_population_percent,
+       CASE WHEN application_id % 7 <> 0 THEN (application_id % 80 - 10) / CAST(10 AS DOUBLE) END AS rate_spread
+FROM applications)"""
+_ENCODED = ["applicant_race-1", "applicant_sex", "co-applicant_sex", "county_code", "census_tract"]
+
+
+@register("d10_label_encoding", with_ctes(APPLICATIONS, _WIDE_SQL, body="SELECT application_id, " + ", ".join(
+    f"""CAST(dense_rank() OVER (ORDER BY coalesce(CAST("{c}" AS VARCHAR), 'nan')) - 1 AS INT) AS "{c}_encoded" """
+    for c in _ENCODED) + " FROM wide"))
+def d10(spark, sf):
+    w = applications_wide(spark, sf).select("application_id", *[f"`{c}`" for c in _ENCODED])
+    return fe.label_encode(w, _ENCODED).select("application_id", *[f"`{c}_encoded`" for c in _ENCODED])
+
+
+@register("d11_demographic_features", with_ctes(APPLICATIONS, _WIDE_SQL, body=f"""
+SELECT application_id, {bands_sql("CAST(applicant_age AS DOUBLE)", fe.AGE_BANDS)} AS applicant_age_category,
+       CAST("co-applicant_sex" <> '5' AS INT) AS joint_application FROM wide"""))
+def d11(spark, sf):
+    return fe.demographic_features(applications_wide(spark, sf), encode=False).select(
+        "application_id", "applicant_age_category", "joint_application")
+
+
+@register("d12_geographic_features", with_ctes(APPLICATIONS, _WIDE_SQL, body=f"""
+SELECT application_id, {bands_sql("tract_to_msa_income_percentage", fe.TRACT_INCOME)} AS tract_income_category,
+       {bands_sql("tract_minority_population_percent", fe.MINORITY)} AS minority_concentration FROM wide"""))
+def d12(spark, sf):
+    return fe.geographic_features(applications_wide(spark, sf), encode=False).select(
+        "application_id", "tract_income_category", "minority_concentration")
+
+
+@register("d14_rate_spread_category", rounded(with_ctes(APPLICATIONS, _WIDE_SQL, body=f"""
+SELECT application_id, rate_spread, {bands_sql("rate_spread", fe.SPREAD_BANDS)} AS rate_spread_category FROM wide"""),
+    ["rate_spread"]))
+def d14_spread(spark, sf):
+    return finalize(fe.loan_product_features(applications_wide(spark, sf).select("application_id", "rate_spread")))
+
+
+@register("d16_prepare_for_modeling")
+def d16(spark, sf):
+    out, names = fe.prepare_for_modeling(fe.prediction_features(applications_wide(spark, sf)))
+    return finalize(out.select("application_id", *names))
 
 
 _LPS_DOUBLES = ["income", "loan_amount", "property_value", "debt_to_income_ratio", "loan_to_value_ratio",

@@ -49,13 +49,13 @@ parsed AS (SELECT * REPLACE (CAST({DTI_SQL} AS VARCHAR) AS debt_to_income_ratio,
 
 @register("b2_clean_hmda", with_ctes(APPLICATIONS, PARSED_SQL, body=clean_sql("parsed", APPLICATION_COLUMNS, "hmda", False)))
 def b2_clean(spark, sf):
-    return finalize(v.clean_dataframe(applications(spark, sf), "hmda"))
+    return finalize(v.clean_dataframe(applications(spark, sf, deal_out=True), "hmda"))
 
 
 @register("b2_report_hmda", with_ctes(APPLICATIONS, PARSED_SQL, body="SELECT * FROM (" +
                                       report_sql("parsed", APPLICATION_COLUMNS, "hmda", False) + ")"))
 def b2_report(spark, sf):
-    return v.validation_report(applications(spark, sf), "hmda")
+    return v.validation_report(applications(spark, sf, deal_out=True), "hmda")
 
 
 @register("b3_clean_hmda_strict", with_ctes(APPLICATIONS, PARSED_SQL, body=clean_sql("parsed", APPLICATION_COLUMNS, "hmda", True)))

@@ -30,6 +30,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a scan of fewer files than the session has cores out to all of them.  Larger
+    inputs, whose files give the parallelism already, are returned as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def tract_id(nationkey: Column, custkey: Column) -> Column:
     """11-character tract id: '20' + 3-digit county + 6-digit tract."""
     return F.concat(county_id(nationkey), F.lpad((custkey % 8).cast("string"), 6, "0"))
@@ -43,10 +50,16 @@ def _mod(c: Column, m: int) -> Column:
     return c % F.lit(m)
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One loan application per order (HMDA-like columns)."""
+def applications(spark: SparkSession, sf_dir: str, deal_out: bool = False) -> DataFrame:
+    """One loan application per order (HMDA-like columns).
+
+    ``deal_out`` spreads a scan of few files; row-level jobs and exact quantiles use it.
+    Sums of doubles don't: their last bit depends on the order of rows.
+    """
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    if deal_out:
+        o = spread(o)
     c = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
@@ -91,6 +104,21 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def applications_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``applications`` with the demographic, geographic and pricing columns that D10-D12 and
+    D14 read, derived from the application id (FIXTURES §3)."""
+    a = applications(spark, sf_dir)
+    k = F.col("application_id")
+    return a.withColumns({
+        "applicant_race-1": F.col("applicant_race").cast("string"),
+        "co-applicant_sex": F.when(_mod(k, 3) == 0, F.lit("5")).otherwise((_mod(k, 2) + 1).cast("string")),
+        "applicant_age": F.when(_mod(k, 11) != 0, (_mod(k, 90) + 18).cast("int")),
+        "tract_to_msa_income_percentage": F.when(_mod(k, 17) != 0, (_mod(k, 90) + 60).cast("double")).otherwise(F.lit(0.0)),
+        "tract_minority_population_percent": _mod(k, 101).cast("double"),
+        "rate_spread": F.when(_mod(k, 7) != 0, (_mod(k, 80) - 10) / F.lit(10.0)),
+    })
+
+
 def census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One demographic row per tract, aggregated from customer."""
     from tractlens.functions.stats import grouped_agg_with_medians
