@@ -81,7 +81,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column],
         F.first("_n").alias("_n"), *[at_rank(r).alias(f"_x{i}") for i, r in enumerate(ranks)])
     return picked.select(*[F.col(f"`{c}`") for c in k], *[
         (F.when(F.col(f"_x{2 * i}") == F.col(f"_x{2 * i + 1}"), F.col(f"_x{2 * i}")).otherwise(
-            F.col(f"_x{2 * i}") + (F.col(f"_x{2 * i + 1}") - F.col(f"_x{2 * i}")) * (at - F.floor(at)))).alias(f"q{i}")
+            F.col(f"_x{2 * i}") * (1 - (at - F.floor(at))) + F.col(f"_x{2 * i + 1}") * (at - F.floor(at)))).alias(f"q{i}")
         for i, at in enumerate(place)])
 
 

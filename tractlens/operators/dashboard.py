@@ -59,15 +59,17 @@ def timeline_stats(timeline: DataFrame) -> DataFrame:
                                                      F.count(F.lit(1)).alias("count"))
 
 
-def approval_curve(df: DataFrame, col: str, width: float, approved_code: int = 1) -> DataFrame:
-    """left-closed bins of ``width``; approval rate (action 1) and bin centre."""
-    b = F.floor(F.col(col) / width)
-    return (df.filter(F.col(col).isNotNull())
-              .groupBy(b.alias("bin"))
-              .agg(F.count(F.lit(1)).alias("count"),
-                   (F.avg((F.col("action_taken") == approved_code).cast("double")) * 100).alias("approval_rate"))
-              .withColumn("bin_center", F.col("bin") * width + width / 2)
-              .withColumn("feature", F.lit(col)))
+def approval_curves(df: DataFrame, widths: dict[str, float], approved_code: int = 1) -> DataFrame:
+    """per feature, left-closed bins of its width; approval rate (action 1) and bin
+    centre.  All features come from one scan: rows are unpivoted to (feature, bin)."""
+    bins = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(float(w)).alias("width"),
+                              F.floor(F.col(c) / w).alias("bin")) for c, w in widths.items()])
+    approved = (F.col("action_taken") == approved_code).cast("double").alias("_approved")
+    return (df.select(approved, F.explode(bins).alias("b")).select("_approved", "b.*")
+              .filter(F.col("bin").isNotNull()).groupBy("feature", "width", "bin")
+              .agg(F.count(F.lit(1)).alias("count"), (F.avg("_approved") * 100).alias("approval_rate"))
+              .select("bin", "count", "approval_rate",
+                      (F.col("bin") * F.col("width") + F.col("width") / 2).alias("bin_center"), "feature"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -539,9 +539,9 @@ def profile(df: DataFrame, key_cols: Sequence[str] = ()) -> DataFrame:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Number of exact duplicate rows (rows - distinct rows)."""
-    return df.agg(F.count(F.lit(1)).alias("rows")).crossJoin(
-        df.distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))) \
-        .select("rows", "distinct_rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"))
+    copies = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    one = copies.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_rows"))
+    return one.select("rows", "distinct_rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"))
 
 
 def winsorize(df: DataFrame, columns: Sequence[str], lo: float = 0.001, hi: float = 0.999) -> DataFrame:

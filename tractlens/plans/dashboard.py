@@ -213,12 +213,7 @@ FROM model_input WHERE {c} IS NOT NULL GROUP BY 1, 4""" for c, w in db.CURVE_BIN
 @register("f21_approval_curves", rounded(with_ctes(APPLICATIONS, MODEL_INPUT_SQL, body=_CURVE_SQL),
                                          ["approval_rate", "bin_center"]))
 def f21(spark, sf):
-    m = model_input(spark, sf)
-    out = None
-    for c, w in db.CURVE_BINS.items():
-        cur = db.approval_curve(m, c, w)
-        out = cur if out is None else out.unionByName(cur)
-    return finalize(out)
+    return finalize(db.approval_curves(model_input(spark, sf), db.CURVE_BINS))
 
 
 _CORR_COLS = ["income", "loan_amount", "property_value", "credit_score", "debt_to_income_ratio"]

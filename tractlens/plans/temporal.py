@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tractlens.operators import opportunity as opp
+from tractlens.operators import forecast as fc
 from tractlens.operators import temporal as tm
 from tractlens.oracle.views import APPLICATIONS, CENSUS, rounded, with_ctes
 from tractlens.plans.registry import finalize, register
@@ -152,3 +155,70 @@ def l7(spark, sf):
     return finalize(tm.economic_projection(c).select(
         "census_tract", "years_ahead", "median_household_income",
         F.col("total_population").cast("double").alias("total_population"), "unemployment_rate"))
+
+
+def _panel_sql() -> str:
+    cols = []
+    for c in fc.PANEL_FEATURES:
+        cols += [f"lag({c}, {k}) OVER w AS {c}_lag_{k}" for k in fc.LAGS]
+        cols += [f"avg({c}) OVER (w ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS {c}_ma_{k}" for k in fc.AVERAGES]
+        cols += [f"{c} - lag({c}) OVER w AS {c}_trend"]
+    return f"""
+panel_src AS (SELECT *, count(*) OVER (PARTITION BY census_tract) AS n_years, min(year) OVER (PARTITION BY census_tract) AS y0,
+                     max(year) OVER (PARTITION BY census_tract) AS y1 FROM yearly),
+panel AS (
+SELECT census_tract, year, {', '.join(fc.PANEL_FEATURES)}, {', '.join(cols)},
+       CASE WHEN y1 > y0 THEN (year - y0) / CAST(y1 - y0 AS DOUBLE) END AS year_position,
+       sin(year * CAST({2 * math.pi / fc.CYCLE_YEARS!r} AS DOUBLE)) AS year_sin, cos(year * CAST({2 * math.pi / fc.CYCLE_YEARS!r} AS DOUBLE)) AS year_cos
+FROM panel_src WHERE n_years >= 2 WINDOW w AS (PARTITION BY census_tract ORDER BY year))"""
+
+
+PANEL_SQL = _panel_sql()
+_PANEL_DOUBLES = [*fc.PANEL_FEATURES, *[f"{c}_lag_{k}" for c in fc.PANEL_FEATURES for k in fc.LAGS],
+                  *[f"{c}_ma_{k}" for c in fc.PANEL_FEATURES for k in fc.AVERAGES],
+                  *[f"{c}_trend" for c in fc.PANEL_FEATURES], "year_position", "year_sin", "year_cos"]
+_INPUTS = ([f"{c}_lag_{k}" for c in fc.PANEL_FEATURES for k in fc.LAGS]
+           + [f"{c}_ma_{k}" for c in fc.PANEL_FEATURES for k in fc.AVERAGES] + ["year_sin", "year_cos"])
+
+
+def panel(spark, sf):
+    return fc.forecast_panel(yearly(spark, sf).select("census_tract", "year", *fc.PANEL_FEATURES))
+
+
+@register("h2_h5_forecast_panel", rounded(with_ctes(APPLICATIONS, YEARLY_SQL, PANEL_SQL, body="SELECT * FROM panel"),
+                                          _PANEL_DOUBLES))
+def h2_panel(spark, sf):
+    return finalize(panel(spark, sf))
+
+
+@register("l6_forecast_inputs", rounded(with_ctes(APPLICATIONS, YEARLY_SQL, PANEL_SQL, f"""
+kept AS (SELECT * FROM panel WHERE {" + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in _INPUTS)} >= {fc.KEEP_SHARE * len(_INPUTS)})""", f"""
+med AS (SELECT {", ".join(f"median({c}) AS m_{c}" for c in _INPUTS)} FROM kept)""", body=f"""
+SELECT census_tract, year, {", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in _INPUTS)} FROM kept, med"""), _INPUTS))
+def l6(spark, sf):
+    return finalize(fc.forecast_inputs(panel(spark, sf)).select("census_tract", "year", *_INPUTS))
+
+
+_FUTURE = [c for c in _INPUTS if not c.startswith("year_")] + ["total_population_trend", "unheard_of"]
+
+
+@register("l8_future_rows", rounded(with_ctes(APPLICATIONS, YEARLY_SQL, """
+now AS (SELECT * FROM yearly WHERE year = (SELECT max(year) FROM yearly))""", f"""
+mid AS (SELECT {", ".join(f"median({c}) AS m_{c}" for c in fc.PANEL_FEATURES)} FROM now)""", body="SELECT census_tract, " + ", ".join(
+    f"coalesce({c.split('_lag_')[0].split('_ma_')[0]}, m_{c.split('_lag_')[0].split('_ma_')[0]}, 50.0) AS {c}"
+    for c in _FUTURE[:-2]) + ", CAST(0 AS DOUBLE) AS total_population_trend, CAST(50 AS DOUBLE) AS unheard_of FROM now, mid"), _FUTURE))
+def l8(spark, sf):
+    y = yearly(spark, sf).select("census_tract", "year", *fc.PANEL_FEATURES)
+    latest = y.crossJoin(F.broadcast(y.agg(F.max("year").alias("_latest")))).filter("year = _latest")
+    return finalize(fc.future_rows(latest.select("census_tract", *fc.PANEL_FEATURES), _FUTURE).select("census_tract", *_FUTURE))
+
+
+@register("l10_l11_forecast_insights")
+def l11(spark, sf):
+    """Insight table over the damped progression of each tract's score (L9), with L10's second rule."""
+    t = temporal(spark, sf)
+    recent = t.agg(F.max("year")).first()[0]
+    future = tm.temporal_progression(t, tm.tract_trends(t), [recent + 1, recent + 2])
+    p = future.select("census_tract", "years_ahead", F.col("opportunity_score").alias("predicted_opportunity_score"))
+    p = p.withColumn("predicted_opportunity_level", tm.forecast_level(F.col("predicted_opportunity_score")))
+    return finalize(fc.forecast_insights(fc.with_confidence(p)))
