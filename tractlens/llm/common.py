@@ -6,6 +6,9 @@ extra columns with clashing names never reach them.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step holds at once besides a single long text.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: ``[\x20\x09-\x0D]``: what ``bytes.split`` splits on, so words are ``[^\x20\x09-\x0D]+``.
 WHITE = b" \t\n\r\x0b\x0c"
 #: A-Z to a-z, every other ASCII byte outside ``[0-9a-z]`` to a space; bytes from 0x80 stay.
@@ -52,6 +55,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a measured table of a few short columns is broadcast (some tens of megabytes).
+BROADCAST_ROWS = 500_000
+
+
+def measured_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialised join side whose rows are counted: broadcast up to ``limit`` rows, else left to a shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -99,11 +111,21 @@ _HELD: dict[tuple, object] = {}
 def held(key: tuple, make: Callable[[], object]) -> object:
     """A worker's one large memo; an operator that asks for its own lets the one before go."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def release() -> None:
+    """Lets go of the worker's memo and gives freed memory back to the system: workers serve many
+    operators, one after the other."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes of text each; a longer text is a range of its own."""
     start, size = 0, 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import ALNUM_LOWER, blocks, in_batches, raw_bytes, schema_of, spans, text_column, whole_rows
+from tractlens.llm.common import ALNUM_LOWER, blocks, in_batches, release, raw_bytes, schema_of, spans, text_column, whole_rows
 from tractlens.llm.fm_index import FMIndex
 
 FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
@@ -95,6 +95,7 @@ def _merge(old: list | None, new: list[tuple[int, int]]) -> list[dict]:
 
 def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[str, bytes]], width: int, shard_words: int,
             texts_of: Callable) -> Iterator[pa.RecordBatch]:
+    release()
     w = Windows(items, width)
     for batch in batches:
         texts = raw_bytes(texts_of(batch))

@@ -39,7 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tractlens.llm.common import (
-    WHITE, TokenTable, blocks, cut, flat_ids, held, in_batches, raw_bytes, schema_of, text_column, vocabulary_path, whole_rows,
+    WHITE, TokenTable, blocks, cut, flat_ids, held, in_batches, measured_side, raw_bytes, schema_of, text_column,
+    vocabulary_path, whole_rows,
 )
 
 SYMBOLS = b"#*$%&|<>"
@@ -179,7 +180,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     d = docs.select(F.col(id_col).cast("long").alias("id"), language(lang_col).alias("lang"),
                     F.col(text_col).alias("text"))
     m = cut(with_measures(d, "text", vocabulary).drop("text").withColumn("base_failed", base_failed(min_words)))
-    got = m.join(bands(m), F.col("lang") == F.col("band_lang"), "left").withColumn("kept", verdict(reach, floor))
+    b = measured_side(cut(bands(m)))
+    got = m.join(b, F.col("lang") == F.col("band_lang"), "left").withColumn("kept", verdict(reach, floor))
     return got.select(F.col("id").alias(id_col), *BASE, "n_tokens", *MEASURES, "base_failed", "kept")
 
 
@@ -188,11 +190,12 @@ def keep_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     """The rows of ``docs`` that ``quality`` keeps, with their columns.
 
     Measured twice, first for the bands and then row by row, which costs less than a
-    shuffle of all texts.
+    shuffle of all texts.  The bands have one row per language; they are counted before
+    they are broadcast.
     """
     failed = base_failed(min_words)
     plain = docs.select(language(lang_col).alias("lang"), F.col(text_col).alias("text"))
     b = cut(bands(cut(with_measures(plain, "text", vocabulary).drop("text").withColumn("base_failed", failed))))
     rows = whole_rows(docs, language(lang_col).alias("lang"))
     m = with_measures(rows, ("row", text_col), vocabulary).withColumn("base_failed", failed)
-    return m.join(b, F.col("lang") == F.col("band_lang"), "left").filter(verdict(reach, floor)).select("row.*")
+    return m.join(measured_side(b), F.col("lang") == F.col("band_lang"), "left").filter(verdict(reach, floor)).select("row.*")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import in_batches, shuffle_partitions
+from tractlens.llm.common import in_batches, release, shuffle_partitions
 from tractlens.llm.html_parse import parse
 from tractlens.llm.url_filter import host_and_path
 
@@ -79,6 +79,7 @@ def _nearest(before: Page | None, page: Page, after: Page | None) -> Page | None
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order; a row is finished when the next one is known."""
+    release()
     done: list[tuple] = []
 
     def finish(before: Page | None, page: Page, after: Page | None) -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import ALNUM_LOWER, in_batches, raw_bytes
+from tractlens.llm.common import ALNUM_LOWER, in_batches, release, raw_bytes
 from tractlens.llm.license_templates import TEMPLATES, Automaton, accept, compile_template
 
 #: Base phrases and their labels.
@@ -61,6 +61,7 @@ def scan(text: bytes | None, phrases: dict[bytes, str], templates: list[Automato
 
 
 def _scan(batches: Iterator[pa.RecordBatch], phrases: dict[bytes, str]) -> Iterator[pa.RecordBatch]:
+    release()
     kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct(
         [("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("wording", pa.int64())]))]
     names = ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import in_batches, schema_of, text_column, whole_rows
+from tractlens.llm.common import in_batches, release, schema_of, text_column, whole_rows
 
 _NO_WORD = re.compile(r"[\W_]+")
 #: Characters that one step looks at; longer texts are looked at in overlapping pieces.
@@ -103,6 +103,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: Params, id_col: str,
 
 def _frequencies(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """Per task and label: rows, and document frequencies of all cells."""
+    release()
     n, df = np.zeros(2, np.int64), np.zeros((2, 1 << p.bits), np.int32)
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -193,6 +194,7 @@ def _loaded(weights: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _score(batches: Iterator[pa.RecordBatch], p: Params, weights: bytes, intercept: float,
            texts: Callable) -> Iterator[pa.RecordBatch]:
+    release()
     w, wanted = _loaded(weights)
     for batch in batches:
         z = [intercept + float(w[cells(t, p.sizes, p.bits, wanted)].sum(dtype=np.float64)) for t in texts(batch).to_pylist()]
