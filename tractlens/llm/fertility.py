@@ -149,7 +149,9 @@ def base_failed(min_words: int = 50) -> Column:
 def bands(measured: DataFrame, accuracy: int = 10_000) -> DataFrame:
     """One row per language: middle and scale of chars_per_token, quartiles of the others."""
     ok = measured.filter(~F.col("base_failed") & (F.col("n_tokens") > 0))
-    middle = ok.groupBy("lang").agg(F.percentile_approx("chars_per_token", 0.5, accuracy).alias("middle"))
+    # One row per language: counted, and broadcast, so that a hot language doesn't meet in one task.
+    middle = measured_side(cut(ok.groupBy("lang").agg(
+        F.percentile_approx("chars_per_token", 0.5, accuracy).alias("middle"))))
     scaled = (F.col("chars_per_token") - F.col("middle")) * F.sqrt("n_tokens")
     q = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), accuracy)
     got = ok.join(middle, "lang").groupBy(F.col("lang").alias("band_lang")).agg(
