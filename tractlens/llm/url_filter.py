@@ -14,9 +14,9 @@ The tree is built level by level with aggregates over the distinct
    ``(bad + strength * share above) / (labelled + strength)``.  Templates at or
    above ``reject_at`` are blocked.
 
-Segments from ``max_depth`` on are one last segment.  Hot hosts cost nothing
-special: child and node statistics are partial aggregates, and row-level joins use
-``(host, path)`` or a node table that AQE may broadcast by measured size.
+Segments from ``max_depth`` on are one last segment.  A hot host is not gathered:
+child and node statistics are partial aggregates, node tables are counted and broadcast
+while they are few, and rows are joined by ``(host, path)``.
 
 Edge cases: null urls and urls without ``://`` have an empty host and path (one
 node of their own); labels of unknown urls are ignored; an id labelled several
@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import cut
+from tractlens.llm.common import cut, measured_side
 
 
 @dataclass(frozen=True)
@@ -84,9 +84,11 @@ def _one_level(t: DataFrame, level: int, min_children: int, min_support: float,
         F.sum("bad").alias("all_bad"))
     node = node.withColumn("variable", (F.col("children") >= min_children)
                            & (F.col("paths") < min_support * F.col("children")))
+    # Nodes are counted, and broadcast while they are few, so that a hot host doesn't meet in one task.
+    constant = measured_side(cut(node.filter(~F.col("variable"))))
     # Children of variable nodes become * without a row of their own, so this table
     # holds constant segments only: at most paths / min_support rows below wide nodes.
-    fixed = child.join(node.filter(~F.col("variable")), ["host", "template"])
+    fixed = child.join(constant, ["host", "template"])
     share = lambda bad, of: F.try_divide(F.col(bad).cast("double"), F.col(of))  # noqa: E731  null without labels
     pooled = share("all_bad", "all_lab")
     one = F.lit(1.0)
@@ -95,7 +97,7 @@ def _one_level(t: DataFrame, level: int, min_children: int, min_support: float,
         F.abs(share("bad", "lab") - pooled) >= z_merge * error)
     fixed = fixed.select("host", "template", "segment", F.when(
         (F.col("children") == 1) | F.coalesce(differs, F.lit(False)), F.col("segment")).otherwise(F.lit("~")).alias("label"))
-    out = t.join(fixed, ["host", "template", "segment"], "left")
+    out = t.join(measured_side(cut(fixed)), ["host", "template", "segment"], "left")
     label = F.when(F.col("segment").isNull(), F.lit("")).otherwise(
         F.concat(F.lit("/"), F.coalesce(F.col("label"), F.lit("*"))))
     return out.withColumn("template", F.concat("template", label)).drop("segment", "label")
@@ -119,9 +121,9 @@ def url_verdicts(pages: DataFrame, labels: DataFrame, rules: list[Rule], id_col:
     overall = t.agg(F.sum("n_bad").alias("b"), F.sum("n_labelled").alias("l")).first()
     share = (overall["b"] or 0) / overall["l"] if overall["l"] else 0.0
     host_share = (F.col("host_bad") + strength * share) / (F.col("host_lab") + strength)
-    purity = by_template.join(by_host, "host").select(
+    purity = by_template.join(measured_side(cut(by_host)), "host").select(
         "host", "template", ((F.col("bad") + strength * host_share) / (F.col("lab") + strength)).alias("p_bad"))
-    judged = t.select("host", "path", "template").join(purity, ["host", "template"])
+    judged = t.select("host", "path", "template").join(measured_side(cut(purity)), ["host", "template"])
     rule, said = matched_rule(F.col("host"), F.col("path"), rules)
     return rows.join(judged, ["host", "path"]).select(
         F.col("id").alias(id_col), "host", "path", rule.alias("rule"), "template", "p_bad",
