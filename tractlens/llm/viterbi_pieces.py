@@ -142,7 +142,7 @@ def _make_table(path: str) -> tuple[TokenTable, Pieces]:
         at[order] = np.arange(len(new))
         return flat[spans((np.cumsum(lens) - lens)[at], lens[at])], lens[at]
 
-    return TokenTable(encode, 300_000), pieces
+    return TokenTable(encode, 200_000), pieces
 
 
 def marked_words(text: str) -> list[str]:
