@@ -61,7 +61,7 @@ BROADCAST_ROWS = 500_000
 
 def measured_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A materialised join side whose rows are counted: broadcast up to ``limit`` rows, else left to a shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
