@@ -17,8 +17,12 @@ mergeable approximate percentiles (bounded state per task):
   ``d = sqrt(scale^2 / n + (floor * middle)^2)``; middle is the median, scale the
   robust deviation (IQR / 1.349) of ``(value - middle) * sqrt(n)``, and floor the
   spread between texts of any length;
-- ``byte_share`` and ``token_entropy`` are rejected beyond ``Q1 - reach * IQR`` and
-  ``Q3 + reach * IQR``; an IQR below ``LEAST_IQR`` counts as that.
+- ``token_entropy`` falls as a text gets longer, so its middle is a curve: the weighted
+  least-squares parabola over log2(n) through the medians of half-octaves of n;
+- ``token_entropy`` and ``byte_share`` (whose middle is its median) have
+  ``d = sqrt(scale^2 / n + least^2)``: scale is the robust deviation of
+  ``(value - middle) * sqrt(n)``, at least ``LEAST_SCALE``, and least is ``LEAST_IQR / 1.349``.
+  ``REACH`` holds how many d lie below and above the middle.
 
 Base rules: fewer than ``min_words`` words, or more than half of the words inside
 3-word windows that occur twice or more in the text.
@@ -47,8 +51,13 @@ SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = ["chars_per_token", "byte_share", "token_entropy"]
-#: Smallest interquartile range that a band is built from.
+#: Smallest interquartile range between texts of any length that a band is built from.
 LEAST_IQR = {"byte_share": 0.01, "token_entropy": 0.01}
+#: Smallest deviation of one token's draw: a hundredth of the tokens are bytes, in runs of four.
+LEAST_SCALE = {"byte_share": 0.2, "token_entropy": 0.0}
+#: d below and above the middle.  Texts of one language have very different vocabularies, so
+#: the upper reach of token_entropy is wide.
+REACH = {"byte_share": (3.0, 3.0), "token_entropy": (3.0, 15.0)}
 SCHEMA = ", ".join([*(f"{c} long" for c in BASE), "n_tokens long", *(f"{c} double" for c in MEASURES)])
 
 
@@ -146,29 +155,59 @@ def base_failed(min_words: int = 50) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted least-squares parabola (c0 + c1 x + c2 x^2) of each row's points; fewer points, lower degree."""
+    for batch in batches:
+        curves = []
+        for points in batch.column("points").to_pylist():
+            x, y, n = (np.array([p[c] for p in points], float) for c in ("x", "y", "n"))
+            terms = np.vander(x, min(3, len(x)), increasing=True)
+            w = np.sqrt(n)
+            c = np.linalg.lstsq(terms * w[:, None], y * w, rcond=None)[0]
+            curves.append([*c.tolist(), 0.0, 0.0][:3])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("lang"), pa.array(curves, pa.list_(pa.float64()))], names=["lang", "curve"])
+
+
+def _middles() -> dict[str, Column]:
+    x, c = F.log2(F.greatest("n_tokens", F.lit(1))), F.col("curve")
+    return {"byte_share": F.col("byte_share_middle"), "token_entropy": c[0] + c[1] * x + c[2] * x * x}
+
+
 def bands(measured: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """One row per language: middle and scale of chars_per_token, quartiles of the others."""
+    """One row per language: middle and scale of each measure, the middle of token_entropy as a curve."""
     ok = measured.filter(~F.col("base_failed") & (F.col("n_tokens") > 0))
+    median = lambda c: F.percentile_approx(c, 0.5, accuracy)
+    points = ok.withColumn("x", F.log2("n_tokens")).groupBy("lang", F.floor(2 * F.col("x")).alias("step")).agg(
+        median("x").alias("x"), median("token_entropy").alias("y"), F.count("*").alias("n"))
+    # A language has at most two points for each doubling of a text's length.
+    curve = points.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("step", "x", "y", "n"))).alias("points"))
+    curve = curve.mapInArrow(_fit, "lang string, curve array<double>")
     # One row per language: counted, and broadcast, so that a hot language doesn't meet in one task.
     middle = measured_side(cut(ok.groupBy("lang").agg(
-        F.percentile_approx("chars_per_token", 0.5, accuracy).alias("middle"))))
-    scaled = (F.col("chars_per_token") - F.col("middle")) * F.sqrt("n_tokens")
-    q = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), accuracy)
+        median("chars_per_token").alias("middle"), median("byte_share").alias("byte_share_middle")).join(curve, "lang")))
+    quarters = lambda c: F.percentile_approx(
+        c * F.sqrt("n_tokens"), F.array(F.lit(0.25), F.lit(0.75)), accuracy)
     got = ok.join(middle, "lang").groupBy(F.col("lang").alias("band_lang")).agg(
-        F.first("middle").alias("middle"), q(scaled).alias("scaled"),
-        *(q(m).alias(f"{m}_q") for m in LEAST_IQR))
-    return got.withColumn("scale", (F.col("scaled")[1] - F.col("scaled")[0]) / 1.349).drop("scaled")
+        *(F.first(c).alias(c) for c in ("middle", "byte_share_middle", "curve")),
+        quarters(F.col("chars_per_token") - F.col("middle")).alias("scaled"),
+        *(quarters(F.col(m) - at).alias(f"{m}_scaled") for m, at in _middles().items()))
+    deviation = lambda c: (F.col(c)[1] - F.col(c)[0]) / 1.349
+    return got.select(
+        "band_lang", "middle", "byte_share_middle", "curve", deviation("scaled").alias("scale"),
+        *(F.greatest(deviation(f"{m}_scaled"), F.lit(least)).alias(f"{m}_scale") for m, least in LEAST_SCALE.items()))
 
 
 def verdict(reach: float, floor: float) -> Column:
     """Kept: the base holds, and no measure is outside its language's band."""
-    d = F.sqrt(F.pow("scale", F.lit(2)) / F.greatest("n_tokens", F.lit(1)) + F.pow(floor * F.col("middle"), F.lit(2)))
+    n = F.greatest("n_tokens", F.lit(1))
+    d = F.sqrt(F.pow("scale", F.lit(2)) / n + F.pow(floor * F.col("middle"), F.lit(2)))
     off = F.col("chars_per_token") - F.col("middle")
     out = F.coalesce((off < -reach * d) | (off > 1.5 * reach * d), F.lit(False))
-    for m, least in LEAST_IQR.items():
-        q1, q3 = F.col(f"{m}_q")[0], F.col(f"{m}_q")[1]
-        iqr = F.greatest(q3 - q1, F.lit(least))
-        out = out | F.coalesce((F.col(m) < q1 - reach * iqr) | (F.col(m) > q3 + reach * iqr), F.lit(False))
+    for m, at in _middles().items():
+        d = F.sqrt(F.pow(f"{m}_scale", F.lit(2)) / n + F.lit((LEAST_IQR[m] / 1.349) ** 2))
+        off, (below, above) = F.col(m) - at, REACH[m]
+        out = out | F.coalesce((off < -below * d) | (off > above * d), F.lit(False))
     return ~F.col("base_failed") & ~out
 
 
