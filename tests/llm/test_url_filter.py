@@ -60,3 +60,28 @@ def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     labels = spark.createDataFrame([], "id long, bad int")
     assert url_filter.url_verdicts(pages, labels, queries.URL_RULES).count() == 0
+
+
+def test_supported_branches_stay_beside_many_single_pages(spark):
+    for slugs in (5, 1000):
+        rows = [f"http://h.net/spam/{i}" for i in range(200)] + [f"http://h.net/news/{i}" for i in range(400)]
+        rows += [f"http://h.net/page{i}" for i in range(slugs)]
+        pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+        labels = spark.createDataFrame([(i, int(i < 200)) for i in range(600)], "id long, bad int")
+        got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_filter.url_verdicts(pages, labels, []).collect()}
+        assert len(got) == len(rows)
+        assert {got[i] for i in range(200)} == {("/spam/*", "block")}
+        assert {got[i] for i in range(200, 600)} == {("/news/*", "allow")}
+    assert {got[i][0] for i in range(600, len(rows))} == {"/*"}
+
+
+def test_deep_branches_are_told_apart(spark):
+    top = "http://h.net/" + "/".join("abcdefgh")
+    rows = [f"{top}/bad/x/{i}" for i in range(60)] + [f"{top}/good/x/{i}" for i in range(120)]
+    rows += ["http://one.net/" + "/".join(map(str, range(300))), "http://one.net/", "http://one.net"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(180)], "id long, bad int")
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_filter.url_verdicts(pages, labels, []).collect()}
+    assert len(got) == len(rows)
+    assert {got[i] for i in range(60)} == {("/" + "/".join("abcdefgh") + "/bad/x/*", "block")}
+    assert {got[i][1] for i in range(60, 180)} == {"allow"}

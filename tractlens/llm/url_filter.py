@@ -3,10 +3,10 @@
 The tree is built level by level with aggregates over the distinct
 ``(host, path)`` pairs, never over raw rows:
 
-1. *Wildcards.*  Below a node ``(host, template so far)`` the next segment is
-   variable, and becomes ``*``, when the node has at least ``min_children``
-   distinct segments and fewer than ``min_support`` distinct paths per segment.
-2. *Merging.*  A constant child whose labelled bad rate does not differ from its
+1. *Wildcards.*  Below a node ``(host, template so far)`` with at least ``min_children``
+   distinct segments, those with fewer than ``min_support`` distinct paths are variable and
+   become ``*`` together; each of the others is a branch for step 2.
+2. *Merging.*  A branch whose labelled bad rate does not differ from its
    parent's by a two-proportion z-test (``|z| < z_merge``, or no labels) joins
    its like siblings in one branch ``~``.
 3. *Purity.*  A full template's bad share is smoothed towards its host's, which is
@@ -14,8 +14,8 @@ The tree is built level by level with aggregates over the distinct
    ``(bad + strength * share above) / (labelled + strength)``.  Templates at or
    above ``reject_at`` are blocked.
 
-Segments from ``max_depth`` on are one last segment.  A hot host is not gathered:
-child and node statistics are partial aggregates, node tables are counted and broadcast
+Levels go on to the last segment of the deepest path; paths that end, or that are alone below
+their node and so keep their segments, leave the loop.  A hot host is not gathered: child and node statistics are partial aggregates, node tables are counted and broadcast
 while they are few, and rows are joined by ``(host, path)``.
 
 Edge cases: null urls and urls without ``://`` have an empty host and path (one
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import string
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,43 +65,49 @@ def matched_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return text, verdict
 
 
-def template_tree(paths: DataFrame, min_children: int = 8, min_support: float = 4.0, z_merge: float = 1.96,
-                  max_depth: int = 8) -> DataFrame:
+def template_tree(paths: DataFrame, min_children: int = 8, min_support: float = 4.0, z_merge: float = 1.96) -> DataFrame:
     """Adds ``template`` to ``(host, path, n_labelled, n_bad)`` rows, one per distinct host and path."""
     trimmed = F.regexp_replace("path", "^/", "")
-    t = cut(paths.withColumn("segments", F.split(trimmed, "/", max_depth)).withColumn("template", F.lit("")))
-    depth = t.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(depth):
+    t = cut(paths.withColumn("segments", F.split(trimmed, "/")).withColumn("template", F.lit("")))
+    done = [t.limit(0).drop("segments")]
+    level = 0
+    while not t.isEmpty():
         t = cut(_one_level(t, level, min_children, min_support, z_merge))
-    return t.drop("segments")
+        done.append(t.filter("complete").drop("segments", "complete"))
+        t = t.filter(~F.col("complete")).drop("complete")
+        level += 1
+        if len(done) > 16:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+    return reduce(DataFrame.unionByName, done)
 
 
 def _one_level(t: DataFrame, level: int, min_children: int, min_support: float, z_merge: float) -> DataFrame:
-    t = t.withColumn("segment", F.try_element_at("segments", F.lit(level + 1)))
-    child = t.filter(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(
+    """Every row of ``t`` has a segment at ``level``; ``complete`` rows have their whole template."""
+    t = t.withColumn("segment", F.col("segments")[level])
+    child = t.groupBy("host", "template", "segment").agg(
         F.count("*").alias("n"), F.sum("n_labelled").alias("lab"), F.sum("n_bad").alias("bad"))
     node = child.groupBy("host", "template").agg(
         F.count("*").alias("children"), F.sum("n").alias("paths"), F.sum("lab").alias("all_lab"),
         F.sum("bad").alias("all_bad"))
-    node = node.withColumn("variable", (F.col("children") >= min_children)
-                           & (F.col("paths") < min_support * F.col("children")))
     # Nodes are counted, and broadcast while they are few, so that a hot host doesn't meet in one task.
-    constant = measured_side(cut(node.filter(~F.col("variable"))))
-    # Children of variable nodes become * without a row of their own, so this table
-    # holds constant segments only: at most paths / min_support rows below wide nodes.
-    fixed = child.join(constant, ["host", "template"])
+    # Variable segments become * without a row of their own, so this table holds at most
+    # paths / min_support rows below wide nodes.
+    fixed = child.join(measured_side(cut(node)), ["host", "template"]).filter(
+        (F.col("children") < min_children) | (F.col("n") >= min_support))
     share = lambda bad, of: F.try_divide(F.col(bad).cast("double"), F.col(of))  # noqa: E731  null without labels
     pooled = share("all_bad", "all_lab")
     one = F.lit(1.0)
     error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(one, F.col("lab")) - F.try_divide(one, F.col("all_lab"))))
     differs = (F.col("lab") > 0) & (F.col("lab") < F.col("all_lab")) & (error > 0) & (
         F.abs(share("bad", "lab") - pooled) >= z_merge * error)
-    fixed = fixed.select("host", "template", "segment", F.when(
+    fixed = fixed.select("host", "template", "segment", (F.col("paths") == 1).alias("alone"), F.when(
         (F.col("children") == 1) | F.coalesce(differs, F.lit(False)), F.col("segment")).otherwise(F.lit("~")).alias("label"))
     out = t.join(measured_side(cut(fixed)), ["host", "template", "segment"], "left")
-    label = F.when(F.col("segment").isNull(), F.lit("")).otherwise(
-        F.concat(F.lit("/"), F.coalesce(F.col("label"), F.lit("*"))))
-    return out.withColumn("template", F.concat("template", label)).drop("segment", "label")
+    # The only path below a node has one child at each level from here on.
+    alone, size = F.coalesce("alone", F.lit(False)), F.size("segments")
+    label = F.when(alone, F.array_join(F.slice("segments", level + 1, size), "/")).otherwise(F.coalesce("label", F.lit("*")))
+    return out.withColumns({"template": F.concat("template", F.lit("/"), label), "complete": alone | (size == level + 1)}).drop(
+        "segment", "label", "alone")
 
 
 def url_verdicts(pages: DataFrame, labels: DataFrame, rules: list[Rule], id_col: str = "page_id",
