@@ -81,3 +81,16 @@ def test_very_long_page(spark):
     pages = spark.createDataFrame([(1, "http://a.b/1", page), (2, "http://a.b/2", page + "<p>x")], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_extract.extract(pages, partitions=1).collect()}
     assert got[1] == got[2] == "\n\n".join(f"line {i % 1000}" for i in range(30_000))
+
+
+def test_copies_are_no_neighbours(spark):
+    page = "<body><div>Menu</div><div>{}</div><div>Foot</div></body>"
+    urls = ["http://a.b/1", "http://a.b/1", "http://a.b/1?x=2", "http://a.b/1m", "http://a.b/2", "http://a.b/3", "http://c.d/1", "http://c.d/1"]
+    says = ["one", "one", "one", "one", "two", None, "alone", "alone"]
+    rows = [(i, u, page.format(x) if x else None) for i, (u, x) in enumerate(zip(urls, says))]
+    rows += [(20 + i, f"http://e.f/p?id={i}", page.format(f"item {i}")) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages, partitions=1).collect()}
+    assert [got[i] for i in range(5)] == ["one"] * 4 + ["two"] and got[5] == ""
+    assert got[6] == got[7] == "Menu\n\nalone\n\nFoot"
+    assert [got[20 + i] for i in range(3)] == [f"item {i}" for i in range(3)]

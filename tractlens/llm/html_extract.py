@@ -3,7 +3,10 @@
 Pages are sorted by (host, path, id) over range partitions, which split a hot host.
 Each page is paired with the neighbour in that order, on its host, whose path shares
 the longer prefix with its own (the earlier page on a tie); a page at the edge of a
-range partition pairs with the neighbour inside of it.  The two pages' lines (text
+range partition pairs with the neighbour inside of it.  Copies (neighbours with the same
+lines) and pages without lines are skipped: they would delete all of a page, or nothing.
+A page of the same path with other lines is a neighbour, since one path may serve many
+pages by its query.  The two pages' lines (text
 blocks of the parsed markup) are aligned by longest common subsequence, and shared
 lines are deleted, unless the markup proves them to be the article's own
 (<article> or <main>): repeated passages of articles stay.  Lines that the markup
@@ -20,13 +23,14 @@ length are parsed whole; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import in_batches, release, shuffle_partitions
+from tractlens.llm.common import BATCH_ROWS, in_batches, release, shuffle_partitions
 from tractlens.llm.html_parse import parse
 from tractlens.llm.url_filter import host_and_path
 
@@ -77,34 +81,47 @@ def _nearest(before: Page | None, page: Page, after: Page | None) -> Page | None
     return max(near, key=lambda p: len(commonprefix((p[2], page[2]))), default=None)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order; a row is finished when the next one is known."""
-    release()
-    done: list[tuple] = []
-
-    def finish(before: Page | None, page: Page, after: Page | None) -> None:
+def _run(before: Page | None, run: list[Page], after: Page | None) -> Iterator[tuple]:
+    """Finished rows of consecutive copies, which share their neighbours."""
+    texts: dict[tuple[int, int], tuple[str, int]] = {}
+    for page in run:
         near = _nearest(before, page, after)
-        done.append((*page[0], *main_text(page[3], near[3] if near else None)))
+        key = id(near), id(page[3])
+        if key not in texts:
+            texts[key] = main_text(page[3], near[3] if near else None)
+        yield (*page[0], *texts[key])
 
-    def batch() -> pa.RecordBatch:
-        columns = list(zip(*done))
-        done.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()))],
-            names=["id", "url", "text", "n_shared"])
 
-    before = page = None
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows come in order; a run of copies is finished when the next page that is none is known.
+
+    Copies hold one list of lines together.
+    """
+    before: Page | None = None
+    run: list[Page] = []
     for rows in batches:
         for i, url, host, path, markup in zip(*(c.to_pylist() for c in rows.columns)):
-            after: Page = ((i, url), host, path, parse(markup))
-            if page is not None:
-                finish(before, page, after)
-            before, page = page, after
-        if done:
-            yield batch()
-    if page is not None:
-        finish(before, page, None)
-        yield batch()
+            lines = parse(markup)
+            if not lines:
+                yield i, url, "", 0
+                continue
+            if run and host == run[0][1] and [t for t, _ in lines] == [t for t, _ in run[0][3]]:
+                # Zones may differ though the lines don't; only equal ones are shared.
+                run.append(((i, url), host, path, run[0][3] if lines == run[0][3] else lines))
+                continue
+            after: Page = ((i, url), host, path, lines)
+            yield from _run(before, run, after)
+            before, run = run[-1] if run else None, [after]
+    yield from _run(before, run, None)
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
+    rows = _finished(batches)
+    while done := list(islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.string(), pa.string(), pa.int64()))],
+            names=["id", "url", "text", "n_shared"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
