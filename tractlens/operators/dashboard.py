@@ -1,4 +1,4 @@
-"""Dashboard and report aggregates (SURVEY F9, F14, F15, F21-F27, F29, G6, H7,
+"""Dashboard and report aggregates (SURVEY F9, F14, F15, F21-F25, F29, G6, H7,
 H11, J4, 2.Q market-structure measures).
 
 All are aggregates or windows on tract-level tables, or single-pass

@@ -1,4 +1,4 @@
-"""Application-grain feature engineering.
+"""Application-grain feature engineering.
 
 Every function is ``DataFrame -> DataFrame`` built from column expressions
 (no UDF), so the whole chain compiles into one projection per stage and also

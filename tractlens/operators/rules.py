@@ -1,4 +1,4 @@
-"""Row-level decision rules.
+"""Row-level decision rules.
 
 All are column expressions (``when`` chains, array functions), so they run in
 the same projection as scoring and also on streaming DataFrames.
