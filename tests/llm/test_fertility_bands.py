@@ -70,3 +70,11 @@ def test_every_measure_can_reject_alone(spark):
     got = {r["doc_id"]: r["kept"] for r in fertility.quality(docs).collect() if not r["base_failed"]}
     assert not got[1000] and got[1002] and got[1003] and not got.get(1001, False)
     assert sum(got[i] for i in range(300)) >= 297
+
+
+def test_pipeline_equals_brute_force_with_these_bands(spark, monkeypatch):
+    import test_fertility
+    import test_pipeline
+
+    monkeypatch.setattr(test_fertility, "verdicts", verdicts)
+    test_pipeline.test_run_equals_brute_force(spark)
