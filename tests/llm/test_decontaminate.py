@@ -70,6 +70,34 @@ def test_spans_equal_brute_force(spark):
             assert r["contaminated"] == (r["n_hit"] > 0 and 20 * r["n_hit"] >= r["n_words"])
 
 
+def test_blocks_of_the_benchmark_pass_through_one_at_a_time(spark, monkeypatch):
+    """Many blocks: the driver holds the items of one, and every block's hits are merged."""
+    rng = random.Random(6)
+    word = lambda: rng.choice(["un", "deux", "trois", "quatre", "cinq"])
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 13, 20])))) for i in range(60)]
+    texts = [" ".join(word() for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    texts += [texts[0]] * 5
+    held = []
+    real = decontaminate._items
+    monkeypatch.setattr(decontaminate, "_items", lambda part: held.append(0) or real(part))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), block_chars=200)
+    assert len(held) > 10
+    found = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got.collect()}
+    assert [found[i] for i in range(len(texts))] == brute(texts, items)
+
+
+def test_shards_fill_up_across_batches():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"t": [f"a{i} b c"] * 3}) for i in range(7)]
+    for size, n in ((1, 21), (9, 7), (10**6, 1)):
+        shards = list(decontaminate._shards(iter(batches), lambda b: b.column(0), {b"b": 1, b"c": 2}, size))
+        assert len(shards) == n and sum(r.num_rows for r, _ in shards) == 21 == sum(len(s) for _, s in shards)
+        assert all(x.tolist() == [0, 1, 2] for _, s in shards for x in s)
+    assert list(decontaminate._shards(iter([]), lambda b: b.column(0), {}, 5)) == []
+
+
 def test_query_equals_brute_force(spark):
     docs = queries.read_table(spark, SF001, "documents").collect()
     items = [(r["item_id"], r["text"]) for r in queries.read_table(spark, SF001, "benchmark").collect()]
@@ -85,11 +113,13 @@ def test_odd_documents(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "the same text twice"), (2, None), (None, "a text without")], "item_id long, text string")
     got = decontaminate.decontaminate(odd_docs, bench).collect()
     rows = odd_docs.collect()
-    want = brute([r["text"] for r in rows], [(1, "the same text twice")])
+    # The windows of an item without an id hit words and name no item.
+    want = [(n, hit, [i for i in found if i != "None"]) for n, hit, found in
+            brute([r["text"] for r in rows], [(1, "the same text twice"), (None, "a text without")])]
     key = lambda x: repr(x)
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got), key=key) == sorted(
         ((r["doc_id"], *w) for r, w in zip(rows, want)), key=key)
     kept = decontaminate.keep_rows(odd_docs, bench)
-    assert kept.columns == odd_docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 7]
+    assert kept.columns == odd_docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [1, 2, 3, 4, 7]
     assert decontaminate.decontaminate(no_docs, bench).count() == 0
     assert decontaminate.keep_rows(odd_docs, bench.limit(0)).count() == len(rows)
