@@ -13,11 +13,14 @@ group, and rows are never ranked, only distinct values with their counts:
 3. *Selection*: only the buckets that hold a wanted rank keep their values, which are
    counted through in order, one bucket at a time.
 
-All metrics and probabilities go through the same plan together.
+All metrics and probabilities go through the same plan together.  Quantiles of whole columns
+(``quantile_row``) first let a mergeable sketch bracket the ranks, so that only the values
+around them are counted and shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tractlens.session import ensure_checkpoint_dir
 
+INF = math.inf
 #: Buckets per power of two: values of one bucket agree to about one part in 6,000.
 SCALE = 4096
 #: Above the exponent of the smallest double (-1074), so that bucket numbers are positive.
@@ -55,25 +59,18 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(renamed, on, how).drop(*[f"_r_{i}" for i in range(len(keys))])
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column], probs: Sequence[float]) -> DataFrame:
-    """``(keys, _metric, q0, q1, ...)``: exact linear-interpolated quantiles (as pandas) of
-    every metric per group; nulls and NaN are ignored, and a metric without values has no row."""
-    k = [*keys, "_metric"]
-    vals = [F.struct(F.lit(n).alias("m"), F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias("v"))
-            for n, c in metrics.items()]
-    long = df.select(*[F.col(f"`{c}`") for c in keys], F.explode(F.array(*vals)).alias("_mv")) \
-             .select(*[F.col(f"`{c}`") for c in keys], F.col("_mv.m").alias("_metric"), F.col("_mv.v").alias("_v")) \
-             .filter(F.col("_v").isNotNull())
-    counts = long.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _bucket(F.col("_v")))
+def _at_ranks(counts: DataFrame, k: Sequence[str], places: Sequence[Column]) -> DataFrame:
+    """Values at fractional ranks ``places`` (expressions of ``_n``) as ``q0, q1, ...``, from value
+    counts ``(k, _v, _c, _n0)`` of at least the lowest values of each group, which has ``_n0`` in all
+    (null: as many as are counted here)."""
+    counts = counts.withColumn("_b", _bucket(F.col("_v")))
     group = Window.partitionBy(*k)
-    buckets = (counts.groupBy(*k, "_b").agg(F.sum("_c").alias("_bc"))
-               .withColumn("_begin", F.sum("_bc").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-                           - F.col("_bc"))
-               .withColumn("_n", F.sum("_bc").over(group)))
-    place = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
-    ranks = [r for at in place for r in (F.floor(at), F.ceil(at))]
+    buckets = (counts.groupBy(*k, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n0").alias("_n0"))
+               .withColumn("_begin", F.sum("_bc").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bc"))
+               .withColumn("_n", F.coalesce("_n0", F.sum("_bc").over(group))))
+    ranks = [r for at in places for r in (F.floor(at), F.ceil(at))]
     wanted = reduce(lambda a, b: a | b, [(F.col("_begin") <= r) & (r < F.col("_begin") + F.col("_bc")) for r in ranks])
-    inside = _null_safe(counts, buckets.filter(wanted).drop("_bc"), [*k, "_b"])
+    inside = _null_safe(counts.drop("_n0"), buckets.filter(wanted).drop("_bc", "_n0"), [*k, "_b"])
     through = Window.partitionBy(*k, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_end", F.col("_begin") + F.sum("_c").over(through))
     at_rank = lambda r: F.max(F.when((F.col("_end") - F.col("_c") <= r) & (r < F.col("_end")), F.col("_v")))
@@ -82,14 +79,54 @@ def quantiles(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column],
     return picked.select(*[F.col(f"`{c}`") for c in k], *[
         (F.when(F.col(f"_x{2 * i}") == F.col(f"_x{2 * i + 1}"), F.col(f"_x{2 * i}")).otherwise(
             F.col(f"_x{2 * i}") * (1 - (at - F.floor(at))) + F.col(f"_x{2 * i + 1}") * (at - F.floor(at)))).alias(f"q{i}")
-        for i, at in enumerate(place)])
+        for i, at in enumerate(places)])
+
 
+def _real(c: Column) -> Column:
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
-def quantile_row(df: DataFrame, metrics: Mapping[str, Column], probs: Sequence[float]) -> DataFrame:
-    """One row with ``<metric>__q0, ...`` over the whole frame; null where a metric has no values."""
-    q = quantiles(df, [], metrics, probs)
-    return q.agg(*[F.max(F.when(F.col("_metric") == n, F.col(f"q{i}"))).alias(f"{n}__q{i}")
-                   for n in metrics for i in range(len(probs))])
+
+def quantiles(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column], probs: Sequence[float]) -> DataFrame:
+    """``(keys, _metric, q0, q1, ...)``: exact linear-interpolated quantiles (as pandas) of
+    every metric per group; nulls and NaN are ignored, and a metric without values has no row."""
+    k = [*keys, "_metric"]
+    vals = [F.struct(F.lit(n).alias("m"), _real(c).alias("v")) for n, c in metrics.items()]
+    long = df.select(*[F.col(f"`{c}`") for c in keys], F.explode(F.array(*vals)).alias("_mv")) \
+             .select(*[F.col(f"`{c}`") for c in keys], F.col("_mv.m").alias("_metric"), F.col("_mv.v").alias("_v")) \
+             .filter(F.col("_v").isNotNull())
+    counts = long.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_n0", F.lit(None).cast("bigint"))
+    return _at_ranks(counts, k, [(F.col("_n") - 1) * F.lit(float(p)) for p in probs])
+
+
+#: The sketch of a whole column's quantiles is right to one part in this many rows.
+SKETCH_ACCURACY = 5_000
+
+
+def quantile_row(df: DataFrame, metrics: Mapping[str, Column], probs: Sequence[float], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """One row with ``<metric>__q0, ...`` over the whole frame; null where a metric has no values.
+
+    Exact, without moving the columns: a mergeable sketch (a few thousand numbers for each metric
+    and task) brackets every wanted rank between two values, twice its error away; a second pass
+    counts the values below each bracket (as one value) and hands on those inside, about
+    ``4 / accuracy`` of them, on which the rank is found as in ``quantiles``.  A column of up to
+    ``accuracy`` values is inside as a whole."""
+    names = list(metrics)
+    long = df.select(F.posexplode(F.array(*[_real(metrics[n]) for n in names])).alias("_metric", "_v")).filter(F.col("_v").isNotNull())
+    ends = [min(1.0, max(0.0, p + side * 2 / accuracy)) for p in probs for side in (-1, 1)]
+    sketch = long.groupBy("_metric").agg(F.count(F.lit(1)).alias("_n0"), F.percentile_approx("_v", ends, accuracy).alias("_e"))
+    wide = F.col("_n0") <= accuracy
+    cells = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p"), F.when(wide, -INF).otherwise(F.col("_e")[2 * i]).alias("_lo"),
+                               F.when(wide, INF).otherwise(F.col("_e")[2 * i + 1]).alias("_hi")) for i, p in enumerate(probs)])
+    # A row for each metric and probability.
+    brackets = materialize_small(sketch.select("_metric", "_n0", F.explode(cells).alias("_c")).select("_metric", "_n0", "_c.*"))
+    counts = (long.join(F.broadcast(brackets), "_metric").filter(F.col("_v") <= F.col("_hi"))
+              .groupBy("_metric", "_i", "_p", F.when(F.col("_v") < F.col("_lo"), -INF).otherwise(F.col("_v")).alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_c"), F.first("_n0").alias("_n0")))
+    found = _at_ranks(counts, ["_metric", "_i", "_p"], [(F.col("_n") - 1) * F.col("_p")])
+    missing = F.raise_error(F.lit("a quantile's rank is outside its sketch's bracket")).cast("double")
+    at = lambda j, i: (F.col("_metric") == j) & (F.col("_i") == i)
+    return brackets.select("_metric", "_i").join(found, ["_metric", "_i"], "left").withColumn("q0", F.coalesce("q0", missing)).agg(
+        *[F.max(F.when(at(j, i), F.col("q0"))).alias(f"{n}__q{i}") for j, n in enumerate(names) for i in range(len(probs))])
 
 
 def grouped_agg_with_medians(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],

@@ -319,6 +319,40 @@ def lps_risk_score(score: Column, dti: Column, ltv: Column) -> Column:
     return clip(credit + d + l_, 0, 100)
 
 
+# Fixed values that must equal the reference: the old predictor's columns.
+OLD_NUMERIC = ["loan_amount", "income", "debt_to_income_ratio", "loan_to_value_ratio", "property_value", "applicant_credit_score_type"]
+OLD_CATEGORICAL = ["loan_type", "loan_purpose", "occupancy_type", "derived_loan_product_type", "derived_dwelling_category",
+                   "derived_ethnicity", "derived_race", "derived_sex", "lien_status"]
+
+
+def old_predictor_features(df: DataFrame, keys: Sequence[str] = ("application_id",)) -> DataFrame:
+    """Amounts filled with their median, text categories with 'Unknown'; loan to income and
+    down payment over at least 1, the latter within -1..1; then infinities become the column's median, and
+    every number is held between its 0.1 % and 99.9 % quantiles (B21).  Adds both outcome flags."""
+    numeric = [c for c in OLD_NUMERIC if c in df.columns]
+    texts = [f.name for f in df.schema.fields if f.name in OLD_CATEGORICAL and isinstance(f.dataType, StringType)]
+    codes = [c for c in OLD_CATEGORICAL if c in df.columns and c not in texts]
+    real = df.withColumns({c: parse.to_number(F.col(c)) for c in numeric} | {c: F.col(c).cast("double") for c in codes}
+                          | {c: F.coalesce(F.col(c), F.lit("Unknown")) for c in texts})
+    middle = materialize_small(quantile_row(real, {c: F.col(c) for c in numeric}, [0.5]))
+    out = real.crossJoin(F.broadcast(middle)).withColumns({c: F.coalesce(F.col(c), F.col(f"{c}__q0")) for c in numeric}).drop(*middle.columns)
+    made = []
+    if {"loan_amount", "income"} <= set(numeric):
+        out = out.withColumn("loan_to_income_ratio", F.col("loan_amount") / F.greatest(F.col("income"), F.lit(1.0)))
+        made.append("loan_to_income_ratio")
+    if {"loan_amount", "property_value"} <= set(numeric):
+        out = out.withColumn("down_payment_ratio", clip(F.lit(1.0) - F.col("loan_amount") / F.greatest(F.col("property_value"), F.lit(1.0)), -1, 1))
+        made.append("down_payment_ratio")
+    if "action_taken" in df.columns:
+        a = F.col("action_taken")
+        out = out.withColumns({"loan_approved": parse.approved_broad(a), "loan_denied": (a == 3).cast("int")})
+    held = [c for c in [*numeric, *codes, *made] if c not in set(keys)]
+    finite = {c: F.when(F.abs(F.col(c)) < INF, F.col(c)) for c in held}
+    again = materialize_small(quantile_row(out, finite, [0.5]))
+    out = out.crossJoin(F.broadcast(again)).withColumns({c: F.coalesce(x, F.col(f"{c}__q0")) for c, x in finite.items()}).drop(*again.columns)
+    return winsorize_columns(out, held)
+
+
 def one_hot_drop_first(df: DataFrame, column: str, categories: Sequence[str], prefix: str | None = None) -> DataFrame:
     """``get_dummies(drop_first=True)`` with a frozen category list: the first
     category is dropped, absent categories give 0 columns."""

@@ -1,4 +1,4 @@
-"""Models on tables.
+"""Models on tables.
 
 MLlib estimators do the distributed work (histogram aggregation for trees,
 treeAggregate for logistic regression).  Driver-side loops run only over
@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tractlens.functions.columns import clip
+from tractlens.functions.frames import pooled, training_frame
 from tractlens.operators import rules as R
+from tractlens.operators.splits import id_order, id_order_sql, stratified_parts
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference.
@@ -24,8 +25,14 @@ SEED = 42
 MIN_TRAIN_ROWS = 20
 DEFAULT_FEATURES = ["income", "loan_amount", "property_value", "credit_score", "debt_to_income_ratio",
                     "loan_to_value_ratio"]
-TEMPORAL_BASE_FEATURES = ["lending_activity", "approval_rate", "market_accessibility", "economic_indicators",
-                          "risk_factors", "year_normalized", "total_applications"]
+#: The reference's grids, as far as MLlib's estimators have the parameter.
+OUTCOME_GRIDS = {
+    "logistic_regression": {"regParam": [100.0, 10.0, 1.0, 0.1, 0.01], "elasticNetParam": [1.0, 0.0]},
+    "random_forest": {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4],
+                      "featureSubsetStrategy": ["sqrt", "log2", "all"]},
+    "gbt": {"maxIter": [100, 200, 300], "stepSize": [0.05, 0.1, 0.15, 0.2], "maxDepth": [3, 5, 7, 10],
+            "minInstancesPerNode": [1, 2, 4], "subsamplingRate": [0.8, 0.9, 1.0]},
+}
 # ---------------------------------------------------------------------------
 
 
@@ -36,27 +43,19 @@ def hash_uniform(id_col: str | Column, seed: int = SEED) -> Column:
 
 
 def id_uniform(id_col: str | Column, seed: int = SEED) -> Column:
-    """Like ``hash_uniform`` for whole-number keys, in integer arithmetic that any SQL engine repeats:
-    two congruential steps modulo 2^31 with a shift between them."""
-    c = F.col(id_col) if isinstance(id_col, str) else id_col
-    m = F.lit(1 << 31)
-    x = F.pmod(F.pmod(c.cast("bigint"), m) * 1103515245 + 12345 + seed, m)
-    x = x.bitwiseXOR(F.shiftright(x, 16))
-    return F.pmod(x * 69069 + 1, m) / F.lit(float(1 << 31))
+    """A uniform number in [0, 1) from a whole-number key, in integer arithmetic that any SQL engine repeats."""
+    return id_order(F.col(id_col) if isinstance(id_col, str) else id_col, seed) / F.lit(float(1 << 31))
 
 
 def id_uniform_sql(id_sql: str, seed: int = SEED) -> str:
-    first = f"((({id_sql}) % 2147483648) * 1103515245 + {12345 + seed}) % 2147483648"
-    return f"((xor({first}, ({first}) >> 16) * 69069 + 1) % 2147483648) / 2147483648.0"
+    return f"{id_order_sql(id_sql, seed)} / 2147483648.0"
 
 
-def stratified_split(df: DataFrame, id_col: str, test_fraction: float = TEST_FRACTION,
+def stratified_split(df: DataFrame, id_col: str, label: str = "label", test_fraction: float = TEST_FRACTION,
                      seed: int = SEED) -> DataFrame:
-    """L1: adds ``is_test``.  Every row draws its own uniform number from its whole-number id, so
-    each class keeps its share in both parts (in expectation) without a
-    window over a class - a class may hold most rows at scale.  Stable across
-    runs and executor retries, unlike ``randomSplit``."""
-    return df.withColumn("is_test", (id_uniform(id_col, seed) < test_fraction).cast("int"))
+    """L1: adds ``is_test``; each class has exactly its share of test rows (see ``operators.splits``)."""
+    parts = stratified_parts(df, id_col, label, test_fraction, seed=seed, out="_part")
+    return parts.withColumn("is_test", (F.col("_part") == "test").cast("int")).drop("_part")
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
@@ -107,22 +106,6 @@ def _without_model_columns(df: DataFrame) -> DataFrame:
     return df.drop("features", "_raw", "rawPrediction", "probability", *[c for c in df.columns if c.startswith("_imp_")])
 
 
-#: The reference's grids, as far as MLlib's estimators have the parameter.
-OUTCOME_GRIDS = {
-    "logistic_regression": {"regParam": [100.0, 10.0, 1.0, 0.1, 0.01], "elasticNetParam": [1.0, 0.0]},
-    "random_forest": {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4],
-                      "featureSubsetStrategy": ["sqrt", "log2", "all"]},
-    "gbt": {"maxIter": [100, 200, 300], "stepSize": [0.05, 0.1, 0.15, 0.2], "maxDepth": [3, 5, 7, 10],
-            "minInstancesPerNode": [1, 2, 4], "subsamplingRate": [0.8, 0.9, 1.0]},
-}
-#: A small search for quick runs; callers pass it explicitly.
-QUICK_GRIDS = {
-    "logistic_regression": {"regParam": [0.0, 0.01]},
-    "random_forest": {"numTrees": [30], "maxDepth": [5, 8]},
-    "gbt": {"maxIter": [20], "maxDepth": [3, 5]},
-}
-
-
 def outcome_models(train: DataFrame, features: Sequence[str], label: str = "label", weight: str | None = None,
                    model_types: Sequence[str] = ("logistic_regression", "random_forest", "gbt"),
                    grids: dict[str, dict[str, list]] | None = None, folds: int = 3, parallelism: int = 4,
@@ -136,7 +119,7 @@ def outcome_models(train: DataFrame, features: Sequence[str], label: str = "labe
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     grids = grids or OUTCOME_GRIDS
-    data = _numeric(train, features).persist(StorageLevel.MEMORY_AND_DISK)
+    data = training_frame(_numeric(train, features))
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
     out = {}
     for name in model_types:
@@ -238,16 +221,18 @@ def denial_reason_models(denied: DataFrame, features: Sequence[str], codes_col:
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
 
-    data = _numeric(denied, features).persist(StorageLevel.MEMORY_AND_DISK)
+    data = training_frame(_numeric(denied, features).select(codes_col, *features))
     pos = data.select(F.explode(F.array_distinct(F.col(codes_col))).alias("code")).groupBy("code").count()
     eligible = sorted(int(r["code"]) for r in pos.filter(F.col("count") >= min_positive).collect()
                       if r["code"] is not None and 1 <= int(r["code"]) <= 9)
-    models = {}
-    for code in eligible:
+
+    def fit(code: int):
         lab = class_weights(data.withColumn("_y", F.array_contains(F.col(codes_col), code).cast("double")), "_y", "_w")
         pipe = Pipeline(stages=[*_imputed(features), RandomForestClassifier(
             labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)])
-        models[code] = pipe.fit(lab)
+        return pipe.fit(lab)
+
+    models = dict(zip(eligible, pooled([lambda c=c: fit(c) for c in eligible])))
     data.unpersist()
     return models
 
@@ -281,53 +266,31 @@ def temporal_models(temporal: DataFrame, features: Sequence[str], label: str = "
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    if years is None:
-        years = sorted(r[0] for r in temporal.select("year").distinct().collect())
-    data = _prepared(temporal, features).withColumn("_u", hash_uniform(F.concat_ws("|", "census_tract", "year"), seed))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    rows, best = [], {}
-    for y in years:
-        sub = data.filter(F.col("year") <= y)
-        if sub.limit(min_rows).count() < min_rows:
-            continue
-        tr, te = sub.filter(F.col("_u") >= TEST_FRACTION), sub.filter(F.col("_u") < TEST_FRACTION)
-        cands = {"random_forest": RandomForestRegressor(labelCol=label, numTrees=trees, seed=seed),
-                 "gbt": GBTRegressor(labelCol=label, maxIter=rounds, seed=seed)}
-        for name, est in cands.items():
-            m = Pipeline(stages=[_assembler(features), est]).fit(tr)
-            p = m.transform(te)
-            ev = {k: RegressionEvaluator(labelCol=label, metricName=k).evaluate(p) for k in ("r2", "mse", "mae")}
-            rows.append((int(y), name, float(ev["r2"]), float(ev["mse"]), float(ev["mae"])))
-            if y not in best or ev["r2"] > best[y][2]:
-                best[y] = (name, m, ev["r2"])
-    data.unpersist()
-    spark = temporal.sparkSession
-    metrics = spark.createDataFrame(rows, "year int, model string, r2 double, mse double, mae double")
-    return metrics, {y: (n, m) for y, (n, m, _) in best.items()}
+    data = training_frame(_prepared(temporal, features).select(
+        "year", label, *features, hash_uniform(F.concat_ws("|", "census_tract", "year"), seed).alias("_u")))
+    sizes = {r["year"]: r["count"] for r in data.groupBy("year").count().collect()}
+    make = {"random_forest": lambda: RandomForestRegressor(labelCol=label, numTrees=trees, seed=seed),
+            "gbt": lambda: GBTRegressor(labelCol=label, maxIter=rounds, seed=seed)}
+    scorers = {k: RegressionEvaluator(labelCol=label, metricName=k) for k in ("r2", "mse", "mae")}
 
+    def fit(y: int, name: str):
+        sub = data.filter(F.col("year") <= y)
+        m = Pipeline(stages=[_assembler(features), make[name]()]).fit(sub.filter(F.col("_u") >= TEST_FRACTION))
+        p = m.transform(sub.filter(F.col("_u") < TEST_FRACTION))
+        return m, {k: float(ev.evaluate(p)) for k, ev in scorers.items()}
 
-def expanding_window_cv(temporal: DataFrame, features: Sequence[str], label: str = "opportunity_score",
-                        seed: int = SEED, splits: int = 3, trees: int = 100, rounds: int = 100) -> DataFrame:
-    """For each of the last ``splits`` cut-off years train on earlier years
-    and test on that year (by time, trap T5 fixed); mean R2 per model type."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-
-    years = sorted(r[0] for r in temporal.select("year").distinct().collect())
-    data = _prepared(temporal, features).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    for cut in years[1:][-splits:]:
-        tr, te = data.filter(F.col("year") < cut), data.filter(F.col("year") == cut)
-        for name, est in {"random_forest": RandomForestRegressor(labelCol=label, numTrees=trees, seed=seed),
-                          "gbt": GBTRegressor(labelCol=label, maxIter=rounds, seed=seed),
-                          "linear": LinearRegression(labelCol=label)}.items():
-            m = Pipeline(stages=[_assembler(features), est]).fit(tr)
-            r2 = RegressionEvaluator(labelCol=label, metricName="r2").evaluate(m.transform(te))
-            rows.append((int(cut), name, float(r2)))
+    runs = [(y, name) for y in sorted(sizes if years is None else years)
+            if sum(n for k, n in sizes.items() if k <= y) >= min_rows for name in make]
+    fitted = pooled([lambda y=y, n=n: fit(y, n) for y, n in runs])
     data.unpersist()
-    cv = temporal.sparkSession.createDataFrame(rows, "cutoff_year int, model string, r2 double")
-    return cv.groupBy("model").agg(F.avg("r2").alias("mean_r2"), F.count(F.lit(1)).alias("folds"))
+    best: dict = {}
+    for (y, name), (m, ev) in zip(runs, fitted):
+        if y not in best or ev["r2"] > best[y][2]:
+            best[y] = (name, m, ev["r2"])
+    metrics = temporal.sparkSession.createDataFrame(
+        [(int(y), name, ev["r2"], ev["mse"], ev["mae"]) for (y, name), (_, ev) in zip(runs, fitted)],
+        "year int, model string, r2 double, mse double, mae double")
+    return metrics, {y: (n, m) for y, (n, m, _) in best.items()}
 
 
 def predict_future(model, future: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tractlens.functions.frames import pooled, training_frame
 from tractlens.functions.stats import grouped_agg_with_medians
 
 # ---------------------------------------------------------------------------
@@ -57,13 +58,13 @@ def kmeans_segments(df: DataFrame, features: Sequence[str] = CLUSTER_FEATURES, k
     base = df.na.fill(0, subset=present)
     prep = Pipeline(stages=[VectorAssembler(inputCols=present, outputCol="_raw", handleInvalid="keep"),
                             StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)])
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    base = training_frame(base)
     scaled = prep.fit(base).transform(base).persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     results = []
     best = None
     for k in k_values:
-        tries = [KMeans(k=k, seed=seed + i, featuresCol="features", maxIter=50).fit(scaled) for i in range(starts)]
+        tries = pooled([lambda k=k, i=i: KMeans(k=k, seed=seed + i, featuresCol="features", maxIter=50).fit(scaled) for i in range(starts)])
         model = min(tries, key=lambda m: m.summary.trainingCost)
         pred = model.transform(scaled)
         sil = evaluator.evaluate(pred)

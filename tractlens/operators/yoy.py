@@ -14,7 +14,7 @@ Shape of the work at scale
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractlens.functions import parse
@@ -338,6 +338,20 @@ def risk_alerts(changes: DataFrame, k: int = 5, high_drop: float = -10.0) -> Dat
                      .otherwise("Moderate").alias("risk_level"))
 
 
+def insight_splits(opportunities: DataFrame, risks: DataFrame, trends: DataFrame) -> DataFrame:
+    """growth opportunities by type, risks by level, and the trends of each segment, as one
+    table ``(section, split, key, market_segment, volume, approval, detail)`` of texts."""
+    def rows(df: DataFrame, section: str, split: str, key: str, volume: Column, approval: Column, detail: Column) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), F.col(split).alias("split"), F.col(key).alias("key"), "market_segment",
+                         volume.alias("volume"), approval.alias("approval"), detail.alias("detail"))
+
+    percent = lambda c: F.concat(one_decimal(F.col(c)), F.lit("%"))
+    return (rows(opportunities, "opportunity", "type", "census_tract", F.col("volume_growth"), F.col("approval_rate"), F.lit(None).cast("string"))
+            .unionByName(rows(risks, "risk", "risk_level", "census_tract", F.col("volume_change"), F.col("approval_rate_change"), F.col("current_approval_rate")))
+            .unionByName(rows(trends, "trend", "avg_performance_tier", "market_segment", percent("volume_trend_pct"), percent("approval_rate_trend"),
+                              F.col("tract_count").cast("string"))))
+
+
 # Fixed recommendation texts of the reference.
 REC_GROWTH = "📈 Market is experiencing strong growth - consider expanding origination capacity"
 REC_DECLINE = "📉 Market volume declining - investigate competitive pressures and rate sensitivity"

@@ -12,7 +12,7 @@ from tractlens.operators import yoy
 from tractlens.oracle.tract_sql import CLEAN, ROLLUP_V2
 from tractlens.oracle.views import (APPLICATIONS, CENSUS, FIRST_LAST, HPI, TRACT_YEAR, YOY_CHANGES, rounded,
                                     with_ctes)
-from tractlens.plans.opportunity import SCORED_CTES, scored
+from tractlens.plans.opportunity import SCORED_CTES, _SEG_SQL, scored
 from tractlens.plans.registry import finalize, register
 from tractlens.plans.temporal import YEARLY_SQL, TEMPORAL_SQL, temporal
 from tractlens.plans.validation import MODEL_INPUT_SQL, model_input
@@ -175,6 +175,36 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+_GROWTH_CTES = [f"""
+leaders AS (SELECT * FROM first_last WHERE volume_growth_pct > 20 AND approval_improvement > 5
+            ORDER BY volume_growth_pct DESC, census_tract LIMIT 5)""", f"""
+rising AS (SELECT * FROM first_last WHERE current_volume BETWEEN {EMERGING["lo"]} AND {EMERGING["hi"]}
+             AND current_approval_rate >= {EMERGING["min_rate"]} AND volume_growth_pct > 0
+           ORDER BY volume_growth_pct DESC, census_tract LIMIT 3)"""]
+_WORST_CTES = ["""
+latest AS (
+SELECT *, volume_change_pct * 0.4 + approval_rate_change * 0.6 AS score
+FROM yoy_changes WHERE to_year = (SELECT max(to_year) FROM yoy_changes)),
+worst AS (SELECT *, row_number() OVER (ORDER BY score, census_tract) AS n FROM latest WHERE score IS NOT NULL)"""]
+
+
+@register("f27_insight_splits", with_ctes(
+    APPLICATIONS, TRACT_YEAR, YOY_CHANGES, FIRST_LAST, SEG_YEAR_SQL, SEG_TREND_SQL, *_GROWTH_CTES, *_WORST_CTES, body=f"""
+SELECT 'opportunity' AS section, split, census_tract AS key, market_segment, volume_growth AS volume, approval_rate AS approval,
+       CAST(NULL AS VARCHAR) AS detail
+FROM (SELECT 'High Growth Leader' AS split, {_FL_TEXTS} FROM leaders UNION ALL SELECT 'Emerging Market', {_FL_TEXTS} FROM rising)
+UNION ALL
+SELECT 'risk', CASE WHEN approval_rate_change < -10 THEN 'High' ELSE 'Moderate' END, census_tract, market_segment,
+       {_one_decimal("volume_change_pct")}, {_one_decimal("approval_rate_change")}, {_one_decimal("current_approval_rate")}
+FROM worst WHERE n <= 5
+UNION ALL
+SELECT 'trend', avg_performance_tier, market_segment, market_segment, {_one_decimal("volume_trend_pct")}, {_one_decimal("approval_rate_trend")},
+       CAST(tract_count AS VARCHAR) FROM seg_trends"""))
+def f27(spark, sf):
+    m = metrics(spark, sf)
+    return yoy.insight_splits(yoy.growth_opportunities(m, **EMERGING), yoy.risk_alerts(yoy.yoy_changes(m)), yoy.segment_trends(m))
+
+
 @register("k10_strategic_recommendations", with_ctes(
     APPLICATIONS, TRACT_YEAR, SEG_YEAR_SQL, SEG_TREND_SQL, _MARKET_YEAR_SQL, MARKET_TREND_SQL, FIRST_LAST, """
 leaders AS (SELECT count(*) AS n FROM (SELECT 1 FROM first_last WHERE volume_growth_pct > 20 AND approval_improvement > 5
@@ -340,9 +370,14 @@ def q_hpi(spark, sf):
     return finalize(db.hpi_growth(hpi(spark, sf)))
 
 
-@register("f29_pipeline_summary")
+@register("f29_pipeline_summary", rounded(with_ctes(*SCORED_CTES, _SEG_SQL, body="""
+SELECT (SELECT count(*) FROM scored_final) AS total_census_tracts, (SELECT avg(opportunity_score) FROM scored_final) AS average_opportunity_score,
+       (SELECT CAST(sum(total_population) AS BIGINT) FROM scored_final) AS total_population,
+       (SELECT count(*) FILTER (opportunity_level = 'High') FROM scored_final) AS high_tracts,
+       (SELECT count(DISTINCT business_segment) FROM segmented) AS segments, count(*) AS records,
+       avg(CAST(action_taken IN (1, 2, 6, 8) AS INT)) * 100 AS approval_rate FROM applications"""), ["average_opportunity_score", "approval_rate"]))
 def f29(spark, sf):
     from tractlens.operators import segment as sg
     s = scored(spark, sf)
     prof = sg.segment_profiles(opp.business_segments(s), "business_segment")
-    return db.pipeline_summary(s, prof, applications(spark, sf))
+    return finalize(db.pipeline_summary(s, prof, applications(spark, sf)))

@@ -6,16 +6,24 @@ check); the rule-based and counting ones do.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tractlens.functions import parse
+from tractlens.functions.stats import materialize_small
+from tractlens.operators import forecast as fc
 from tractlens.operators import ml
 from tractlens.operators import rules as R
 from tractlens.operators import temporal as tm
+from tractlens.operators import tuning as tn
+from tractlens.operators.splits import stratified_parts
 from tractlens.oracle.views import APPLICATIONS, rounded, with_ctes
 from tractlens.plans.registry import finalize, register
-from tractlens.plans.temporal import temporal
+from tractlens.plans.temporal import panel, temporal
 from tractlens.plans.validation import MODEL_INPUT_SQL, model_input
+from tractlens.session import ensure_checkpoint_dir
+from tractlens.sources.sinks import load_pipeline_model, save_model
 from tractlens.sources.tables import applications
 
 FEATURES = ml.DEFAULT_FEATURES
@@ -27,26 +35,42 @@ def labelled(spark, sf):
     return ml.stratified_split(a.filter(F.col("label") >= 0), "application_id")
 
 
+#: A stated budget for the reference's grids: points drawn, shares of the training rows that they are fitted on.
+BUDGETS = {"logistic_regression": tn.Budget(points=10, shares=(1.0,)), "random_forest": tn.Budget(points=4, shares=(0.25, 1.0), eta=4),
+           "gbt": tn.Budget(points=4, shares=(0.25, 1.0), eta=4)}
+
+
 def _fit(spark, sf, model_types=("logistic_regression", "random_forest", "gbt")):
     d = labelled(spark, sf)
-    # Balanced weights of the training rows alone; the quick grids are an explicit choice.
-    train = ml.class_weights(d.filter(F.col("is_test") == 0), "label")
-    models = ml.outcome_models(train, FEATURES, weight="weight", model_types=model_types, grids=ml.QUICK_GRIDS)
-    return d, models
+    train = ml.class_weights(d.filter(F.col("is_test") == 0), "label")  # balanced by the training rows alone
+    return d, {name: tn.halving_search(train, FEATURES, name, ml.OUTCOME_GRIDS[name], "application_id", weight="weight",
+                                       budget=BUDGETS[name]) for name in model_types}
 
 
 _LABELLED_SQL = f"""
 labelled AS (
 SELECT application_id, CAST(CASE WHEN action_taken IN (1, 2, 6, 8) THEN 1 ELSE 0 END AS DOUBLE) AS label,
-       CAST({ml.id_uniform_sql("application_id")} < {ml.TEST_FRACTION} AS INT) AS is_test,
-       {ml.id_uniform_sql("application_id", ml.SEED + 1)} AS u
-FROM model_input WHERE action_taken IN (1, 2, 3, 6, 7, 8))"""
+       {ml.id_uniform_sql("application_id", ml.SEED + 1)} AS u,
+       {ml.id_order_sql("application_id", ml.SEED)} AS x
+FROM model_input WHERE action_taken IN (1, 2, 3, 6, 7, 8)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY x, application_id) AS k, count(*) OVER (PARTITION BY label) AS size
+           FROM labelled),
+split AS (SELECT *, CAST(floor(size * CAST({ml.TEST_FRACTION} AS DOUBLE) + 0.5) AS BIGINT) AS n_test FROM ranked)"""
 
 
 @register("l1_stratified_split", with_ctes(APPLICATIONS, MODEL_INPUT_SQL, _LABELLED_SQL, body="""
-SELECT label, is_test, count(*) AS rows FROM labelled GROUP BY 1, 2"""))
+SELECT label, CAST(k <= n_test AS INT) AS is_test, count(*) AS rows, CAST(sum(application_id) AS BIGINT) AS ids FROM split GROUP BY 1, 2"""))
 def l1(spark, sf):
-    return labelled(spark, sf).groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("rows"))
+    return labelled(spark, sf).groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("rows"), F.sum("application_id").alias("ids"))
+
+
+@register("l1_three_way_split", with_ctes(APPLICATIONS, MODEL_INPUT_SQL, _LABELLED_SQL, body="""
+SELECT label, CASE WHEN k <= n_test THEN 'test' WHEN k <= n_test + floor((size - n_test) * CAST(0.1 AS DOUBLE) + 0.5) THEN 'validation' ELSE 'train' END AS part,
+       count(*) AS rows, CAST(sum(application_id) AS BIGINT) AS ids FROM split GROUP BY 1, 2"""))
+def l1_three_way(spark, sf):
+    a = model_input(spark, sf).withColumn("label", parse.model_target(F.col("action_taken")).cast("double")).filter("label >= 0")
+    parts = stratified_parts(a, "application_id", "label", ml.TEST_FRACTION, 0.1, ml.SEED)
+    return parts.groupBy("label", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("application_id").alias("ids"))
 
 
 @register("l13_class_weights", rounded(with_ctes(APPLICATIONS, MODEL_INPUT_SQL, body="""
@@ -74,28 +98,34 @@ def l12(spark, sf):
     test = d.filter(F.col("is_test") == 1)
     out = None
     for name, m in models.items():
-        met = ml.classification_metrics(m.transform(ml._numeric(test, FEATURES)), "label", name)
+        met = ml.classification_metrics(m.model.transform(ml._numeric(test, FEATURES)), "label", name)
         out = met if out is None else out.unionByName(met)
     return ml.model_summary(out)
 
 
+@register("l13_random_search")
+def l13_search(spark, sf):
+    _, found = _fit(spark, sf, ("random_forest",))
+    return found["random_forest"].table(spark, "random_forest")
+
+
 @register("l16_batch_scoring")
 def l16(spark, sf):
     d, models = _fit(spark, sf, ("random_forest",))
-    return ml.batch_score(models["random_forest"].bestModel, d, FEATURES)
+    return ml.batch_score(models["random_forest"].model, d, FEATURES)
 
 
 @register("l17_confusion_matrix")
 def l17(spark, sf):
     d, models = _fit(spark, sf, ("gbt",))
     test = ml._numeric(d.filter(F.col("is_test") == 1), FEATURES)
-    return ml.confusion_matrix(models["gbt"].transform(test), "label")
+    return ml.confusion_matrix(models["gbt"].model.transform(test), "label")
 
 
 @register("i9_feature_importance")
 def i9(spark, sf):
     _, models = _fit(spark, sf, ("random_forest",))
-    return ml.feature_importance(models["random_forest"].bestModel, FEATURES)
+    return ml.feature_importance(models["random_forest"].model, FEATURES)
 
 
 @register("f18_fairness_table")
@@ -103,7 +133,7 @@ def f18(spark, sf):
     d, models = _fit(spark, sf, ("random_forest",))
     test = d.filter(F.col("is_test") == 1).join(
         applications(spark, sf).select("application_id", "applicant_race", "applicant_sex"), "application_id")
-    scored = ml.batch_score(models["random_forest"].bestModel, test, FEATURES)
+    scored = ml.batch_score(models["random_forest"].model, test, FEATURES)
     return ml.fairness_table(scored, ["applicant_race", "applicant_sex"])
 
 
@@ -180,8 +210,13 @@ def k11(spark, sf):
     return m.select("application_id", F.concat_ws(" | ", r).alias("denial_reasons"), F.size(r).cast("int").alias("n_reasons"))
 
 
+def _panel(spark, sf):
+    """The scored panel, written once: its plan is long, and fits, trends and horizons all read it."""
+    return materialize_small(temporal(spark, sf))
+
+
 def _temporal_fit(spark, sf, latest_only=False):
-    t = temporal(spark, sf)
+    t = _panel(spark, sf)
     feats = tm.TEMPORAL_FEATURES[1:] + ["year_normalized", "total_applications"] + [
         c for c in t.columns if c.endswith(("_lag1", "_yoy_change", "_yoy_pct_change", "_ma2"))]
     # One model set per year of the panel; forecasts use that of the latest year only.
@@ -239,17 +274,21 @@ def i8(spark, sf):
 
 @register("h12_history_transition")
 def h12(spark, sf):
-    t = temporal(spark, sf)
-    return tm.history_transition(t, predictions(spark, sf))
+    return tm.history_transition(_panel(spark, sf), predictions(spark, sf))
 
 
 @register("j2_history_prediction_timeline")
 def j2(spark, sf):
-    return tm.historical_predicted_timeline(temporal(spark, sf), predictions(spark, sf))
+    return tm.historical_predicted_timeline(_panel(spark, sf), predictions(spark, sf))
 
 
 @register("l5_expanding_window_cv")
 def l5(spark, sf):
-    t = temporal(spark, sf)
-    feats = tm.TEMPORAL_FEATURES[1:] + ["total_applications"]
-    return ml.expanding_window_cv(t, feats)
+    """The winner over time, saved and read back before its fit on all years is judged."""
+    p = panel(spark, sf)
+    names = fc.input_names(p)
+    found = tn.select_over_time(fc.forecast_inputs(p, names), names)
+    path = f"{ensure_checkpoint_dir(spark)}/forecaster-{uuid.uuid4().hex}"
+    save_model(found.model, path)
+    load_pipeline_model(path)
+    return found.table

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tractlens.functions.stats import materialize_small
 from tractlens.operators import opportunity as opp
 from tractlens.oracle.tract_sql import (CENSUS_RATES, CLEAN, HPI_LATEST, MASTER, ROLLUP_V1, ROLLUP_V2,
                                         SCORED_DOUBLES, scored_cte)
@@ -13,8 +14,9 @@ SCORED_CTES = (APPLICATIONS, CENSUS, HPI, CLEAN, ROLLUP_V2, CENSUS_RATES, HPI_LA
 
 
 def scored(spark, sf):
+    # One row for each tract, written once: its ranges and its scores both read it.
     m = opp.master_dataset(applications(spark, sf), census(spark, sf), hpi(spark, sf))
-    return opp.opportunity_score(m)
+    return opp.opportunity_score(materialize_small(m))
 
 
 @register("f2_tract_rollup", rounded(with_ctes(APPLICATIONS, CLEAN, ROLLUP_V2, body="SELECT * FROM rollup_v2"),

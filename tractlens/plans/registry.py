@@ -60,4 +60,6 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the plan modules fills the registry.
-    from tractlens.plans import dashboard, features, models, opportunity, segment, sources, temporal, validation, yoy  # noqa: F401
+    from tractlens.plans import (  # noqa: F401
+        dashboard, denial, features, models, opportunity, preprocess, segment, sources, temporal, validation, yoy,
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tractlens.operators import opportunity as opp
 from tractlens.operators import segment as sg
 from tractlens.oracle.views import rounded, with_ctes
@@ -85,9 +87,32 @@ def f11(spark, sf):
     return finalize(sg.competitive_analysis(seg, sg.segment_profiles(seg, "business_segment"), "business_segment"))
 
 
-@register("k7_k8_product_recommendations")
+def _texts(items) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+_INC = "avg_median_household_income"
+
+
+@register("k7_k8_product_recommendations", with_ctes(*SCORED_CTES, _SEG_SQL, PROFILE_SQL, f"""
+lists AS (
+SELECT business_segment,
+       list_concat(list_concat(
+         CASE WHEN {_INC} > {sg.PRODUCTS_BY_INCOME[0][0]} THEN {_texts(sg.PRODUCTS_BY_INCOME[0][1])}
+              WHEN {_INC} > {sg.PRODUCTS_BY_INCOME[1][0]} THEN {_texts(sg.PRODUCTS_BY_INCOME[1][1])} ELSE {_texts(sg.PRODUCTS_LOW_INCOME)} END,
+         CASE WHEN risk_level = 'Low' THEN {_texts(sg.PRODUCTS_BY_RISK["Low"])} WHEN risk_level = 'Moderate' THEN {_texts(sg.PRODUCTS_BY_RISK["Moderate"])}
+              ELSE {_texts(sg.PRODUCTS_HIGH_RISK)} END),
+         [CASE WHEN tract_count > 5 THEN 'Branch/Office Expansion' ELSE 'Digital/Mobile Services' END]) AS products,
+       CASE WHEN {_INC} > 70000 THEN {_texts(sg.CHANNELS_HIGH_INCOME)} ELSE {_texts(sg.CHANNELS_OTHER)} END AS channels,
+       CASE WHEN risk_level = 'Low' AND coalesce(avg_approval_rate, 0) > 0.8 THEN 'Competitive Pricing'
+            WHEN risk_level = 'Moderate' THEN 'Standard Pricing' ELSE 'Risk-Adjusted Pricing' END AS pricing_strategy
+FROM profiles)""", body="""
+SELECT business_segment AS segment, array_to_string(products[1:3], ' | ') AS primary_products, array_to_string(products[4:], ' | ') AS secondary_products,
+       array_to_string(channels, ' | ') AS marketing_channels, pricing_strategy FROM lists"""))
 def k7(spark, sf):
-    return sg.product_recommendations(profiles(spark, sf))
+    lists = ("primary_products", "secondary_products", "marketing_channels")
+    r = sg.product_recommendations(profiles(spark, sf))
+    return r.withColumns({c: F.array_join(c, " | ") for c in lists})
 
 
 @register("f28_segment_overview", with_ctes(*SCORED_CTES, _SEG_SQL, body="""

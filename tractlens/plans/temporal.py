@@ -6,16 +6,19 @@ import math
 
 from pyspark.sql import functions as F
 
+from tractlens.functions.stats import materialize_small
 from tractlens.operators import opportunity as opp
 from tractlens.operators import forecast as fc
 from tractlens.operators import temporal as tm
+from tractlens.oracle.sqlfn import clip_sql
 from tractlens.oracle.views import APPLICATIONS, CENSUS, rounded, with_ctes
 from tractlens.plans.registry import finalize, register
 from tractlens.sources.tables import applications, census
 
 
 def yearly(spark, sf):
-    return tm.yearly_tract_scores(applications(spark, sf))
+    """The scores of each tract and year, written once for a query."""
+    return materialize_small(tm.yearly_tract_scores(applications(spark, sf)))
 
 
 YEARLY_SQL = """
@@ -53,11 +56,60 @@ YEARLY_DOUBLES = ["opportunity_score", "lending_activity", "approval_rate", "mar
 @register("e9_yearly_tract_scores", rounded(with_ctes(APPLICATIONS, YEARLY_SQL, body="SELECT * FROM yearly"),
                                             YEARLY_DOUBLES))
 def e9(spark, sf):
-    return finalize(yearly(spark, sf).drop("_raw_score"))
+    return finalize(tm.yearly_tract_scores(applications(spark, sf)).drop("_raw_score"))
+
+
+def _banded(x: str, limits, default: str, op: str = ">=") -> str:
+    return "CASE " + " ".join(f"WHEN {x} {op} {lim} THEN {text}" for lim, text in limits) + f" ELSE {default} END"
+
+
+def _half_up(x: str, digits: int) -> str:
+    """printf rounds halves to even, the JVM's formatter up."""
+    return f"printf('%.{digits}f', floor({x} * {10**digits} + 0.5) / {10**digits}.0)"
+
+
+def _reasons_sql() -> str:
+    n, ar, loan, inc, dti = "total_applications", _half_up("approval_rate", 1), "avg_loan_amount", _half_up("avg_income", 0), _half_up("avg_dti", 1)
+    money = "'$' || format('{:,}', CAST(round_even(avg_loan_amount, 0) AS BIGINT))"
+    act = _banded(n, [(50, f"'High lending activity with ' || {n} || ' applications (excellent market demand)'"),
+                      (25, f"'Moderate lending activity with ' || {n} || ' applications (good market interest)'"),
+                      (10, f"'Limited lending activity with ' || {n} || ' applications (emerging market)'")],
+                  f"'Low lending activity with only ' || {n} || ' applications (underdeveloped market)'")
+    appr = _banded("approval_rate", [(80, f"'Excellent approval rate of ' || {ar} || '% indicates strong creditworthiness'"),
+                                     (60, f"'Good approval rate of ' || {ar} || '% shows moderate lending success'"),
+                                     (40, f"'Fair approval rate of ' || {ar} || '% suggests some lending challenges'")],
+                   f"'Low approval rate of ' || {ar} || '% indicates significant lending barriers'")
+    acc = _banded(loan, [(400000, f"'High-value market with median loan of ' || {money} || ' (premium segment)'"),
+                         (250000, f"'Mid-range market with median loan of ' || {money} || ' (mainstream segment)'"),
+                         (150000, f"'Affordable market with median loan of ' || {money} || ' (entry-level segment)'")],
+                  f"'Low-value market with median loan of ' || {money} || ' (budget segment)'")
+    eco = _banded("avg_income", [(120, f"'High-income area with median income $' || {inc} || 'k (strong economic foundation)'"),
+                                 (80, f"'Middle-income area with median income $' || {inc} || 'k (stable economic base)'"),
+                                 (50, f"'Moderate-income area with median income $' || {inc} || 'k (developing economic base)'")],
+                  f"'Low-income area with median income $' || {inc} || 'k (economic growth potential)'")
+    risk = _banded("avg_dti", [(0, "'Risk assessment based on standard lending criteria (limited DTI data)'"),
+                               (25, f"'Low risk profile with median DTI of ' || {dti} || '% (excellent financial health)'"),
+                               (35, f"'Moderate risk profile with median DTI of ' || {dti} || '% (good financial stability)'"),
+                               (50, f"'Higher risk profile with median DTI of ' || {dti} || '% (manageable debt levels)'")],
+                   f"'High risk profile with median DTI of ' || {dti} || '% (elevated debt burden)'", "<=")
+    assess = _banded("(la * 0.3 + ar * 0.25 + ma * 0.2 + ec * 0.15 + rs * 0.1)", [(k, f"'{t}'") for k, t in tm.ASSESSMENTS], f"'{tm.ASSESSMENT_DEFAULT}'")
+    scored = YEARLY_SQL.replace("FROM ys_comp)", "FROM ys_comp)").replace("SELECT census_tract, year, total_applications,\n       floor(",
+                                                                     "SELECT census_tract, year, total_applications, la, ar, ma, ec, rs,\n       floor(")
+    return with_ctes(APPLICATIONS, scored, body=f"""
+SELECT census_tract, year, opportunity_score AS overall_score, {assess} AS assessment, {act} AS lending_activity, {appr} AS approval_rate,
+       {acc} AS market_accessibility, {eco} AS economic_indicators, {risk} AS risk_factors FROM yearly""")
+
+
+@register("e8_score_reasoning", rounded(_reasons_sql(), ["overall_score"]))
+def e8(spark, sf):
+    parts = ("lending_activity", "approval_rate", "market_accessibility", "economic_indicators", "risk_factors")
+    return finalize(tm.score_reasoning(yearly(spark, sf)).select(
+        "census_tract", "year", "reasoning.overall_score", "reasoning.assessment",
+        *[F.col(f"reasoning.components.{c}.reasoning").alias(c) for c in parts]))
 
 
-@register("e8_score_reasoning")
-def e8(spark, sf):
+@register("e8_score_reasoning_nested")
+def e8_nested(spark, sf):
     return tm.score_reasoning(yearly(spark, sf)).select("census_tract", "year", "opportunity_score", "reasoning")
 
 
@@ -126,16 +178,49 @@ def h9(spark, sf):
     return finalize(tm.tract_trends(temporal(spark, sf)))
 
 
-def _future_years(spark, sf):
-    return [1, 2]
+def _progression_sql() -> str:
+    """L9 for one and two years ahead: ``future`` holds every column of the panel."""
+    prog, damp = f"coalesce(avg_yoy_change, 0.0) * h * pow({tm.DAMPING}, h)", f"pow({tm.DAMPING}, h)"
+    new = {}
+    for c in tm.PROGRESSION_FEATURES:
+        b = f"coalesce({c}, 0.0)"
+        if c in ("opportunity_score", "approval_rate"):
+            new[c] = clip_sql(f"({b} + {prog}{' * 0.5' if c == 'approval_rate' else ''})", 0, 100)
+        else:
+            v = f"({b} + {prog} * 0.7)"
+            new[c] = f"(CASE WHEN {v} < 0 THEN 0.0 WHEN {v} > m_{c} * 1.5 THEN m_{c} * 1.5 ELSE {v} END)"
+    value = {c: f"n_{c}" if c in new else c for c in tm.TEMPORAL_FEATURES}
+    shifted = [x for c in tm.TEMPORAL_FEATURES for x in (f"{value[c]} AS {c}_lag1", f"avg_yoy_change * {damp} AS {c}_yoy_change",
+                                                         f"{c}_yoy_pct_change", f"{value[c]} AS {c}_ma2")]
+    return f"""
+future0 AS (
+SELECT t.*, tr.avg_yoy_change, tr.trend_strength, h, recent, base, {", ".join(f"m_{c}" for c in tm.PROGRESSION_FEATURES)}
+FROM temporal t LEFT JOIN trends tr ON tr.census_tract = t.census_tract, (VALUES (1), (2)) AS hz(h),
+     (SELECT max(year) AS recent, min(year) AS base FROM temporal) AS ends,
+     (SELECT {", ".join(f"max(coalesce({c}, 0.0)) AS m_{c}" for c in tm.PROGRESSION_FEATURES)} FROM temporal
+      WHERE year = (SELECT max(year) FROM temporal)) AS maxes
+WHERE t.year = recent),
+future1 AS (SELECT *, {", ".join(f"{e} AS n_{c}" for c, e in new.items())} FROM future0),
+future AS (
+SELECT census_tract, CAST(recent + h AS INT) AS year, CAST(h AS INT) AS years_ahead, total_applications,
+       {", ".join(f"n_{c} AS {c}" if c in new else c for c in tm.TEMPORAL_FEATURES)}, avg_loan_amount, avg_income, avg_dti,
+       (recent + h - base) / CAST(4 AS DOUBLE) AS year_normalized, {", ".join(shifted)}, avg_yoy_change, trend_strength
+FROM future1)"""
+
+
+FUTURE_SQL = _progression_sql()
+
+
+def _progression(spark, sf):
+    t = materialize_small(temporal(spark, sf))
+    recent = t.agg(F.max("year")).first()[0]
+    return tm.temporal_progression(t, tm.tract_trends(t), [recent + 1, recent + 2])
 
 
-@register("l9_temporal_progression")
+@register("l9_temporal_progression", rounded(with_ctes(APPLICATIONS, YEARLY_SQL, TEMPORAL_SQL, TRENDS_SQL, FUTURE_SQL, body="SELECT * FROM future"),
+                                             [*TEMPORAL_DOUBLES, "avg_yoy_change", "trend_strength"]))
 def l9(spark, sf):
-    t = temporal(spark, sf)
-    tr = tm.tract_trends(t)
-    recent = t.agg(F.max("year")).first()[0]
-    return finalize(tm.temporal_progression(t, tr, [recent + 1, recent + 2]))
+    return finalize(_progression(spark, sf))
 
 
 @register("l7_economic_projection", rounded(with_ctes(CENSUS, """
@@ -213,12 +298,21 @@ def l8(spark, sf):
     return finalize(fc.future_rows(latest.select("census_tract", *fc.PANEL_FEATURES), _FUTURE).select("census_tract", *_FUTURE))
 
 
-@register("l10_l11_forecast_insights")
+_LEVEL = "CASE WHEN opportunity_score >= 75 THEN 'High' WHEN opportunity_score >= 50 THEN 'Medium' ELSE 'Low' END"
+
+
+@register("l10_l11_forecast_insights", rounded(with_ctes(APPLICATIONS, YEARLY_SQL, TEMPORAL_SQL, TRENDS_SQL, FUTURE_SQL, """
+moves AS (SELECT census_tract, max(opportunity_score) FILTER (years_ahead = 2) - max(opportunity_score) FILTER (years_ahead = 1) AS d
+          FROM future GROUP BY 1)""", body=f"""
+SELECT 'level_count' AS insight, years_ahead, {_LEVEL} AS key, CAST(count(*) AS DOUBLE) AS value FROM future GROUP BY 2, 3
+UNION ALL SELECT 'score_mean', years_ahead, NULL, floor(avg(opportunity_score) * 100 + 0.5) / 100 FROM future GROUP BY 2
+UNION ALL SELECT 'score_std', years_ahead, NULL, floor(stddev_samp(opportunity_score) * 100 + 0.5) / 100 FROM future GROUP BY 2
+UNION ALL SELECT 'total_tracts', NULL, NULL, CAST(count(DISTINCT census_tract) AS DOUBLE) FROM future
+UNION ALL SELECT * FROM (SELECT 'top_improving', CAST(NULL AS INT), census_tract, d FROM moves WHERE d IS NOT NULL ORDER BY d DESC, census_tract LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'top_declining', CAST(NULL AS INT), census_tract, d FROM moves WHERE d IS NOT NULL ORDER BY d, census_tract LIMIT 5)"""),
+    ["value"]))
 def l11(spark, sf):
     """Insight table over the damped progression of each tract's score (L9), with L10's second rule."""
-    t = temporal(spark, sf)
-    recent = t.agg(F.max("year")).first()[0]
-    future = tm.temporal_progression(t, tm.tract_trends(t), [recent + 1, recent + 2])
-    p = future.select("census_tract", "years_ahead", F.col("opportunity_score").alias("predicted_opportunity_score"))
+    p = _progression(spark, sf).select("census_tract", "years_ahead", F.col("opportunity_score").alias("predicted_opportunity_score"))
     p = p.withColumn("predicted_opportunity_level", tm.forecast_level(F.col("predicted_opportunity_score")))
     return finalize(fc.forecast_insights(fc.with_confidence(p)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tractlens.functions.stats import materialize_small
 from tractlens.operators import yoy
 from tractlens.oracle.views import (APPLICATIONS, FIRST_LAST, TRACT_YEAR, YOY_CHANGES,
                                     rounded, with_ctes)
@@ -20,13 +21,15 @@ EMERGING = {"lo": 5, "hi": 100, "min_rate": 20.0}
 
 
 def metrics(spark, sf):
-    return yoy.tract_year_metrics(applications(spark, sf))
+    """The tract-year table, written once for a query: it is far smaller than the applications, and
+    changes, ranks, trends and leaders all read it."""
+    return materialize_small(yoy.tract_year_metrics(applications(spark, sf)))
 
 
 @register("f3_tract_year_metrics", rounded(with_ctes(APPLICATIONS, TRACT_YEAR,
           body="SELECT * FROM tract_year"), TY_DOUBLES))
 def f3(spark, sf):
-    return finalize(metrics(spark, sf))
+    return finalize(yoy.tract_year_metrics(applications(spark, sf)))
 
 
 @register("h1_yoy_changes", rounded(with_ctes(APPLICATIONS, TRACT_YEAR, YOY_CHANGES,

@@ -77,6 +77,17 @@ def split_by_year(df: DataFrame, years: Sequence[int], col: str = "activity_year
     return df.filter(F.col(col).isin([int(y) for y in years]))
 
 
+def state_rows(df: DataFrame, state: str | int, col: str = "state_code") -> DataFrame:
+    """Rows of one state, by its number (leading zeros don't matter) or its letters; the filter
+    is on the bare column, so that it reaches the scan, where the column is text."""
+    c = F.col(col)
+    if isinstance(df.schema[col].dataType, T.StringType):
+        text = str(state)
+        forms = {text, text.lstrip("0"), text.zfill(2)} if text.isdigit() else {text}
+        return df.filter(c.isin(*sorted(forms)))
+    return df.filter(c == int(state))
+
+
 def first_existing(spark: SparkSession, candidates: Sequence[str]) -> str | None:
     """A4: first candidate path that exists."""
     for p in candidates:

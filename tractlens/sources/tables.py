@@ -31,10 +31,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a scan of fewer files than the session has cores out to all of them.  Larger
-    inputs, whose files give the parallelism already, are returned as they are."""
+    """Deals a scan out to all cores where its splits are fewer.  A scan that has as many splits as
+    cores, in however few files, is returned as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def tract_id(nationkey: Column, custkey: Column) -> Column:
