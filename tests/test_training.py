@@ -60,6 +60,8 @@ def test_halving_search_repeats_and_refits_the_winner(spark):
     train = labelled(spark, SF001).filter("is_test = 0")
     budget = tn.Budget(points=4, shares=(0.5, 1.0), eta=2, parallelism=2)
     grid = {"numTrees": [5, 10], "maxDepth": [2, 4, 6]}
+    alone = tn.halving_search(train, FEATURES, "random_forest", grid, "application_id", budget=tn.Budget(points=2, shares=(0.5, 1.0), eta=2))
+    assert [r for r, *_ in alone.trials] == [0, 0]  # nothing is left to tell apart
     runs = [tn.halving_search(df, FEATURES, "random_forest", grid, "application_id", budget=budget) for df in (train, train.repartition(5))]
     shape = [[(r, p, share) for r, p, _, share, _ in run.trials] for run in runs]
     assert shape[0] == shape[1] and [r for r, *_ in shape[0]] == [0] * 4 + [1] * 2 and runs[0].best == runs[1].best
