@@ -23,9 +23,9 @@ def brute(text):
 
 def as_regex(markup):
     out, last = "", 0
-    for m in re.finditer(r"<<(optional|end|var max=(\d+))>>", markup):
+    for m in re.finditer(r"<<(optional|end|var(?: max=(\d+))?)>>", markup):
         out += "".join(f"{w.decode()} " for w in words_of(markup[last : m.start()]))
-        out += "(?:" if m[1] == "optional" else ")?" if m[1] == "end" else rf"(?:\S+ ){{0,{m[2]}}}"
+        out += "(?:" if m[1] == "optional" else ")?" if m[1] == "end" else rf"(?:\S+ ){{0,{m[2] or ''}}}"
         last = m.end()
     return re.compile(r"(?<!\S)" + out + "".join(f"{w.decode()} " for w in words_of(markup[last:])))
 
@@ -49,7 +49,7 @@ def test_automata_equal_regexes():
         for _ in range(rng.randint(1, 5)):
             w = " ".join(rng.choice("abc") for _ in range(rng.randint(1, 2)))
             parts.append(rng.choice([w, w, f"<<optional>>{w} <<end>>", f"<<optional>>{w} <<optional>>c <<end>><<end>>",
-                                     f"<<var max={rng.randint(1, 3)}>>"]))
+                                     f"<<var max={rng.randint(1, 3)}>>", "<<var>>"]))
         markup = " ".join(["a", *parts])
         words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(0, 14))]
         a = compile_template("x", markup)
@@ -71,13 +71,25 @@ def test_examples(text, labels):
     assert license_scan.scan(text.encode(), PHRASES, license_scan.automata())[5] == labels
 
 
-def test_replaceable_copyright_and_missing_mandatory_word():
-    mit = next(m for label, m in TEMPLATES if label == "mit")
-    full = re.sub(r"<<optional>>|<<end>>", "", mit).replace("<<var max=30>>", "2024 Some One").replace(
-        "<<var max=8>>", "this software").replace("<<var max=20>>", "THE AUTHORS")
-    row = license_scan.scan(full.encode(), PHRASES, license_scan.automata())
-    assert row[5] == "mit" and row[6] > 0.95
-    assert license_scan.scan(full.replace("sublicense", "lend").encode(), PHRASES, license_scan.automata())[7] == []
+FULL = [(label, markup) for label, markup in TEMPLATES if len(words_of(markup)) > 80]
+
+
+@pytest.mark.parametrize("label, markup", FULL, ids=[label for label, _ in FULL])
+def test_whole_wording_with_replaced_regions(label, markup):
+    """Every mandatory word counts; replaceable regions take any number of words."""
+    full = re.sub(r"<<optional>>|<<end>>", "", markup)
+    full = re.sub(r"<<var max=\d+>>", "1", full).replace("<<var>>", "2024 " + "Some One and Others " * 40)
+    found = lambda text: license_scan.scan(text.encode(), PHRASES, license_scan.automata())
+    row = found("Read this first. " + full + " And go on.")
+    assert label in row[5].split(",") and row[6] > 0.95
+    words = full.split()
+    for k in range(len(words) // 3, len(words), 17):
+        if words[k].isalpha() and words[k] not in ("Some", "One", "and", "Others"):
+            assert label not in [m["label"] for m in found(" ".join([*words[:k], "otherwise", *words[k + 1 :]]))[7]], words[k]
+
+
+def test_every_full_licence_is_there():
+    assert {label for label, _ in FULL} == {"mit", "isc", "bsd-2-clause", "bsd-3-clause", "zlib", "unlicense"}
 
 
 def test_odd_documents(spark, odd_docs, no_docs):
