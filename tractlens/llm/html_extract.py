@@ -256,7 +256,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return d.transform(in_batches).mapInArrow(lambda it: _parse(it, starts, hashed), _PARSED)
 
     def in_order(rows: DataFrame) -> DataFrame:
-        return rows.repartition(parts, "part").sortWithinPartitions(*_ORDER).transform(in_batches)
+        return rows.repartitionById(parts, "part").sortWithinPartitions(*_ORDER).transform(in_batches)
 
     out = parsed(False)
     if starts:
