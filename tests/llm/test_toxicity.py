@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 from llm_fixtures import no_docs, odd_docs  # noqa: F401
@@ -30,6 +32,57 @@ def test_cells_equal_brute_force(monkeypatch):
     assert toxicity.cells("some longer text in pieces", p.sizes, p.bits).tolist() == brute_cells("some longer text in pieces", p)
 
 
+def plain_scores(docs, labels, p):
+    """Ratios, choice of features, fit and scores over dictionaries and one dense matrix."""
+    known = {}
+    for i, toxic in labels:
+        known[i] = max(toxic, known.get(i, 0))
+    found = {i: set(toxicity.cells(t, p.sizes, p.bits).tolist()) for i, t in docs}
+    rows = [(found[i], known[i]) for i, _ in docs if i in known and zlib.crc32(str(i).encode()) % 3 != 1]
+    df = [Counter(c for cells, y in rows if y == x for c in cells) for x in (0, 1)]
+    n = [sum(y == x for _, y in rows) for x in (0, 1)]
+    size = 1 << p.bits
+    total = [sum(d.values()) + p.alpha * size for d in df]
+    ratio = {c: math.log((df[1][c] + p.alpha) / total[1]) - math.log((df[0][c] + p.alpha) / total[0]) for c in df[0] | df[1]}
+
+    def statistic(c):
+        out = 0.0
+        for x in (0, 1):
+            both = df[0][c] + df[1][c]
+            for seen, of in ((df[x][c], both), (n[x] - df[x][c], sum(n) - both)):
+                out += seen * math.log(seen / (of * n[x] / sum(n))) if seen else 0.0
+        return out
+
+    speak = [c for c, r in ratio.items() if r > 0]
+    chosen = sorted(c for c in sorted(speak, key=lambda c: (-statistic(c), c))[: p.n_features] if df[0][c] + df[1][c] > 1)
+    x = np.array([[ratio[c] if c in cells else 0.0 for c in chosen] for cells, _ in rows])
+    y = np.array([label for _, label in rows], float)
+    weight = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
+    bound = 0.25 * ((x**2).sum(1).max() + 1) + p.l2 / len(y)
+    w, b, v, c0 = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen)), 0.0
+    for step in range(p.steps):
+        g = weight * (1 / (1 + np.exp(-np.clip(x @ v + c0, -40, 40))) - y)
+        nw, nb, m = v - (x.T @ g + p.l2 / len(y) * v) / bound, c0 - g.sum() / bound, step / (step + 3)
+        v, c0, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
+    z = x @ w
+    clean, toxic = np.quantile(z[y == 0], 0.999), np.quantile(z[y == 1], 0.02)
+    start = math.log(p.decide_at / (1 - p.decide_at)) - (clean + max(clean, toxic)) / 2
+    at = {c: wc * ratio[c] for c, wc in zip(chosen, w)}
+    return {i: 1 / (1 + math.exp(-min(40, max(-40, start + sum(at.get(c, 0.0) for c in cells))))) for i, cells in found.items()}
+
+
+def test_query_equals_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"]) for r in queries.read_table(spark, sf, "documents").collect()]
+    labels = [(r["doc_id"], r["toxic"]) for r in queries.read_table(spark, sf, "labels").collect()]
+    want = plain_scores(docs, labels, toxicity.Params())
+    got = queries.op4_toxicity(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-4, abs_tol=1e-6)
+        assert r["predicted"] == int(r["score"] >= 0.7)
+
+
 def test_held_out_accuracy(spark):
     rows = queries.op4_toxicity(spark, SF).join(
         queries.read_table(spark, SF, "labels"), "doc_id").filter("held_out").select("toxic", "predicted", "score").collect()

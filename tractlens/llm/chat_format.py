@@ -20,7 +20,8 @@ becomes ``<|nl|>`` after that.
 Edge cases: null text is empty; null roles are empty; a null conversation id is
 a conversation of its own; null seq sorts first; events of equal seq are folded
 in the order kind, role, text; a message without live events is absent;
-a conversation without messages gives no row; an empty log gives an empty table.
+a conversation without messages gives no row; texts of any length are kept whole; an empty log gives
+an empty table.  Only the event columns are read, so columns with clashing names do no harm.
 """
 
 from __future__ import annotations

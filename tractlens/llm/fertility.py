@@ -30,7 +30,8 @@ Base rules: fewer than ``min_words`` words, or more than half of the words insid
 Edge cases: null and empty texts have no words, all measures 0, and fail the base;
 a null language is the language ``und``; a language whose texts all fail the base
 has no bands and rejects nothing more; repeated ids give one row each; a text of any
-length is measured whole; an empty table gives an empty table.
+length is measured whole; an empty table gives an empty table.  Only id, text and language are
+read, and ``keep_rows`` carries the row in one struct, so columns with clashing names do no harm.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ the best of them.
 
 Edge cases: null and empty texts have no words and no findings (empty strings,
 null positions, score 0); repeated ids give one row each; texts of any length are
-scanned whole, one at a time; an empty table gives an empty table.
+scanned whole, one at a time; an empty table gives an empty table.  Only id and text are read,
+so columns with clashing names do no harm.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ once per worker; any other text is one unit.  The ids equal those of the whole t
 
 Edge cases: null text is empty (the end id alone); null ids sort first; equal ids
 keep one row each, ordered by text; special-token strings in texts are ordinary
-text; an empty table writes no rows and reads back as an empty table.
+text; texts of any length are encoded whole; an empty table writes no rows and reads back as an
+empty table.  Only id and text are read, so columns with clashing names do no harm.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ Edge cases: null and empty texts score as texts without features; rows with a nu
 id or label are never trained on; an id labelled several times counts with its
 largest label; with one label only, every score is the smoothed share; repeated ids
 give one row each; texts of any length are scored whole; an empty table gives an empty
-table.
+table.  Only the named columns are read, and ``keep_rows`` carries the row in one struct, so
+columns with clashing names do no harm.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ while they are few, and rows are joined by ``(host, path)``.
 Edge cases: null urls and urls without ``://`` have an empty host and path (one
 node of their own); labels of unknown urls are ignored; an id labelled several
 times counts as bad if any label says so; without labels nothing is blocked by the
-tree; repeated ids give one row each; an empty table gives an empty table.
+tree; repeated ids give one row each; an empty table gives an empty table.  Only id and url are
+read, so columns with clashing names do no harm.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ exact for every text.  Ties go to the longer last piece.
 
 Edge cases: null and empty texts have no pieces and decode to the empty text; repeated
 ids give one row each; a text of any length is encoded whole; an empty table gives an
-empty table.
+empty table.  Only id and text are read, so columns with clashing names do no harm.
 """
 
 from __future__ import annotations
