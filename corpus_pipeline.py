@@ -3,6 +3,11 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it
 kept.  All but the last return the columns of ``docs``; the last returns one row per
 document with its piece ids' and decoded text's digests.
+
+Edge cases, by the stages' operators: null and empty texts fail the quality rules and go; a null
+language is one of its own; rows without an id are never learned from and are nobody's copy;
+of repeated rows and near copies the smallest id stays; texts of any length pass whole; an empty
+table passes as an empty table; columns of any name are carried along untouched.
 """
 
 from __future__ import annotations
