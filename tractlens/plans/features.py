@@ -7,7 +7,7 @@ from tractlens.oracle.sqlfn import bands_sql, clip_sql, map_sql, nan_mean_sql
 from tractlens.oracle.views import APPLICATIONS, rounded, with_ctes
 from tractlens.plans.opportunity import SCORED_CTES, scored
 from tractlens.plans.registry import finalize, register
-from tractlens.plans.validation import MODEL_INPUT_SQL, model_input
+from tractlens.plans.validation import DTI_SQL, MODEL_INPUT_SQL, model_input
 from tractlens.sources.tables import applications, applications_wide
 
 FIN_COLS = ["application_id", "loan_to_income_ratio", "income_adequacy", "monthly_payment", "monthly_income",
@@ -158,12 +158,6 @@ def d14_spread(spark, sf):
     return finalize(fe.loan_product_features(applications_wide(spark, sf).select("application_id", "rate_spread")))
 
 
-@register("d16_prepare_for_modeling")
-def d16(spark, sf):
-    out, names = fe.prepare_for_modeling(fe.prediction_features(applications_wide(spark, sf)))
-    return finalize(out.select("application_id", *names))
-
-
 _LPS_DOUBLES = ["income", "loan_amount", "property_value", "debt_to_income_ratio", "loan_to_value_ratio",
                 "loan_to_income_ratio", "property_to_income_ratio", "risk_score"]
 
@@ -245,10 +239,51 @@ def b20(spark, sf):
     return finalize(fe.impute_for_model(model_input(spark, sf)))
 
 
-
-@register("d17_prediction_features")
+def _prediction_sql(source: str, age: str, race: str) -> str:
+    """D17 row by row: parsed ratios, derived ratios, bands, stepwise proxy, risk, payment, fixed codes."""
+    def steps(c: str) -> str:
+        return "(CASE " + " ".join(f"WHEN {c} > {lim} THEN {cut}" for lim, cut in fe.PRED_STEPS[c]) + " ELSE 0 END)"
+
+    def band(x: str, c: str) -> str:
+        return f"coalesce({bands_sql(x, fe.PRED_CATEGORIES[c], True)}, 'nan') AS {c}"
+
+    codes = {c: {lab: i for i, lab in enumerate(sorted(labels))} for c, (_, labels) in fe.PRED_CATEGORIES.items()}
+    encoded = [f"(CASE " + " ".join(f"WHEN {c} = '{k}' THEN {i}" for k, i in m.items()) + f" ELSE {len(m) // 2} END) AS {c}_encoded" for c, m in codes.items()]
+    number = lambda x: f"CASE WHEN {x} IS NULL OR isnan(CAST({x} AS DOUBLE)) OR isinf(CAST({x} AS DOUBLE)) THEN 0.0 ELSE CAST({x} AS DOUBLE) END"
+    risk = " + ".join(f"{clip_sql(f'{c} * {k}', 0, 100)} * {w}" for c, k, w in (
+        ("debt_to_income_ratio", 2, 0.4), ("loan_to_value_calculated", 1.2, 0.35), ("loan_to_income_ratio", 20, 0.25)))
+    return rounded(with_ctes(APPLICATIONS, _WIDE_SQL, f"""
+p0 AS (SELECT application_id, {DTI_SQL} AS debt_to_income_ratio, TRY_CAST(replace(trim(loan_to_value_ratio), '%', '') AS DOUBLE) AS loan_to_value_ratio,
+       property_value, loan_amount, income, interest_rate, CAST(loan_term AS DOUBLE) AS loan_term, income * 1000 AS actual_income,
+       CAST({age} AS DOUBLE) AS age, CAST({race} AS DOUBLE) AS applicant_race_encoded, CAST(applicant_sex AS DOUBLE) AS applicant_sex_encoded,
+       interest_rate / 100 / 12 AS r FROM {source}),
+p1 AS (SELECT *, coalesce(CASE WHEN income > 0 AND loan_amount > 0 THEN loan_amount / actual_income END, 0.0) AS loan_to_income_ratio,
+       coalesce(CASE WHEN property_value > 0 AND loan_amount > 0 THEN loan_amount / property_value * 100 END, 80.0) AS loan_to_value_calculated,
+       pow(1 + r, loan_term) AS g FROM p0),
+p2 AS (SELECT *, 100.0 - loan_to_value_calculated AS down_payment_ratio, {band("debt_to_income_ratio", "dti_risk_category")},
+       {band("loan_to_value_calculated", "ltv_risk_category")}, {band("loan_amount", "loan_size_category")}, {band("actual_income", "income_category")},
+       {clip_sql("(850.0 - " + " - ".join(map(steps, fe.PRED_STEPS)) + ")", 300, 850)} AS credit_score_proxy,
+       {clip_sql(f"({risk})", 0, 100)} AS financial_risk_score,
+       loan_amount * (CASE WHEN g - 1 = 0 THEN NULL ELSE r * g / (g - 1) END) AS monthly_payment,
+       CAST({bands_sql("age", fe.PRED_AGE, True)} AS DOUBLE) AS age_category FROM p1),
+p3 AS (SELECT *, {band("credit_score_proxy", "credit_score_category")}, {band("financial_risk_score", "financial_risk_category")},
+       (CASE WHEN actual_income / 12 = 0 THEN NULL ELSE monthly_payment / (actual_income / 12) END) * 100 AS payment_to_income_ratio FROM p2),
+p4 AS (SELECT *, {", ".join(encoded)} FROM p3)""", body="SELECT application_id, " + ", ".join(
+        f"{number(c)} AS {c}" for c in _PRED_NAMES) + " FROM p4"), _PRED_NAMES)
+
+
+_PRED_NAMES = [*fe.PRED_FEATURES, *[f"{c}_encoded" for c in fe.PRED_CATEGORIES]]
+
+
+@register("d17_prediction_features", _prediction_sql("wide", str(fe.PRED_DEFAULTS["applicant_age"]), str(fe.PRED_DEFAULTS["applicant_race-1"])))
 def d17(spark, sf):
     a = applications(spark, sf).select("application_id", "income", "loan_amount", "property_value",
                                        "debt_to_income_ratio", "loan_to_value_ratio", "interest_rate", "loan_term",
                                        "applicant_sex")
-    return fe.prediction_features(a)
+    return finalize(fe.prediction_features(a))
+
+
+@register("d16_prepare_for_modeling", _prediction_sql("wide", "applicant_age", '"applicant_race-1"'))
+def d16(spark, sf):
+    out, names = fe.prepare_for_modeling(fe.prediction_features(applications_wide(spark, sf)))
+    return finalize(out.select("application_id", *names))

@@ -112,8 +112,8 @@ def l12(spark, sf):
 
 @register("l13_random_search")
 def l13_search(spark, sf):
-    _, found = _fit(spark, sf, ("random_forest",))
-    return found["random_forest"].table(spark, "random_forest")
+    _, found = _fit(spark, sf, ("gbt",))
+    return found["gbt"].table(spark, "gbt")
 
 
 @register("l16_batch_scoring")

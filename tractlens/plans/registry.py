@@ -61,5 +61,5 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     # Importing the plan modules fills the registry.
     from tractlens.plans import (  # noqa: F401
-        dashboard, denial, features, models, opportunity, preprocess, segment, sources, temporal, validation, yoy,
+        dashboard, denial, features, forecasts, models, opportunity, preprocess, segment, sources, temporal, validation, yoy,
     )

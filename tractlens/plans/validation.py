@@ -74,12 +74,36 @@ def b8_census(spark, sf):
     return finalize(v.clean_dataframe(census(spark, sf), "census"))
 
 
-@register("b13_validation_summary")
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@register("b13_validation_summary", with_ctes(APPLICATIONS, PARSED_SQL, CENSUS, f"""
+reports AS (SELECT * FROM ({report_sql("parsed", APPLICATION_COLUMNS, "hmda", False)}) UNION ALL
+            SELECT * FROM ({report_sql("parsed", APPLICATION_COLUMNS, "hmda", True)}) UNION ALL
+            SELECT * FROM ({report_sql("census", CENSUS_COLUMNS, "census", False)}))""", """
+summ AS (SELECT regexp_extract(message, 'status=(\\w+)', 1) AS status, count AS n,
+                CAST(regexp_extract(message, 'values_sanitized=(\\d+)', 1) AS BIGINT) AS s FROM reports WHERE "check" = 'summary')""", """
+tot AS (SELECT count(*) AS total_datasets, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'warnings') AS with_warnings,
+               count(*) FILTER (status = 'errors') AS with_errors, CAST(sum(n) AS BIGINT) AS total_rows_processed, CAST(sum(s) AS BIGINT) AS total_values_sanitized
+        FROM summ)""", """
+flags AS (SELECT count(*) FILTER (severity = 'error' AND contains(lower(message), 'income') AND contains(lower(message), 'missing')) AS inc,
+                 count(*) FILTER (severity = 'warning' AND contains(lower(message), 'ratio')) AS ratio FROM reports WHERE "check" <> 'summary')""", """
+common AS (SELECT coalesce(string_agg(issue || '=' || n, '; ' ORDER BY issue), '') AS common_issues FROM (
+  SELECT split_part(message, ':', 1) AS issue, count(*) AS n FROM reports WHERE "check" <> 'summary' AND severity = 'error' GROUP BY 1))""", body=f"""
+SELECT tot.*, common_issues, CASE WHEN len(recs) = 0 THEN {_text(v.REC_OK)} ELSE array_to_string(recs, ' | ') END AS recommendations
+FROM (SELECT list_filter([CASE WHEN with_errors > 0 THEN {_text(v.REC_ERRORS)} END,
+                          CASE WHEN total_values_sanitized > total_rows_processed * 0.1 THEN {_text(v.REC_SANITIZE)} END,
+                          CASE WHEN inc > 0 THEN {_text(v.REC_INCOME)} END, CASE WHEN ratio > 0 THEN {_text(v.REC_RATIO)} END], lambda x: x IS NOT NULL) AS recs
+      FROM tot, flags), tot, common"""))
 def b13(spark, sf):
     a = applications(spark, sf)
     reports = (v.validation_report(a, "hmda").unionByName(v.validation_report(a, "hmda", strict=True))
                .unionByName(v.validation_report(census(spark, sf), "census")))
-    return v.validation_summary(reports)
+    issue = lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))
+    return v.validation_summary(reports).withColumns({
+        "common_issues": F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries("common_issues")), issue), "; "), F.lit("")),
+        "recommendations": F.array_join("recommendations", " | ")})
 
 
 @register("b11_validate_applications")
