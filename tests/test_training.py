@@ -64,7 +64,8 @@ def test_halving_search_repeats_and_refits_the_winner(spark):
     assert [r for r, *_ in alone.trials] == [0, 0]  # nothing is left to tell apart
     runs = [tn.halving_search(df, FEATURES, "random_forest", grid, "application_id", budget=budget) for df in (train, train.repartition(5))]
     shape = [[(r, p, share) for r, p, _, share, _ in run.trials] for run in runs]
-    assert shape[0] == shape[1] and [r for r, *_ in shape[0]] == [0] * 4 + [1] * 2 and runs[0].best == runs[1].best
+    # Points, rungs and their rows repeat; a forest's bootstrap depends on the order of rows, and so may the survivors.
+    assert shape[0][:4] == shape[1][:4] and all([r for r, *_ in x] == [0] * 4 + [1] * 2 for x in shape)
     second = [t for t in runs[0].trials if t[0] == 1]
     assert runs[0].best == max(second, key=lambda t: (t[4], -t[1]))[2]
     assert runs[0].model.stages[-1].getNumTrees == runs[0].best["numTrees"]
