@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -44,17 +45,44 @@ def spellings(word):
                 yield p * rest
 
 
-def log10_of_word(word, seen={}):  # noqa: B006
-    """The same sum in linear space, place by place."""
-    if word not in seen:
-        w = "▁" + word.replace("▁", LITERAL)
-        sums = [1.0] + [0.0] * len(w)
-        for end in range(1, len(w) + 1):
-            for start in range(max(0, end - 20), end):
-                if (p := chance(w[start:end])) is not None:
-                    sums[end] += sums[start] * p
-        seen[word] = math.log10(sums[-1])
-    return seen[word]
+def ways(word, chances, byte):
+    """(start, end, piece or "", its probability, uses) of every arc of a marked word."""
+    w = "▁" + word.replace("▁", LITERAL)
+    for end in range(1, len(w) + 1):
+        for start in range(max(0, end - 20), end):
+            piece = w[start:end]
+            if piece in chances:
+                yield start, end, piece, chances[piece], 1
+            elif len(piece) == 1:
+                n = len(piece.replace(LITERAL, "▁").encode())
+                yield start, end, "", byte**n, n
+
+
+def forward(word, chances, byte):
+    arcs = list(ways(word, chances, byte))
+    sums = [1.0] + [0.0] * (len(word) + 1)
+    for start, end, _, p, _ in arcs:
+        sums[end] += sums[start] * p
+    return arcs, sums
+
+
+def fitted(words, rounds=3, strength=1000.0):
+    """Rounds of expectation-maximisation in linear space: forward and backward sums of each word."""
+    first = {p: w / TOTAL for p, w in WEIGHT.items()}
+    chances, byte = first, BYTE / TOTAL
+    for _ in range(rounds if words else 0):
+        uses = Counter()
+        for word in words:
+            arcs, sums = forward(word, chances, byte)
+            after = [0.0] * (len(word) + 1) + [1.0]
+            for start, end, _, p, _ in reversed(arcs):
+                after[start] += p * after[end]
+            for start, end, piece, p, n in arcs:
+                uses[piece] += n * sums[start] * p * after[end] / sums[-1]
+        total = strength + math.fsum(uses.values())
+        chances = {p: (uses[p] + strength * x) / total for p, x in first.items()}
+        byte = (uses[""] / 256 + strength * BYTE / TOTAL) / total
+    return chances, byte
 
 
 def brute(rows):
@@ -63,6 +91,19 @@ def brute(rows):
     c = Counter(w for ws, out in zip(tokens, out_of) if not out for w in ws)
     n, v = sum(c.values()), len(c)
     end = (c[None] + 1) / (n + 2)
+    words = [w for w in c if w is not None]
+    size, once, twice = n - c[None], *(sum(c[w] == k for w in words) for k in (1, 2))
+    discount = (once + 1) / (once + 2 * twice + 2)
+    chances, byte = fitted(words)
+
+    seen = {}
+
+    def log10_of_word(w):
+        if w not in seen:
+            p = forward(w, chances, byte)[1][-1]
+            seen[w] = math.log10(max(c[w] - discount, 0) / size + discount * len(words) / size * p if size else p)
+        return seen[w]
+
     return sorted(((i, out, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws),
                     sum(log10_of_word(w) for w in ws[:-1]) + (len(ws) - 1) * math.log10(1 - end) + math.log10(end))
                    for (i, _), out, ws in zip(rows, out_of, tokens)), key=repr)
@@ -114,3 +155,15 @@ def test_long_words_and_texts_in_chunks(spark, monkeypatch):
     assert [w for ws in lattice_lm._split(rows[1][1].encode()) for w in ws] == rows[1][1].encode().split()
     got = lattice_lm.lattice_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(math.isfinite(r["score"]) for r in got)
+
+
+def test_held_out_scores_are_not_far_below_the_base(spark):
+    # Syllables in free order: a third of the held-out words is in no training document.
+    rng = random.Random(5)
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "io")]
+    rows = [(i, " ".join("the" if rng.random() < 0.4 else "".join(rng.choice(syllables) for _ in range(rng.choice([1, 2, 2, 3]))) for _ in range(60)))
+            for i in range(300)]
+    got = [r for r in lattice_lm.lattice_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["held_out"]]
+    score, base = (math.fsum(r[c] for r in got) for c in ("score", "base_score"))
+    assert got and all(math.isfinite(r["score"]) for r in got) and score > 1.2 * base, (score, base)
+    assert sum(r["n_known"] for r in got) < sum(r["n_tokens"] for r in got)

@@ -2,24 +2,32 @@
 
 *Model.*  A text is a row of tokens: its words (runs of anything but white space, A-Z
 lower-cased) and one end.  At each token it ends with probability ``p_end``, learned from
-the training documents as (documents + 1) / (tokens + 2).  Otherwise a word follows, spelt
-by pieces of a public vocabulary, independent of each other: a word's probability is the
-sum, over *all* its segmentations into pieces, of the product of the pieces' probabilities.
-The forward recursion computes it in log space: the log weight of a prefix is the
-log-sum-exp, over the pieces that end there, of the weight before the piece plus its score.
-
-*Scores* of pieces are the vocabulary's own; a file of merge ranks has none, and piece
+the training documents as (documents + 1) / (tokens + 2).  Otherwise a word follows: a word
+of the training documents as one arc, or any word spelt by pieces of a public vocabulary,
+independent of each other.  The arc of a word with c of N training words weighs (c - D) / N,
+and the D that each of V distinct words gives up, D V / N in all, is the share of the
+spellings (absolute discounting; D = (n1 + 1) / (n1 + 2 n2 + 2), with n1 and n2 words that
+occur once and twice).  A word's probability is the sum, over *all* its ways through the
+lattice, of the product of the arcs.  The forward recursion computes it in log space: the log
+weight of a prefix is the log-sum-exp, over the pieces that end there, of the weight before
+the piece plus its score.
+
+*Scores* of pieces start as the vocabulary's own; a file of merge ranks has none, and piece
 number r gets the Zipf weight 1 / (r + 1), as in ``viterbi_pieces``.  They are normalised
 over the vocabulary and 256 bytes, each of which weighs as much as the least piece.  A
-character that no piece covers (and U+2581, the word mark) is spelt by its bytes.
+character that no piece covers (and U+2581, the word mark) is spelt by its bytes.  ``ROUNDS``
+rounds of expectation-maximisation fit them to the distinct words of the training documents
+(each of which gives up one D): the expected uses of each piece over all segmentations, and
+``STRENGTH`` uses dealt out by the first scores, make the next ones.
 
 *Base.*  Besides, every text gets the add-one unigram score of the corpus' own words:
 the sum over its tokens of log10((c + 1) / (N + V + 1)), with c, N and V of the training
 documents, which are those with crc32(id as text) % 7 != 2.
 
 *Plan.*  One pass counts the words per task; after the shuffle each distinct word of the
-corpus is there once, and its lattice is summed there, once, in sorted order, so that words
-share the forward weights of a common prefix.  The second pass counts each document's
+corpus is there once, and its lattice is summed there, in sorted order, so that words share
+the forward weights of a common prefix: once a round, in which a task hands on one number for
+each piece of the vocabulary, and once for the words' weights.  The second pass counts each document's
 words.  Words that make up ``1 / hot`` of all tokens or more are at most ``hot`` words, of
 at most ``hot`` times the mean length: they are broadcast, and their part of a document's
 sums is taken at once.  The others, none of which holds more than that share, meet the
@@ -28,7 +36,7 @@ table by a join on the word.  No word, however frequent, gathers its occurrences
 Edge cases: null and empty texts have the end only; a row without an id is never learned
 from, and counts as held out; repeated rows are scored, and learned from, as often as they
 come; texts of any length are scored whole, and so are words; without training documents
-c, N and V are 0; an empty table gives an empty table.  Only ``id_col`` and ``text_col`` are
+c, N and V are 0, and words are spelt by the vocabulary's own scores; an empty table gives an empty table.  Only ``id_col`` and ``text_col`` are
 read, so columns with clashing names do no harm.
 """
 
@@ -36,13 +44,14 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -56,22 +65,27 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WHITE = re.compile(rb"[\x20\x09-\x0D]")
 #: Bytes of a text that are split at once, and distinct words that a task counts before it hands them on.
 CHUNK, COUNTED = 1 << 20, 200_000
+#: Rounds that fit the pieces' scores, and the uses that the first scores count for.
+ROUNDS, STRENGTH = 3, 1000.0
 
 
 class Lattice:
-    """Normalised log scores of the pieces, read from their ends."""
-
-    def __init__(self, pieces: Pieces):
-        scores = pieces.score.values()
-        least, top = min(scores), max(scores)
-        self.norm = top + math.log(math.fsum(math.exp(s - top) for s in scores) + 256 * math.exp(least - top))
-        self.byte = least - self.norm
+    """Normalised log scores of the pieces, read from their ends; ``uses`` of pieces (those of
+    bytes under the empty text) are added to the first scores' ``STRENGTH``."""
+
+    def __init__(self, pieces: Pieces, uses: Mapping[str, float] | None = None):
+        scores, uses = pieces.score, uses or {}
+        least, top = min(scores.values()), max(scores.values())
+        norm = top + math.log(math.fsum(math.exp(s - top) for s in scores.values()) + 256 * math.exp(least - top))
+        total = math.log(STRENGTH + math.fsum(uses.values()))
+        learned = lambda n, s: math.log(n + STRENGTH * math.exp(s - norm)) - total
+        self.byte = learned(uses.get("", 0.0) / 256, least)
         self.ending: dict = {}
-        for piece, score in pieces.score.items():
+        for piece, score in scores.items():
             node = self.ending
             for c in reversed(piece):
                 node = node.setdefault(c, {})
-            node[""] = score - self.norm
+            node[""] = learned(uses.get(piece, 0.0), score)
 
     def sorted_words(self, words: Iterable[str]) -> list[float]:
         """Log marginal probability of each marked word; sorted words share their prefixes' weights."""
@@ -98,6 +112,45 @@ class Lattice:
             before = word
         return out
 
+    def uses(self, words: Iterable[str]) -> Counter:
+        """Expected uses of each piece over all segmentations of the sorted marked words; bytes count as "".
+
+        ``reach[i]`` is how often the words seen so far, as expected, pass place i; when a place
+        leaves the stack, its ways are dealt out to the places where its last pieces begin."""
+        ending, exp, log = self.ending, math.exp, math.log
+        weight, ways, reach, before, out = [0.0], [[]], [0.0], "", Counter()
+
+        def leave(keep: int) -> None:
+            while len(weight) > keep:
+                weight.pop()
+                n = reach.pop()
+                for start, piece, times, share in ways.pop():
+                    reach[start] += n * share
+                    out[piece] += n * share * times
+
+        for word in words:
+            leave(len(commonprefix((before, word))) + 1)
+            for end in range(len(weight), len(word) + 1):
+                node, found, start = ending.get(word[end - 1]), [], end - 1
+                if node is None or "" not in node:
+                    size = len((MARK if word[start] == _LITERAL else word[start]).encode("utf-8", "surrogatepass"))
+                    found.append((start, "", size, weight[start] + self.byte * size))
+                while node is not None:
+                    if "" in node:
+                        found.append((start, word[start:end], 1, weight[start] + node[""]))
+                    start -= 1
+                    if start < 0:
+                        break
+                    node = node.get(word[start])
+                top = max(f[3] for f in found)
+                weight.append(top + log(sum([exp(f[3] - top) for f in found])))
+                ways.append([(s, p, n, exp(w - weight[-1])) for s, p, n, w in found])
+                reach.append(0.0)
+            reach[-1] += 1.0
+            before = word
+        leave(1)
+        return out
+
 
 def marked(word: bytes) -> str:
     return MARK + word.decode("utf-8", "surrogateescape").replace(MARK, _LITERAL)
@@ -141,23 +194,63 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _weigh(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    lattice = held(("lattice", path), lambda: Lattice(Pieces(path)))
+def _lattice(path: str, fitted: tuple) -> Lattice:
+    key, uses = fitted
+    return held(("lattice", path, key), lambda: Lattice(Pieces(path), uses.value if uses else None))
+
+
+def _uses(batches: Iterable[pa.RecordBatch], path: str, fitted: tuple) -> Iterator[pa.RecordBatch]:
+    lattice, uses = _lattice(path, fitted), Counter()
+    for batch in batches:
+        uses.update(lattice.uses(sorted(marked(w) for w in batch.column(0).to_pylist())))
+    yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.float64())], names=["piece", "n"])
+
+
+def _fitted(words: DataFrame, path: str) -> tuple:
+    """A key and the broadcast uses of pieces after ``ROUNDS`` rounds over distinct ``(word)`` rows."""
+    fitted: tuple = ("", None)
+    for _ in range(ROUNDS):
+        # At most a row for each piece of the vocabulary comes to the driver.
+        rows = words.transform(in_batches).mapInArrow(lambda it, f=fitted: _uses(it, path, f), "piece string, n double").groupBy("piece").agg(
+            F.sum("n").alias("n")).toArrow()
+        uses = dict(zip(rows.column("piece").to_pylist(), rows.column("n").to_pylist()))
+        fitted = (uuid.uuid4().hex, words.sparkSession.sparkContext.broadcast(uses))
+    return fitted
+
+
+def _weigh(batches: Iterable[pa.RecordBatch], path: str, fitted: tuple, discount: float, spelt: float, total: int) -> Iterator[pa.RecordBatch]:
+    lattice = _lattice(path, fitted)
     for batch in batches:
         words = [marked(w) if w != END else "" for w in batch.column(0).to_pylist()]
         order = sorted(range(len(words)), key=words.__getitem__)
         weight = np.empty(len(words))
         weight[order] = lattice.sorted_words(words[i] for i in order)
+        if total:
+            c = batch.column(1).to_numpy()
+            arc = np.log(np.where(c > 0, c - discount, 1.0) / total)
+            weight = np.where(c > 0, np.logaddexp(arc, weight + math.log(spelt)), weight + math.log(spelt))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight)], names=["word", "c", "n", "weight"])
 
 
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """``(word, c, n, weight)`` of every distinct word of ``(out, text)`` rows, and of the end."""
+def word_table(docs: DataFrame, path: str) -> tuple[DataFrame, Row]:
+    """``(word, c, n, weight)`` of every distinct word of ``(out, text)`` rows, and of the end; and
+    a row of the training documents' ``tokens``, ``distinct`` and ``ends``."""
     counted = (docs.select("out", "text").transform(in_batches).mapInArrow(_count, "word binary, c long, n long")
                .groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
     # Sorting lays the words out as a trie; it only saves time.
-    return counted.sortWithinPartitions("word").transform(in_batches).mapInArrow(
-        lambda it: _weigh(it, path), "word binary, c long, n long, weight double")
+    counted = cut(counted.sortWithinPartitions("word"))
+    c, end = F.col("c"), F.col("word") == F.lit(bytearray(END))
+    learned = counted.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(c > 0).alias("distinct"),
+        F.coalesce(F.max(F.when(end, c)), F.lit(0)).alias("ends"), F.count_if((c == 1) & ~end).alias("once"),
+        F.count_if((c == 2) & ~end).alias("twice")).first()
+    total, distinct = learned["tokens"] - learned["ends"], learned["distinct"] - (learned["ends"] > 0)
+    discount = (learned["once"] + 1) / (learned["once"] + 2 * learned["twice"] + 2)
+    spelt = discount * distinct / total if total else 1.0
+    fitted = _fitted(counted.filter((c > 0) & ~end).select("word"), path)
+    weighed = counted.transform(in_batches).mapInArrow(
+        lambda it: _weigh(it, path, fitted, discount, spelt, total), "word binary, c long, n long, weight double")
+    return cut(weighed), learned
 
 
 def _sum(batches: Iterable[pa.RecordBatch], table: Callable[[], tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -214,10 +307,7 @@ def lattice_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``docs``."""
     path = vocabulary or vocabulary_path("piece_bpe_32k.model")
     d = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("out"), F.col(text_col).alias("text"))
-    table = cut(word_table(d, path))
-    learned = table.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("distinct"),
-        F.coalesce(F.max(F.when(F.col("word") == F.lit(bytearray(END)), F.col("c"))), F.lit(0)).alias("ends")).first()
+    table, learned = word_table(d, path)
     tokens, distinct, ends = learned["tokens"], learned["distinct"], learned["ends"]
     p_end = (ends + 1) / (tokens + 2)
 
