@@ -131,11 +131,14 @@ def financial_features(df: DataFrame, winsorize_numeric: bool = True,
 def winsorize_columns(df: DataFrame, columns: Sequence[str], lo: float = 0.001, hi: float = 0.999) -> DataFrame:
     """B21 for many columns with one quantile pass.  inf -> null first; each
     column clipped to its own exact linear quantiles (columns without values untouched).
+
+    The frame is written to the checkpoint folder once: the quantiles' two passes, encoders fitted
+    after it and the final write read it there, and none computes its long plan again.
     """
     if not columns:
         return df
-    cleaned = df.withColumns({c: F.when(F.abs(F.col(c).cast("double")) == INF, null_d())
-                                    .otherwise(F.col(c).cast("double")) for c in columns})
+    cleaned = materialize_small(df.withColumns({c: F.when(F.abs(F.col(c).cast("double")) == INF, null_d())
+                                                    .otherwise(F.col(c).cast("double")) for c in columns}))
     q = quantile_row(cleaned, {c: F.col(c) for c in columns}, [lo, hi])
     bounds = q.select(*[F.col(f"{c}__q0").alias(f"_lo_{c}") for c in columns],
                       *[F.col(f"{c}__q1").alias(f"_hi_{c}") for c in columns])
