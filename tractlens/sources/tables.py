@@ -46,6 +46,18 @@ def county_id(nationkey: Column) -> Column:
     return F.concat(F.lit("20"), F.lpad(nationkey.cast("string"), 3, "0"))
 
 
+#: Bytecodes from which the JVM only interprets a method.
+COMPILED_BYTES = "8000"
+
+
+def compiled_stages(spark: SparkSession) -> None:
+    """Stages of long expressions whose one generated method the JVM would only interpret (ten times
+    slower and more) run as separate operators instead, where the session has Spark's default."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key) == "65535":
+        spark.conf.set(key, COMPILED_BYTES)
+
+
 def _mod(c: Column, m: int) -> Column:
     return c % F.lit(m)
 
@@ -56,6 +68,7 @@ def applications(spark: SparkSession, sf_dir: str, deal_out: bool = False) -> Da
     ``deal_out`` spreads a scan of few files; row-level jobs and exact quantiles use it.
     Sums of doubles don't: their last bit depends on the order of rows.
     """
+    compiled_stages(spark)
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     if deal_out:
