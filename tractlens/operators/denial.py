@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractlens.functions.frames import training_frame
+from tractlens.functions.stats import materialize_small
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference.
@@ -78,8 +79,11 @@ def reason_metrics(pred: DataFrame, code: str = "code", truth: str = "truth", pr
     reason has at most a million), of which ties count half."""
     y, p = F.col(truth), F.col(predicted)
     both = lambda a, b: F.count_if((y == a) & (p == b))
-    counts = pred.groupBy(code).agg(both(1, 1).alias("tp"), both(0, 1).alias("fp"), both(1, 0).alias("fn"), both(0, 0).alias("tn"))
-    steps = pred.groupBy(code, F.floor(F.col(score) * float(10**SCORE_DIGITS) + 0.5).alias("_s")).agg(F.count_if(y == 1).alias("_p"), F.count_if(y == 0).alias("_n"))
+    # One pass over the rows, which may score many models; the rest reads the steps' counts.
+    steps = materialize_small(pred.groupBy(code, F.floor(F.col(score) * float(10**SCORE_DIGITS) + 0.5).alias("_s")).agg(
+        F.count_if(y == 1).alias("_p"), F.count_if(y == 0).alias("_n"), both(1, 1).alias("tp"), both(0, 1).alias("fp"),
+        both(1, 0).alias("fn"), both(0, 0).alias("tn")))
+    counts = steps.groupBy(code).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
     below = F.sum("_n").over(Window.partitionBy(code).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
     pairs = steps.withColumn("_below", F.coalesce(below, F.lit(0))).groupBy(F.col(code).alias("_c")).agg(
         F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)).alias("_u"), (F.sum("_p") * F.sum("_n")).alias("_all"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tractlens.functions.stats import materialize_small
 from tractlens.operators import denial as dn
 from tractlens.operators import ml
 from tractlens.oracle.views import APPLICATIONS, rounded, with_ctes
@@ -122,7 +123,7 @@ def l14_class_metrics(spark, sf):
 # L14 models ----------------------------------------------------------------------------
 def _modelled(spark, sf):
     """Denied rows with their features, split within each primary reason."""
-    d = _denied(spark, sf).join(model_input(spark, sf), "application_id")
+    d = materialize_small(_denied(spark, sf).join(model_input(spark, sf), "application_id"))
     return ml.stratified_split(d, "application_id", "denial_reason_1")
 
 
