@@ -154,7 +154,7 @@ def _denied(spark, sf):
 @register("l14_denial_reason_models")
 def l14(spark, sf):
     feats = model_input(spark, sf)
-    denied = _denied(spark, sf).join(feats, "application_id")
+    denied = materialize_small(_denied(spark, sf).join(feats, "application_id"))
     models = ml.denial_reason_models(denied, FEATURES)
     return ml.predict_denial_reasons(models, denied, FEATURES).select("application_id", "denial_explanation")
 
