@@ -1,3 +1,4 @@
+import cProfile
 import math
 import random
 import re
@@ -122,6 +123,34 @@ def test_marginal_sums_every_segmentation():
         assert got == pytest.approx(math.log(math.fsum(spellings(w.replace("\udc81", LITERAL)))), rel=1e-9, abs=1e-12)
 
 
+def test_lattices_of_many_words_are_summed_at_once(monkeypatch):
+    rng = random.Random(3)
+    words = {"".join(rng.choice(["tion", "th", "e", "ing", "ab", "q", "né", "漢"]) for _ in range(rng.randint(1, 9))) for _ in range(3000)}
+    words = sorted("▁" + w for w in words | {"", "xqz" * 12, "😀漢x", "a\udc81"})
+    lattice = lattice_lm.Lattice(PIECES)
+    first = {p: w / TOTAL for p, w in WEIGHT.items()}
+    uses = Counter()
+    for word in words:
+        arcs, sums = forward(word[1:].replace("\udc81", "▁"), first, BYTE / TOTAL)
+        after = [0.0] * (len(sums) - 1) + [1.0]
+        for start, end, _, p, _ in reversed(arcs):
+            after[start] += p * after[end]
+        for start, end, piece, p, n in arcs:
+            uses[piece] += n * sums[start] * p * after[end] / sums[-1]
+    profile = cProfile.Profile()
+    got = profile.runcall(lattice.uses, words)
+    # A few calls a word to read it, none for each of its arcs.
+    assert sum(s.callcount for s in profile.getstats()) < 10 * len(words)
+    assert got.tolist() == pytest.approx([uses[p] for p in [*PIECES.score, ""]], rel=1e-9, abs=1e-12)
+    weights = lattice.sorted_words(words)
+    for cells, narrow in ((1, 8), (1, 0), (500, 8), (1 << 17, 1 << 17)):  # a word at once, or some; by prefix, or by length
+        monkeypatch.setattr(lattice_lm, "CELLS", cells)
+        monkeypatch.setattr(lattice_lm, "NARROW", narrow)
+        assert lattice.uses(words) == pytest.approx(got, rel=1e-9, abs=1e-12)
+        assert lattice.sorted_words(words) == pytest.approx(weights, rel=1e-12)
+    assert lattice.sorted_words(words[::-1]) == pytest.approx(weights[::-1], rel=1e-12)
+
+
 def test_query_equals_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in queries.read_table(spark, SF001, "documents").collect()]
     close(queries.op12_lattice_lm(spark, SF001).collect(), brute(docs))

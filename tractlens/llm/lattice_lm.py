@@ -27,7 +27,8 @@ documents, which are those with crc32(id as text) % 7 != 2.
 *Plan.*  One pass counts the words per task; after the shuffle each distinct word of the
 corpus is there once, and its lattice is summed there, in sorted order, so that words share
 the forward weights of a common prefix: once a round, in which a task hands on one number for
-each piece of the vocabulary, and once for the words' weights.  The second pass counts each document's
+each piece of the vocabulary, and once for the words' weights.  Some thousand words are summed
+at once: the recursion goes over the prefixes' lengths, and takes all arcs of a length together.  The second pass counts each document's
 words.  Words that make up ``1 / hot`` of all tokens or more are at most ``hot`` words, of
 at most ``hot`` times the mean length: they are broadcast, and their part of a document's
 sums is taken at once.  The others, none of which holds more than that share, meet the
@@ -44,13 +45,14 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
+from array import array
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator, Mapping
-from os.path import commonprefix
+from collections.abc import Callable, Iterable, Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -67,88 +69,178 @@ _WHITE = re.compile(rb"[\x20\x09-\x0D]")
 CHUNK, COUNTED = 1 << 20, 200_000
 #: Rounds that fit the pieces' scores, and the uses that the first scores count for.
 ROUNDS, STRENGTH = 3, 1000.0
+#: Characters of words whose lattices are summed at once, padded to the longest of them.
+CELLS = 1 << 17
+#: With fewer prefixes of a length than this on average, the recursion goes prefix by prefix.
+NARROW = 8
 
 
-class Lattice:
-    """Normalised log scores of the pieces, read from their ends; ``uses`` of pieces (those of
-    bytes under the empty text) are added to the first scores' ``STRENGTH``."""
-
-    def __init__(self, pieces: Pieces, uses: Mapping[str, float] | None = None):
-        scores, uses = pieces.score, uses or {}
-        least, top = min(scores.values()), max(scores.values())
-        norm = top + math.log(math.fsum(math.exp(s - top) for s in scores.values()) + 256 * math.exp(least - top))
-        total = math.log(STRENGTH + math.fsum(uses.values()))
-        learned = lambda n, s: math.log(n + STRENGTH * math.exp(s - norm)) - total
-        self.byte = learned(uses.get("", 0.0) / 256, least)
-        self.ending: dict = {}
-        for piece, score in scores.items():
-            node = self.ending
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = learned(uses.get(piece, 0.0), score)
-
-    def sorted_words(self, words: Iterable[str]) -> list[float]:
-        """Log marginal probability of each marked word; sorted words share their prefixes' weights."""
-        ending, byte, exp, log = self.ending, self.byte, math.exp, math.log
-        weight, before, out = [0.0], "", []
-        for word in words:
-            del weight[len(commonprefix((before, word))) + 1 :]
-            for end in range(len(weight), len(word) + 1):
-                node, found = ending.get(word[end - 1]), []
-                if node is None or "" not in node:
-                    c = MARK if word[end - 1] == _LITERAL else word[end - 1]
-                    found.append(weight[end - 1] + byte * len(c.encode("utf-8", "surrogatepass")))
-                start = end - 1
-                while node is not None:
-                    if "" in node:
-                        found.append(weight[start] + node[""])
-                    start -= 1
-                    if start < 0:
-                        break
-                    node = node.get(word[start])
-                top = max(found)
-                weight.append(top if len(found) == 1 else top + log(sum([exp(f - top) for f in found])))
-            out.append(weight[-1])
-            before = word
-        return out
+class Suffixes:
+    """The trie of the pieces read from their ends, in arrays.
 
-    def uses(self, words: Iterable[str]) -> Counter:
-        """Expected uses of each piece over all segmentations of the sorted marked words; bytes count as "".
+    An edge is ``node * classes + class of the character``; in their sorted order, edge number
+    i leads to node i + 1.  ``piece`` is the number of the piece that a node stands for, or -1."""
 
-        ``reach[i]`` is how often the words seen so far, as expected, pass place i; when a place
-        leaves the stack, its ways are dealt out to the places where its last pieces begin."""
-        ending, exp, log = self.ending, math.exp, math.log
-        weight, ways, reach, before, out = [0.0], [[]], [0.0], "", Counter()
+    def __init__(self, pieces: Iterable[str]):
+        root: dict = {}
+        for i, piece in enumerate(pieces):
+            node = root
+            for c in reversed(piece):
+                node = node.setdefault(ord(c), {})
+            node[-1] = i
+        level, nodes = [root], [root]
+        while level:
+            level = [child for node in level for c, child in sorted(node.items()) if c >= 0]
+            nodes += level
+        letters = sorted({c for node in nodes for c in node if c >= 0})
+        #: Characters of no piece are of class 0, which no edge has.
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.classes = len(letters) + 1
+        self.piece = np.array([node.get(-1, -1) for node in nodes], np.int64)
+        self.edges = np.array([i * self.classes + self.letter[c] for i, node in enumerate(nodes) for c in sorted(node) if c >= 0], np.int64)
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the edges lead, and which of them there are."""
+        edge = node * self.classes + letter
+        at = np.searchsorted(self.edges, edge)
+        return at + 1, self.edges[np.minimum(at, len(self.edges) - 1)] == edge
+
+
+class Words:
+    """The lattice of marked words: a node for each prefix, and the arcs that end there.
+
+    Words next to each other share the nodes of their common prefix, so sorted ones have the
+    fewest.  Nodes go by the length of the prefix, arcs by the node where they end; an arc of
+    bytes has the piece number after the last."""
+
+    def __init__(self, words: list[str], suffixes: Suffixes, n_pieces: int):
+        n, size = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        longest = int(size.max(initial=0))
+        there = np.arange(longest)[:, None] < size
+        char = np.zeros((longest, n), np.uint32)
+        char.T[there.T] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        new = there.copy()
+        new[:, 1:] &= ~np.logical_and.accumulate((char[:, 1:] == char[:, :-1]) & there[:, :-1], axis=0)
+        # node[i, w]: the node of the first i characters of word w.
+        node = np.zeros((longest + 1, n), np.int64)
+        node[1:] = np.cumsum(new.ravel()).reshape(new.shape)
+        cell, node, char = np.flatnonzero(new), node.ravel(), char.ravel()
+        self.last = node[size * n + np.arange(n)]
+        letter = suffixes.letter[char]
+        live, end, state = cell, np.arange(1, len(cell) + 1), np.zeros(len(cell), np.int64)
+        arcs = []
+        while len(live):
+            state, found = suffixes.step(state, letter[live])
+            piece = np.where(found, suffixes.piece[np.where(found, state, 0)], -1)
+            if not arcs:
+                c = char[live]
+                spelt = np.where(piece < 0, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000), 0)
+                at = np.flatnonzero(spelt)
+                arcs.append((node[live[at]], end[at], np.full(len(at), n_pieces), spelt[at]))
+            at = np.flatnonzero(piece >= 0)
+            arcs.append((node[live[at]], end[at], piece[at], np.ones(len(at), np.int64)))
+            at = np.flatnonzero(found & (live >= n))
+            live, end, state = live[at] - n, end[at], state[at]
+        start, end, piece, times = (np.concatenate(x) for x in zip(*arcs)) if arcs else np.zeros((4, 0), np.int64)
+        order = np.argsort(end, kind="stable")
+        self.start, self.end, self.piece, self.times = start[order], end[order], piece[order], times[order]
+        self.ways = np.bincount(end, minlength=len(cell) + 1)
+        #: The first arc of each node, and the first node of each length.
+        self.first = np.cumsum(self.ways) - self.ways
+        self.level = 1 + np.concatenate([[0], np.cumsum(new.sum(axis=1))])
+        #: A few words of great length: arrays of a length's arcs would hold too little.
+        self.narrow = len(cell) < NARROW * longest
+
+    def _levels(self) -> list[tuple[slice, slice]]:
+        first = [*self.first.tolist(), len(self.start)]
+        return [(slice(a, b), slice(first[a], first[b])) for a, b in zip(self.level.tolist(), self.level[1:].tolist())]
+
+    def forward(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each node's log weight, and each arc's share of the ways to its end."""
+        weight, share, scores = np.zeros(len(self.ways)), np.empty(len(self.start)), score[self.piece] * self.times
+        if self.narrow:
+            return self._forward_by_node(scores)
+        for nodes, arcs in self._levels():
+            first, ways = self.first[nodes] - arcs.start, self.ways[nodes]
+            found = weight[self.start[arcs]] + scores[arcs]
+            top = np.maximum.reduceat(found, first)
+            parts = np.exp(found - np.repeat(top, ways))
+            sums = np.add.reduceat(parts, first)
+            weight[nodes] = top + np.log(sums)
+            share[arcs] = parts / np.repeat(sums, ways)
+        return weight, share
+
+    def _forward_by_node(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        exp, weight, share = math.exp, [0.0], array("d")
+        starts, scores, first = self.start.tolist(), scores.tolist(), [*self.first.tolist(), len(self.start)]
+        for a, b in zip(first[1:], first[2:]):
+            found = [weight[s] + c for s, c in zip(starts[a:b], scores[a:b])]
+            top = max(found)
+            parts = [exp(f - top) for f in found]
+            total = sum(parts)
+            weight.append(top + math.log(total))
+            share.extend([p / total for p in parts])
+        return np.array(weight), np.array(share)
+
+    def uses(self, score: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece over all segmentations; those of bytes come last.
+
+        ``reach`` is how often the words, as expected, pass a node; from the longest prefixes
+        on, a node's ways are dealt out to the nodes where its last pieces begin."""
+        _, share = self.forward(score)
+        reach = np.bincount(self.last, minlength=len(self.ways)).astype(float)
+        if self.narrow:
+            flow, reach = share.tolist(), reach.tolist()
+            for a, (start, end) in reversed([*enumerate(zip(self.start.tolist(), self.end.tolist()))]):
+                flow[a] *= reach[end]
+                reach[start] += flow[a]
+            share = np.array(flow)
+        else:
+            for _, arcs in reversed(self._levels()):
+                share[arcs] *= reach[self.end[arcs]]
+                np.add.at(reach, self.start[arcs], share[arcs])
+        return np.bincount(self.piece, share * self.times, minlength=len(score))
 
-        def leave(keep: int) -> None:
-            while len(weight) > keep:
-                weight.pop()
-                n = reach.pop()
-                for start, piece, times, share in ways.pop():
-                    reach[start] += n * share
-                    out[piece] += n * share * times
 
+class Lattice:
+    """Normalised log scores of the pieces and, last, of a byte.  ``uses`` of them are added to
+    the first scores' ``STRENGTH``."""
+
+    def __init__(self, pieces: Pieces):
+        self.suffixes = Suffixes(pieces.score)
+        score = np.fromiter(pieces.score.values(), float, len(pieces.score))
+        least, top = score.min(), score.max()
+        norm = top + math.log(math.fsum(np.exp(score - top)) + 256 * math.exp(least - top))
+        self.chance = np.exp(np.append(score, least) - norm)
+
+    def scores(self, uses: np.ndarray | None = None) -> np.ndarray:
+        each = np.zeros(len(self.chance)) if uses is None else np.append(uses[:-1], uses[-1] / 256)
+        return np.log(each + STRENGTH * self.chance) - math.log(STRENGTH + (0.0 if uses is None else math.fsum(uses)))
+
+    def words(self, words: Iterable[str]) -> Iterator[Words]:
+        """The lattices of some words at once, of at most ``CELLS`` characters if padded, or of one word."""
+        some: list[str] = []
+        longest = 0
         for word in words:
-            leave(len(commonprefix((before, word))) + 1)
-            for end in range(len(weight), len(word) + 1):
-                node, found, start = ending.get(word[end - 1]), [], end - 1
-                if node is None or "" not in node:
-                    size = len((MARK if word[start] == _LITERAL else word[start]).encode("utf-8", "surrogatepass"))
-                    found.append((start, "", size, weight[start] + self.byte * size))
-                while node is not None:
-                    if "" in node:
-                        found.append((start, word[start:end], 1, weight[start] + node[""]))
-                    start -= 1
-                    if start < 0:
-                        break
-                    node = node.get(word[start])
-                top = max(f[3] for f in found)
-                weight.append(top + log(sum([exp(f[3] - top) for f in found])))
-                ways.append([(s, p, n, exp(w - weight[-1])) for s, p, n, w in found])
-                reach.append(0.0)
-            reach[-1] += 1.0
-            before = word
-        leave(1)
+            longest = max(longest, len(word))
+            if some and (len(some) + 1) * longest > CELLS:
+                yield Words(some, self.suffixes, len(self.chance) - 1)
+                some, longest = [], len(word)
+            some.append(word)
+        if some:
+            yield Words(some, self.suffixes, len(self.chance) - 1)
+
+    def sorted_words(self, words: Iterable[str], uses: np.ndarray | None = None) -> np.ndarray:
+        """Log marginal probability of each marked word; sorted words share their prefixes' weights."""
+        score = self.scores(uses)
+        return np.concatenate([w.forward(score)[0][w.last] for w in self.words(words)] or [np.zeros(0)])
+
+    def uses(self, words: Iterable[str], uses: np.ndarray | None = None) -> np.ndarray:
+        """Expected uses of each piece, and of bytes, over all segmentations of the sorted marked words."""
+        score, out = self.scores(uses), np.zeros(len(self.chance))
+        for w in self.words(words):
+            out += w.uses(score)
         return out
 
 
@@ -172,14 +264,15 @@ def _split(text: bytes) -> Iterator[list[bytes]]:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, its places in training texts, in all texts), counted over the task."""
+    """(word, its places in training texts, in all texts), counted over the task; a word has two rows
+    at most each time that counts are handed on."""
     learned, other = Counter(), Counter()
 
     def rows() -> pa.RecordBatch:
-        words = list(learned.keys() | other.keys())
+        n = [*learned.values(), *other.values()]
         out = pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), pa.array([learned[w] for w in words], pa.int64()),
-             pa.array([learned[w] + other[w] for w in words], pa.int64())], names=["word", "c", "n"])
+            [pa.array([*learned, *other], pa.binary()), pa.array([*learned.values(), *repeat(0, len(other))], pa.int64()),
+             pa.array(n, pa.int64())], names=["word", "c", "n"])
         learned.clear(), other.clear()
         return out
 
@@ -194,37 +287,46 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _lattice(path: str, fitted: tuple) -> Lattice:
-    key, uses = fitted
-    return held(("lattice", path, key), lambda: Lattice(Pieces(path), uses.value if uses else None))
+def _lattice(path: str) -> Lattice:
+    return held(("lattice", path), lambda: Lattice(Pieces(path)))
 
 
-def _uses(batches: Iterable[pa.RecordBatch], path: str, fitted: tuple) -> Iterator[pa.RecordBatch]:
-    lattice, uses = _lattice(path, fitted), Counter()
-    for batch in batches:
-        uses.update(lattice.uses(sorted(marked(w) for w in batch.column(0).to_pylist())))
-    yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.float64())], names=["piece", "n"])
+def _uses(batches: Iterable[pa.RecordBatch], path: str, uses: Broadcast | None) -> Iterator[pa.RecordBatch]:
+    """The task's words, which come sorted, give a row for each piece that they use."""
+    out = _lattice(path).uses((marked(w) for batch in batches for w in batch.column(0).to_pylist()), uses and uses.value)
+    used = np.flatnonzero(out)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(out[used], pa.float64())], names=["piece", "n"])
 
 
-def _fitted(words: DataFrame, path: str) -> tuple:
-    """A key and the broadcast uses of pieces after ``ROUNDS`` rounds over distinct ``(word)`` rows."""
-    fitted: tuple = ("", None)
+def _fitted(words: DataFrame, path: str) -> Broadcast | None:
+    """The broadcast uses of pieces, in the vocabulary's order, after ``ROUNDS`` rounds over distinct ``(word)`` rows."""
+    uses, size = None, len(Pieces(path).score) + 1
     for _ in range(ROUNDS):
         # At most a row for each piece of the vocabulary comes to the driver.
-        rows = words.transform(in_batches).mapInArrow(lambda it, f=fitted: _uses(it, path, f), "piece string, n double").groupBy("piece").agg(
+        rows = words.transform(in_batches).mapInArrow(lambda it, u=uses: _uses(it, path, u), "piece long, n double").groupBy("piece").agg(
             F.sum("n").alias("n")).toArrow()
-        uses = dict(zip(rows.column("piece").to_pylist(), rows.column("n").to_pylist()))
-        fitted = (uuid.uuid4().hex, words.sparkSession.sparkContext.broadcast(uses))
-    return fitted
+        n = np.zeros(size)
+        n[rows.column("piece").to_numpy()] = rows.column("n").to_numpy()
+        uses = words.sparkSession.sparkContext.broadcast(n)
+    return uses
 
 
-def _weigh(batches: Iterable[pa.RecordBatch], path: str, fitted: tuple, discount: float, spelt: float, total: int) -> Iterator[pa.RecordBatch]:
-    lattice = _lattice(path, fitted)
+def _together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``CHUNK`` bytes."""
+    some: list[pa.RecordBatch] = []
     for batch in batches:
-        words = [marked(w) if w != END else "" for w in batch.column(0).to_pylist()]
-        order = sorted(range(len(words)), key=words.__getitem__)
-        weight = np.empty(len(words))
-        weight[order] = lattice.sorted_words(words[i] for i in order)
+        some.append(batch)
+        if sum(b.nbytes for b in some) >= CHUNK:
+            yield pa.concat_batches(some)
+            some = []
+    if some:
+        yield pa.concat_batches(some)
+
+
+def _weigh(batches: Iterable[pa.RecordBatch], path: str, uses: Broadcast | None, discount: float, spelt: float, total: int) -> Iterator[pa.RecordBatch]:
+    lattice = _lattice(path)
+    for batch in _together(batches):
+        weight = lattice.sorted_words((marked(w) if w != END else "" for w in batch.column(0).to_pylist()), uses and uses.value)
         if total:
             c = batch.column(1).to_numpy()
             arc = np.log(np.where(c > 0, c - discount, 1.0) / total)
@@ -261,12 +363,17 @@ def _sum(batches: Iterable[pa.RecordBatch], table: Callable[[], tuple], id_type:
     names = ("uid", "id", "out", "n_tokens", "n_known", "base", "lattice", "word", "n")
     kinds = (pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
     done: list[tuple] = []
-    rare: list[tuple] = []
+    #: Of rare words: document, word, places.
+    rare: tuple[list, list, list] = ([], [], [])
 
     def rows() -> pa.RecordBatch:
-        columns = [[] for _ in names] if not (done or rare) else zip(*done, *rare)
+        columns = [list(c) for c in zip(*done)] or [[] for _ in names[:-1]]
+        more = {"uid": rare[0], "word": rare[1], "n": rare[2]}
+        columns = [c + more.get(name, [None] * len(rare[0])) for name, c in zip(names, [*columns, [None] * len(done)])]
         out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(names))
-        done.clear(), rare.clear()
+        done.clear()
+        for column in rare:
+            column.clear()
         return out
 
     for batch in batches:
@@ -275,14 +382,17 @@ def _sum(batches: Iterable[pa.RecordBatch], table: Callable[[], tuple], id_type:
             seen: Counter = Counter()
             for words in _split(text or b""):
                 seen.update(words)
-            words, n = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
-            at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
+            n = np.fromiter(seen.values(), np.int64, len(seen))
+            at = np.fromiter(map(index.get, seen, repeat(-1)), np.int64, len(seen))
             often = at >= 0
             a, k = at[often], n[often]
             done.append((uid, doc_id, out, int(n.sum()) + 1, int(k[known[a]].sum()), float(k @ log_c[a]), float(k @ weight[a]),
-                         END + uid.to_bytes(8, "little"), None))
-            rare += [(uid, None, None, None, None, None, None, words[i], seen[words[i]]) for i in np.flatnonzero(~often).tolist()]
-            if len(rare) > 20_000:
+                         END + uid.to_bytes(8, "little")))
+            seldom = ~often
+            rare[1].extend(compress(seen, seldom.tolist()))
+            rare[2].extend(n[seldom].tolist())
+            rare[0].extend([uid] * (len(rare[1]) - len(rare[0])))
+            if len(rare[0]) > 20_000:
                 yield rows()
     yield rows()
 
