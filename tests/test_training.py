@@ -72,6 +72,33 @@ def test_halving_search_repeats_and_refits_the_winner(spark):
     assert runs[0].table(spark, "rf").count() == 6
 
 
+def test_outcome_models_search_whole_grids_on_all_training_rows(spark, monkeypatch):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    from tractlens.plans import models as plans
+
+    grids = {"logistic_regression": {"regParam": [1.0, 0.1]}, "random_forest": {"numTrees": [2, 3], "maxDepth": [2, 3]},
+             "gbt": {"maxIter": [1, 2, 3], "maxDepth": [1, 2]}}
+    found, search = {}, tn.halving_search
+    monkeypatch.setattr(ml, "OUTCOME_GRIDS", grids)
+    monkeypatch.setattr(plans.tn, "halving_search", lambda rows, features, name, *a, **k: found.setdefault(name, search(rows, features, name, *a, **k)))
+    assert plans.l12(spark, SF001).count() == 3
+    for name, grid in grids.items():
+        tried = [(tuple(sorted(point.items())), share) for _, _, point, share, _ in found[name].trials]
+        assert sorted(tried) == sorted((tuple(sorted(p.items())), 1.0) for p in tn.draw_points(grid, None, 0)), name
+    # Boosting watches no rows apart, and goes all its rounds.
+    last = found["gbt"].model.stages[-1]
+    assert last.getNumTrees == found["gbt"].best["maxIter"] and not last.isSet("validationIndicatorCol")
+    # A score is the mean over five folds that hold every training row once.
+    train = ml.class_weights(labelled(spark, SF001).filter("is_test = 0"), "label").withColumn("k", F.floor(tn._uniform("application_id", 43) * 5))
+    train = training_frame(ml._numeric(train, FEATURES))
+    scorer = MulticlassClassificationEvaluator(metricName="f1")
+    for _, _, point, _, score in found["logistic_regression"].trials:
+        each = [scorer.evaluate(tn.outcome_pipeline("logistic_regression", FEATURES, "label", "weight", 42, **point).fit(
+            train.filter(f"k <> {k}")).transform(train.filter(f"k = {k}"))) for k in range(5)]
+        assert score == pytest.approx(sum(each) / 5)
+
+
 def test_configured_trainer(spark):
     train = labelled(spark, SF001).filter("is_test = 0")
     fixed = tn.train_configured(train, FEATURES, "application_id", {"algorithm": "logistic_regression", "params": {"regParam": 0.01}})
